@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.capping import cap_per_contributor
-from lodestone.session import key_of, read_table
+from lodestone.llm.leakage import leaked_items, words_sql
+from lodestone.llm.lookalikes import BLANK, form_sql, look_classes, look_pairs, unified_forms
+from lodestone.llm.splitting import split_texts
+from lodestone.session import cut, key_of, read_table
 
 PAPER_CAP = 40
 
@@ -50,8 +53,64 @@ WITH latest AS (
 )
 """
 
-QUERIES = {"p1_found": p1_found, "p1_capped": p1_capped}
+CHUNK_LIMIT = 400
+CHUNK_OVERLAP = 50
+
+
+def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of all chunks, at most 400 tokens each, overlapping by 50."""
+    chunks = read_table(spark, folder, "chunks").select("paper_id", "chunk_id", "text")
+    return split_texts(chunks, "text", limit=CHUNK_LIMIT, overlap=CHUNK_OVERLAP)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks of more than 400 tokens."""
+    return p6_pieces(spark, folder).where("n_pieces > 1 AND piece = 0").select("paper_id", "chunk_id").distinct()
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of documents that look the same but are not equal."""
+    docs = read_table(spark, folder, "documents")
+    pairs = look_pairs(cut(look_classes(docs, F.col("doc_id"), F.col("text"))))
+    return pairs.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
+
+
+def p9_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's text in its consistent form."""
+    docs = read_table(spark, folder, "documents")
+    return unified_forms(docs, F.col("doc_id"), F.col("text")).select(F.col("id").alias("doc_id"), "form")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with passages of the held-out items."""
+    docs = read_table(spark, folder, "documents")
+    items = read_table(spark, folder, "canary_items")
+    hits = leaked_items(docs, F.col("doc_id"), F.col("text"), items, F.col("item_id"), F.col("text"))
+    return hits.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+_GRAMS = """
+SELECT DISTINCT {key}, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g
+FROM (SELECT {key}, string_split({words}, ' ') AS w FROM {table} WHERE text IS NOT NULL) WHERE len(w) >= 12
+"""
+
+QUERIES = {"p7_found": p7_found, "p9_found": p9_found, "p9_forms": p9_forms, "p6_found": p6_found, "p6_pieces": p6_pieces, "p1_found": p1_found, "p1_capped": p1_capped}
 SQL = {
+    "p7_found": f"""
+SELECT DISTINCT doc_id, item_id
+FROM ({_GRAMS.format(key="doc_id", words=words_sql("text"), table="documents")})
+JOIN ({_GRAMS.format(key="item_id", words=words_sql("text"), table="canary_items")}) USING (g)
+""",
+    "p9_forms": f"SELECT doc_id, {form_sql('text')} AS form FROM documents",
+    "p9_found": f"""
+WITH f AS (SELECT doc_id, text, {form_sql("text")} AS form FROM documents WHERE text IS NOT NULL)
+SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form = b.form
+WHERE a.doc_id < b.doc_id AND a.text <> b.text AND NOT regexp_matches(a.form, '{BLANK}')
+""",
+    "p6_found": r"""
+SELECT DISTINCT paper_id, chunk_id FROM chunks
+WHERE len(regexp_extract_all(text, '[^\s\p{Z}\x{85}\x{0B}\x{1C}-\x{1F}]+')) > 400
+""",
     "p1_found": _P1 + "SELECT nugget_id FROM placed WHERE place > 40",
     "p1_capped": _P1 + "SELECT nugget_id, paper_key, score, place <= 40 AS kept FROM placed",
 }
