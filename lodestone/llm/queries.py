@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.capping import cap_per_contributor
 from lodestone.llm.leakage import leaked_items, words_sql
 from lodestone.llm.lookalikes import BLANK, form_sql, look_classes, look_pairs, unified_forms
+from lodestone.llm.neardup import expanded_pairs, near_duplicates
 from lodestone.llm.splitting import split_texts
 from lodestone.session import cut, key_of, read_table
 
@@ -68,6 +69,14 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return p6_pieces(spark, folder).where("n_pieces > 1 AND piece = 0").select("paper_id", "chunk_id").distinct()
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of nuggets whose token sets are alike to three quarters."""
+    nuggets = read_table(spark, folder, "nuggets")
+    members, links = near_duplicates(nuggets, F.col("nugget_id"), F.col("question"), F.col("answer"), threshold=0.75)
+    pairs = expanded_pairs(cut(members), cut(links))
+    return pairs.select(F.col("id_a").alias("nugget_id_a"), F.col("id_b").alias("nugget_id_b"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of documents that look the same but are not equal."""
     docs = read_table(spark, folder, "documents")
@@ -94,8 +103,25 @@ SELECT DISTINCT {key}, unnest(list_transform(range(1, len(w) - 10), lambda i: ar
 FROM (SELECT {key}, string_split({words}, ' ') AS w FROM {table} WHERE text IS NOT NULL) WHERE len(w) >= 12
 """
 
-QUERIES = {"p7_found": p7_found, "p9_found": p9_found, "p9_forms": p9_forms, "p6_found": p6_found, "p6_pieces": p6_pieces, "p1_found": p1_found, "p1_capped": p1_capped}
+QUERIES = {"p2_found": p2_found, "p7_found": p7_found, "p9_found": p9_found, "p9_forms": p9_forms, "p6_found": p6_found, "p6_pieces": p6_pieces, "p1_found": p1_found, "p1_capped": p1_capped}
 SQL = {
+    "p2_found": """
+WITH n AS (
+  SELECT DISTINCT nugget_id, list_sort(list_distinct(regexp_extract_all(
+    lower(coalesce(question, '') || ' ' || coalesce(answer, '')), '[a-z0-9]+'))) AS w FROM nuggets
+), t AS (SELECT nugget_id, len(w) AS size, unnest(w) AS token FROM n),
+freq AS (SELECT token, count(*) AS df FROM t GROUP BY token),
+ranked AS (
+  SELECT nugget_id, size, token, row_number() OVER (PARTITION BY nugget_id ORDER BY df, token) AS place
+  FROM t JOIN freq USING (token)
+), prefix AS (SELECT * FROM ranked WHERE place <= size - ceil(size * 0.75) + 1),
+cand AS (
+  SELECT DISTINCT a.nugget_id AS x, b.nugget_id AS y FROM prefix a JOIN prefix b USING (token)
+  WHERE a.nugget_id < b.nugget_id AND a.size * 4 >= b.size * 3 AND b.size * 4 >= a.size * 3
+), shared AS (SELECT x, y, len(list_intersect(a.w, b.w)) AS k, len(a.w) + len(b.w) AS s
+  FROM cand JOIN n a ON a.nugget_id = x JOIN n b ON b.nugget_id = y)
+SELECT x AS nugget_id_a, y AS nugget_id_b FROM shared WHERE k * 4 >= (s - k) * 3
+""",
     "p7_found": f"""
 SELECT DISTINCT doc_id, item_id
 FROM ({_GRAMS.format(key="doc_id", words=words_sql("text"), table="documents")})
