@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.capping import cap_per_contributor
+from lodestone.llm.defects import pair_defects
 from lodestone.llm.leakage import leaked_items, words_sql
 from lodestone.llm.lookalikes import BLANK, form_sql, look_classes, look_pairs, unified_forms
 from lodestone.llm.neardup import expanded_pairs, near_duplicates
@@ -77,6 +78,13 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("nugget_id_a"), F.col("id_b").alias("nugget_id_b"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Nuggets with a defective answer."""
+    nuggets = read_table(spark, folder, "nuggets")
+    found = pair_defects(nuggets, F.col("nugget_id"), F.col("question"), F.col("answer"))
+    return found.select(F.col("id").alias("nugget_id"), "defect")
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of documents that look the same but are not equal."""
     docs = read_table(spark, folder, "documents")
@@ -103,7 +111,7 @@ SELECT DISTINCT {key}, unnest(list_transform(range(1, len(w) - 10), lambda i: ar
 FROM (SELECT {key}, string_split({words}, ' ') AS w FROM {table} WHERE text IS NOT NULL) WHERE len(w) >= 12
 """
 
-QUERIES = {"p2_found": p2_found, "p7_found": p7_found, "p9_found": p9_found, "p9_forms": p9_forms, "p6_found": p6_found, "p6_pieces": p6_pieces, "p1_found": p1_found, "p1_capped": p1_capped}
+QUERIES = {"p3_found": p3_found, "p2_found": p2_found, "p7_found": p7_found, "p9_found": p9_found, "p9_forms": p9_forms, "p6_found": p6_found, "p6_pieces": p6_pieces, "p1_found": p1_found, "p1_capped": p1_capped}
 SQL = {
     "p2_found": """
 WITH n AS (
