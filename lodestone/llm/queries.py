@@ -10,6 +10,7 @@ from lodestone.llm.defects import pair_defects
 from lodestone.llm.leakage import leaked_items, words_sql
 from lodestone.llm.lookalikes import BLANK, form_sql, look_classes, look_pairs, unified_forms
 from lodestone.llm.neardup import expanded_pairs, near_duplicates
+from lodestone.llm.scan_noise import chunk_noise, repaired_chunks
 from lodestone.llm.splitting import split_texts
 from lodestone.session import cut, key_of, read_table
 
@@ -85,6 +86,20 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("nugget_id"), "defect")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks with traces of the printed page."""
+    chunks = read_table(spark, folder, "chunks")
+    found = chunk_noise(chunks, F.col("paper_id"), F.col("chunk_id"), F.col("text"))
+    return found.select(F.col("paper").alias("paper_id"), F.col("chunk").alias("chunk_id"), "noise")
+
+
+def p4_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """All chunks as continuous paragraphs."""
+    chunks = read_table(spark, folder, "chunks")
+    out = repaired_chunks(chunks, F.col("paper_id"), F.col("chunk_id"), F.col("text"))
+    return out.select(F.col("paper").alias("paper_id"), F.col("chunk").alias("chunk_id"), "text")
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of documents that look the same but are not equal."""
     docs = read_table(spark, folder, "documents")
@@ -111,7 +126,7 @@ SELECT DISTINCT {key}, unnest(list_transform(range(1, len(w) - 10), lambda i: ar
 FROM (SELECT {key}, string_split({words}, ' ') AS w FROM {table} WHERE text IS NOT NULL) WHERE len(w) >= 12
 """
 
-QUERIES = {"p3_found": p3_found, "p2_found": p2_found, "p7_found": p7_found, "p9_found": p9_found, "p9_forms": p9_forms, "p6_found": p6_found, "p6_pieces": p6_pieces, "p1_found": p1_found, "p1_capped": p1_capped}
+QUERIES = {"p4_found": p4_found, "p4_repaired": p4_repaired, "p3_found": p3_found, "p2_found": p2_found, "p7_found": p7_found, "p9_found": p9_found, "p9_forms": p9_forms, "p6_found": p6_found, "p6_pieces": p6_pieces, "p1_found": p1_found, "p1_capped": p1_capped}
 SQL = {
     "p2_found": """
 WITH n AS (
