@@ -33,8 +33,9 @@ CONFUSIONS = {
 SAMPLE_WORDS, FORMS, ROUNDS = 1500, 4, 3
 #: A word is frequent from this share of all words on; there are at most 1 / share of them.
 FREQUENT_SHARE, FREQUENT_LEAST = 1e-6, 4
-#: A correction must be this many times as frequent as the word it replaces.
-FAR_MORE = 20
+#: A correction must be this many times as frequent as the word it replaces; a word with a
+#: sign inside that no word has needs less evidence.
+FAR_MORE, FAR_MORE_ODD = 30, 3
 #: Corrections sent to the workers at once; more take further passes.
 CORRECTIONS_PER_PASS = 400_000
 #: A line's form is furniture of a series when it stands in so many papers.
@@ -142,8 +143,14 @@ def train_editor(frequent: dict[str, int]) -> Perceptron:
     return model.average()
 
 
-def corrections_of(word: str, model: Perceptron, frequent: dict[str, int]) -> str | None:
-    """The most plausible frequent word that the editor makes of a word, in one or two edits."""
+def _frequency(word: str, frequent: dict[str, int]) -> int:
+    """Occurrences of a word, a capitalised one also in lower case."""
+    return frequent.get(word) or (frequent.get(word.lower(), 0) if word[:1].isupper() else 0)
+
+
+def corrections_of(word: str, model: Perceptron, frequent: dict[str, int], places: int = 1) -> str | None:
+    """The most plausible frequent word that the editor makes of a word by edits in one or two
+    places; a replacement and the deletion next to it are one place."""
     edits = []
     for i, c in enumerate(word):
         scores = model.scores(c, char_features(word, i))
@@ -164,8 +171,13 @@ def corrections_of(word: str, model: Perceptron, frequent: dict[str, int]) -> st
         for chosen in options:
             if all(e[2] == DELETE for e in chosen):
                 continue
+            if len(chosen) > places and not (
+                chosen[0][1] + 1 == chosen[1][1] and chosen[1][2] == DELETE
+                or chosen[1][1] + 1 == chosen[0][1] and chosen[0][2] == DELETE
+            ):
+                continue
             v = made(*chosen)
-            if v in frequent and v != word:
+            if v != word and _frequency(v, frequent):
                 score = sum(e[0] for e in chosen) - 2.0 * len(chosen)
                 if best_score is None or score > best_score:
                     best, best_score = v, score
@@ -180,6 +192,7 @@ _PAGE = re.compile(
     re.I,
 )
 _NUMBER = re.compile(r"(?=.*\d)[\dlIO](?: ?[\dlIO]){0,3}")
+_ROMAN = re.compile(r"[lI]|(?=[ivx]|[ivxlc]{2})(?:c{0,3}(?:x[lc]|l?x{0,3})(?:i[vx]|v?i{0,3})|l{2,3})")
 _VALUE = re.compile(r"[\[(]?[-+±]?[\dlO]+(?:[.,][\dlO]+)*(?:\s*[%\w/]{1,7})?[\])]?")
 _STRUCTURE = re.compile(r"\s*(?:\||\$|\\|[-*•+]\s|\d+[.)]\s|\d+(?:\.\d+)+\s|#{1,6}\s|```|[ivx]+\)\s)")
 _PAGE_BEFORE = re.compile(r"^\s*\d{1,4}(?:\s{2,}|\s*[|·]\s*)(?=\S*[^\W\d])")
@@ -192,7 +205,7 @@ def is_page_number(lines: list[str], i: int) -> bool:
     line = lines[i].strip()
     if _PAGE.fullmatch(line):
         return True
-    if not _NUMBER.fullmatch(line):
+    if not _NUMBER.fullmatch(line) and not _ROMAN.fullmatch(line):
         return False
     around = [lines[j].strip() for j in (i - 1, i + 1) if 0 <= j < len(lines)]
     return not any(_VALUE.fullmatch(x) for x in around if not _PAGE.fullmatch(x))
@@ -333,7 +346,10 @@ class PageReader:
         lines = text.split("\n")
         found = self.furniture(lines, known)
         out = set(found.values())
-        body = "\n".join(x for i, x in enumerate(lines) if i not in found)
+        # A line in the form of a series title does not stand between the halves of a word.
+        body = "\n".join(
+            x for i, x in enumerate(lines) if i not in found and header_kind(lines, i)[0] != "series"
+        )
         whole, n = self.unbroken(body)
         if n:
             out.add("hyphen_break")
@@ -345,8 +361,8 @@ class PageReader:
         lines = text.split("\n")
         found = self.furniture(lines, known)
         body, _ = self.unbroken("\n".join(x for i, x in enumerate(lines) if i not in found))
+        widest = max((len(x) for i, x in enumerate(lines) if i not in found), default=0)
         lines = body.split("\n")
-        widest = max(map(len, lines), default=0)
         out: list[str] = []
         for line in lines:
             if out and out[-1].strip() and line.strip():
@@ -431,7 +447,7 @@ def fit(chunks: DataFrame, paper: Column, chunk: Column, text: Column) -> ScanMo
                 [pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string())], names=["word", "correct"]
             )
 
-    rare = words.where((F.col("n") * FAR_MORE <= most) & (F.length("word") > 3))
+    rare = words.where((F.col("n") * FAR_MORE_ODD <= most) & (F.length("word") > 3))
     corrections = cut(rare.mapInArrow(correct, "word string, correct string"))
     lines = counted.where("kind = 'line'").groupBy("a", "b", "c").agg(F.max("n").alias("n"))
     repeated = lines.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1 AND a IS NOT NULL").select(
@@ -450,8 +466,8 @@ def misread_as(word: str, n: int, model: Perceptron, frequent: dict[str, int]) -
     odd = bool(re.search(r"[!@$|ſ]|\d(?=[^\W\d_])|(?<=[^\W\d_])\d", word))
     if len(word) < 4 or (word[0].isupper() and not odd):
         return None
-    v = corrections_of(word, model, frequent)
-    if v is None or not v.isalpha() or frequent[v] < FAR_MORE * n:
+    v = corrections_of(word, model, frequent, places=2 if odd else 1)
+    if v is None or not v.isalpha() or _frequency(v, frequent) < (FAR_MORE_ODD if odd else FAR_MORE) * n:
         return None
     return v
 
