@@ -9,6 +9,7 @@ from lodestone.llm.capping import cap_per_contributor
 from lodestone.llm.defects import pair_defects
 from lodestone.llm.leakage import leaked_items, words_sql
 from lodestone.llm.lookalikes import BLANK, form_sql, look_classes, look_pairs, unified_forms
+from lodestone.llm.mixing import mix_sources
 from lodestone.llm.neardup import expanded_pairs, near_duplicates
 from lodestone.llm.scan_noise import chunk_noise, repaired_chunks
 from lodestone.llm.splitting import split_texts
@@ -100,6 +101,22 @@ def p4_repaired(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(F.col("paper").alias("paper_id"), F.col("chunk").alias("chunk_id"), "text")
 
 
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    docs = read_table(spark, folder, "documents")
+    targets = read_table(spark, folder, "mix_targets")
+    return mix_sources(docs, F.col("doc_id"), F.col("text"), F.col("source"), targets, seed=42)
+
+
+def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents selected for each source, with their repetitions."""
+    return _mixed(spark, folder)[0].withColumnRenamed("id", "doc_id")
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual shares of the sources."""
+    return _mixed(spark, folder)[1]
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of documents that look the same but are not equal."""
     docs = read_table(spark, folder, "documents")
@@ -126,7 +143,7 @@ SELECT DISTINCT {key}, unnest(list_transform(range(1, len(w) - 10), lambda i: ar
 FROM (SELECT {key}, string_split({words}, ' ') AS w FROM {table} WHERE text IS NOT NULL) WHERE len(w) >= 12
 """
 
-QUERIES = {"p4_found": p4_found, "p4_repaired": p4_repaired, "p3_found": p3_found, "p2_found": p2_found, "p7_found": p7_found, "p9_found": p9_found, "p9_forms": p9_forms, "p6_found": p6_found, "p6_pieces": p6_pieces, "p1_found": p1_found, "p1_capped": p1_capped}
+QUERIES = {"p8_mixture": p8_mixture, "p8_shares": p8_shares, "p4_found": p4_found, "p4_repaired": p4_repaired, "p3_found": p3_found, "p2_found": p2_found, "p7_found": p7_found, "p9_found": p9_found, "p9_forms": p9_forms, "p6_found": p6_found, "p6_pieces": p6_pieces, "p1_found": p1_found, "p1_capped": p1_capped}
 SQL = {
     "p2_found": """
 WITH n AS (
