@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import orphans
+from lodestone.plans import curation, kb, orphans, retrieval, textual
 
-_MODULES = [orphans]
+_MODULES = [retrieval, kb, textual, curation, orphans]
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in _MODULES for name, s in m.SQL.items()}
