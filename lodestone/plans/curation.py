@@ -10,7 +10,7 @@ from lodestone.functions import text as T
 from lodestone.operators import chunking, similarity, store
 from lodestone.operators.lexical import bm25
 from lodestone.plans.base import N, P, half_up_sql, nuggets, papers
-from lodestone.plans.retrieval import QA, _bm25_sql
+from lodestone.plans.retrieval import _bm25_sql, qa
 from lodestone.session import half_up, key_of, read_table
 
 SPLIT_AT = "2024-07-01 00:00:00"
@@ -44,7 +44,7 @@ def section_islands(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _word_sets(spark: SparkSession, folder: str) -> DataFrame:
-    words = F.array_distinct(F.regexp_extract_all(F.lower(QA), F.lit(r"\S+"), 0))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(qa()), F.lit(r"\S+"), 0))
     n = nuggets(spark, folder).select(key_of("paper_id").alias("block"), F.col("nugget_id").alias("id"), words.alias("words"))
     return n.where("block IS NOT NULL AND size(words) > 0")
 
@@ -169,7 +169,7 @@ def _own_ranks(spark: SparkSession, folder: str) -> DataFrame:
     n = read_table(spark, folder, "nuggets").select("row_id", "question", "answer", "type")
     words = F.array_join(F.slice(F.regexp_extract_all(F.lower("question"), F.lit("[a-z]{7,}"), 0), 1, 4), " ")
     q = n.where("row_id % 50 = 0").select(F.col("row_id").alias("query_id"), words.alias("query"))
-    hits = bm25(q, n, 50, query_id="query_id", query="query", text_id="row_id", text=QA, mode="or")
+    hits = bm25(q, n, 50, query_id="query_id", query="query", text_id="row_id", text=qa(), mode="or")
     own = hits.where("query_id = id").select("query_id", "rank")
     kinds = n.select(F.col("row_id").alias("query_id"), F.coalesce(F.lower("type"), F.lit("(none)")).alias("type"))
     return q.select("query_id").join(kinds, "query_id").join(own, "query_id", "left")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lodestone.plans import curation, kb, orphans, retrieval, textual
+from lodestone.plans import curation, kb, orphans, retrieval, textual, tools
+from lodestone.streaming import feedback
 
-_MODULES = [retrieval, kb, textual, curation, orphans]
+_MODULES = [retrieval, kb, textual, curation, tools, feedback, orphans]
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in _MODULES for name, s in m.SQL.items()}

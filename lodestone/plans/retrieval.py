@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,7 +12,10 @@ from lodestone.operators.vectors import nearest
 from lodestone.plans.base import N, P, half_up_sql, nuggets, papers
 from lodestone.session import half_up, key_of, read_table
 
-QA = F.concat_ws(" ", F.coalesce("question", F.lit("")), F.coalesce("answer", F.lit("")))
+
+def qa() -> Column:
+    """Question and answer as one text."""
+    return F.concat_ws(" ", F.coalesce("question", F.lit("")), F.coalesce("answer", F.lit("")))
 
 
 def _vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,7 +76,7 @@ def _feedback_queries(spark: SparkSession, folder: str) -> DataFrame:
 def bm25_search(spark: SparkSession, folder: str) -> DataFrame:
     """The best 50 nuggets with all the words of one query."""
     q = spark.range(1).select(F.col("id").alias("query_id"), F.lit("sparse sensor calibration").alias("query"))
-    return bm25(q, nuggets(spark, folder), 50, query_id="query_id", query="query", text_id="nugget_id", text=QA).select(
+    return bm25(q, nuggets(spark, folder), 50, query_id="query_id", query="query", text_id="nugget_id", text=qa()).select(
         F.col("id").alias("nugget_id"), half_up(F.col("score")).alias("score"), "rank"
     )
 
@@ -81,7 +84,7 @@ def bm25_search(spark: SparkSession, folder: str) -> DataFrame:
 def bm25_batch(spark: SparkSession, folder: str) -> DataFrame:
     """The best 10 nuggets for every 50th logged query, hyphenated words as phrases."""
     q = _feedback_queries(spark, folder)
-    return bm25(q, nuggets(spark, folder), 10, query_id="query_id", query="query", text_id="nugget_id", text=QA).select(
+    return bm25(q, nuggets(spark, folder), 10, query_id="query_id", query="query", text_id="nugget_id", text=qa()).select(
         "query_id", F.col("id").alias("nugget_id"), half_up(F.col("score")).alias("score"), "rank"
     )
 
@@ -94,7 +97,7 @@ def _lists(spark: SparkSession, folder: str) -> DataFrame:
     vector = nearest(q, v, 30).select("query_id", F.col("vec_id").alias("id"), F.lit("vector").alias("list"), "rank", F.lit(1.0).alias("weight"))
     words = F.array_join(F.slice(F.regexp_extract_all(F.lower("question"), F.lit("[a-z]{7,}"), 0), 1, 3), " ")
     text_q = n.join(q, n["row_id"] == q["query_id"]).select("query_id", words.alias("query"))
-    hits = bm25(text_q, n, 30, query_id="query_id", query="query", text_id="row_id", text=QA, mode="or")
+    hits = bm25(text_q, n, 30, query_id="query_id", query="query", text_id="row_id", text=qa(), mode="or")
     lexical = R.merged_lexical(hits).select("query_id", "id", F.lit("bm25").alias("list"), "rank", F.lit(1.0).alias("weight"))
     return vector.unionByName(lexical)
 
@@ -161,7 +164,7 @@ def hybrid_boosted(spark: SparkSession, folder: str) -> DataFrame:
 def rerank_blend(spark: SparkSession, folder: str) -> DataFrame:
     """Fused lists reranked by the share of the query's words that a nugget holds."""
     n = read_table(spark, folder, "nuggets")
-    words = F.array_distinct(F.regexp_extract_all(F.lower(QA), F.lit("[a-z0-9]+"), 0))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(qa()), F.lit("[a-z0-9]+"), 0))
     asked = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("question", F.lit(""))), F.lit("[a-z0-9]+"), 0))
     held = n.select(F.col("row_id").alias("id"), words.alias("w"))
     query = n.select(F.col("row_id").alias("query_id"), asked.alias("q"))
