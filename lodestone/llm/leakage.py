@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.llm.lookalikes import _quoted, duckdb_map, form_sql
 
@@ -107,6 +108,7 @@ def leaked_items(
     schema = T.StructType([T.StructField("id", id_type), T.StructField("item", item_type)])
     rows = documents.select(doc_id.alias("id"), text.cast("string").alias("text")).where("text IS NOT NULL")
     spark = documents.sparkSession
+    item_arrow = to_arrow_type(item_type)
     select = f"SELECT id, {words_sql('text')} AS w FROM batch"
     out = None
     for block in _passes(items, item_id, item_text):
@@ -122,7 +124,7 @@ def leaked_items(
                     found.extend(hit)
                 if ids:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids, b.schema.field(0).type), pa.array(found)], names=["id", "item"]
+                        [pa.array(ids, b.schema.field(0).type), pa.array(found, item_arrow)], names=["id", "item"]
                     )
 
         part = rows.mapInArrow(search, schema)

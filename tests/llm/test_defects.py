@@ -1,0 +1,47 @@
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.llm.defects import ending, is_copy, judge, language, open_structures, pair_defects, tiles
+
+Q = "How does the gate of Arzorlin affect the recall on Mordansil under rain when the depth is shared?"
+
+
+@pytest.mark.parametrize(
+    "answer, defect",
+    [
+        ("", "empty"), ("  \n", "empty"), ("N/A", "empty"), ("[no answer]", "empty"), ("...", "empty"), ("null", "empty"),
+        (Q, "copied_question"), (Q.upper(), "copied_question"), ("Question: " + Q[:-1], "copied_question"), (Q + " " + Q, "copied_question"),
+        ("I'm sorry, but I cannot answer this from the given excerpt.", "refusal"),
+        ("Being a language model, the requested detail is not something I can provide.", "refusal"),
+        ("Der Filter von Arzorlin glättet den Kern und ist nicht stabil.", "other_language"),
+        ("Это ответ на другом языке.", "other_language"),
+        ("The gate reduces the recall (which the", "truncated"), ("The gate reduces the", "truncated"), ("It keeps three steps: 1) the head, 2)", "truncated"),
+        ("The gate is, i.e.", "truncated"), ("Use this:\n```python\nx = 1", "truncated"), ("The gate reduces, so,", "truncated"), ("It says \"the residual", "truncated"),
+        ("The gate fails because…", "truncated"), ("It is multi-", "truncated"),
+        ("12 ms", None), ("Only recall at ten.", None), (Q + " About 12 ms on Mordansil.", None), ("The authors state that Arzorlin cannot handle rain, sorry results included.", None),
+        ("Unfortunately, Arzorlin is not able to keep its rate causal.", None), ("The final figure is 8.4 points [37]", None), ("Further cases (rain, ...) are left open...", None),
+        ("`gate.rate = 3`", None),
+    ],
+)
+def test_judgement(answer, defect):
+    assert judge(Q, answer)[0] == defect
+
+
+def test_parts():
+    assert open_structures('a (b [c] "d" ```x (``` e') == ["("] and open_structures("1) a 2) b") == []
+    assert ending("The gate is shared")[0] == "open" and ending("It is.") == ("sound", None)
+    assert tiles("a b c d".split(), "x a b c d y".split())[0] == 4
+    assert not is_copy("What is it?", "It is what it is and more.")
+    assert language("the gate of the field is")[0] == "en" and language("12 13")[0] is None
+
+
+def test_table(spark):
+    sound = [(f"s{i}", Q, f"The sensor keeps the shared isolation of step {i} and the static gate works. It is isolated and drives the gate.", "x", "y") for i in range(40)]
+    rows = [
+        ("cut", Q, "The sensor keeps the shared isol", "", ""), ("adj", Q, "It works and keeps the static", "", ""), ("ok", Q, "The sensor keeps the gate", "", ""),
+        ("null", Q, None, "", ""), (None, Q, "", "", ""), ("null", Q, None, "", ""), ("noq", None, "A sound answer.", "", ""), ("long", Q, "The gate is fine. " * 20000, "", ""),
+    ]
+    df = spark.createDataFrame(sound + rows, "id string, q string, a string, word string, defect string").repartition(3)
+    got = {r.id: r.defect for r in pair_defects(df, F.col("id"), F.col("q"), F.col("a")).collect()}
+    assert got == {"cut": "truncated", "adj": "truncated", "null": "empty"}
+    assert pair_defects(df.limit(0), F.col("id"), F.col("q"), F.col("a")).count() == 0
