@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 #: Query vectors that are compared in one pass over the vectors.
@@ -44,7 +45,8 @@ def nearest(
     """
     spark = vectors.sparkSession
     kind = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
-    q_kind = queries.schema[query_id].dataType.simpleString()
+    q_type = queries.schema[query_id].dataType
+    q_kind, q_arrow = q_type.simpleString(), to_arrow_type(q_type)
     rows = vectors.select(F.col(vector_id).alias("v"), F.col(vector).cast("array<double>").alias("e")).where("e IS NOT NULL")
     schema = f"query_id {q_kind}, vec_id {kind[vector_id]}, distance double"
     out = None
@@ -76,7 +78,7 @@ def nearest(
                     vs.append(v[at])
                     ds.append(row[at])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(qs), pa.array(np.concatenate(vs)), pa.array(np.concatenate(ds))], names=["query_id", "vec_id", "distance"]
+                    [pa.array(qs, q_arrow), pa.array(np.concatenate(vs), b.schema.field(0).type), pa.array(np.concatenate(ds))], names=["query_id", "vec_id", "distance"]
                 )
 
         part = rows.mapInArrow(best, schema)
