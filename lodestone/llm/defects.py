@@ -308,10 +308,10 @@ def pair_defects(pairs: DataFrame, record_id: Column, question: Column, answer:
                     text = text.rstrip(" .…")
                     text = text[: len(text) - len(text.split(" ")[-1])]
                 if defect in (None, "truncated"):
-                    for w, end in _word_ends(text):
-                        whole[w] += 1
-                        if end:
-                            last[w] += 1
+                    # A word counts once per answer, so that no long answer outweighs the rest.
+                    pairs = set(_word_ends(text))
+                    whole.update({w for w, _ in pairs})
+                    last.update(w for w, end in pairs if end)
             n = len(ids)
             yield pa.RecordBatch.from_arrays(
                 [
