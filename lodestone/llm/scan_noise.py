@@ -13,7 +13,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -43,19 +44,46 @@ SERIES_PAPERS = 3
 
 _SPLIT = re.compile(r"[\s\-–—/=+<>~…·]+")
 _STRIP = ".,;:()[]{}\"'“”‘’«»|?*`_#\\&"
-_BREAK = re.compile(r"([^\W\d_]+(?:[!@$ſ0-9|][^\W\d_]*)*)-[ \t]*\n[ \t]*([^\W\d_][^\s\-]*)")
+_CUT = re.compile(r"-[ \t]*\n[ \t]*")
+_HALF_BEFORE = re.compile(r"[^\W\d_](?:[^\W_]|[!@$|])*$")
+_HALF_AFTER = re.compile(r"[^\W\d_][^\s\-]*")
 _LETTER = re.compile(r"[^\W\d_]")
+_COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
 
 
-def words_of(text: str) -> list[str]:
+@lru_cache(maxsize=200_000)
+def _parts(token: str) -> tuple[str, ...]:
+    """The words of a white-space-separated token; compounds follow their parts."""
+    if token.isalpha():
+        return (token,) if len(token) > 2 else ()
     out = []
-    for w in _SPLIT.split(text):
+    for w in _SPLIT.split(token):
         w = w.strip(_STRIP)
         if w.endswith("!") and not w[:-1].endswith("!"):
             w = w[:-1]
         if len(w) > 2 and _LETTER.search(w):
             out.append(w)
-    return out
+    if "-" in token:
+        out += _COMPOUND.findall(token)
+    return tuple(out)
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text, and its hyphenated compounds."""
+    return [w for t in text.split() for w in _parts(t)]
+
+
+def joined_lines(text: str, join: Callable[[str, str], str | None]) -> str:
+    """The text with words cut at line ends put together: ``join`` gets the halves around a
+    hyphen and gives the word, or None where the line end stays."""
+    out, at = [], 0
+    for m in _CUT.finditer(text):
+        a = _HALF_BEFORE.search(text, max(at, m.start() - 60), m.start())
+        b = _HALF_AFTER.match(text, m.end())
+        if a and b and (word := join(a.group(), b.group())) is not None:
+            out += [text[at : a.start()], word]
+            at = b.end()
+    return "".join(out) + text[at:] if out else text
 
 
 # ---------------------------------------------------------------- averaged perceptron
@@ -220,14 +248,16 @@ def header_form(line: str) -> tuple[str, bool]:
 def header_kind(lines: list[str], i: int) -> tuple[str | None, str]:
     """'sure', 'maybe' (a header if it is repeated) or None for a line, and its bare form."""
     line = lines[i]
-    if _STRUCTURE.match(line) or len(line) > 120:
+    first = line.lstrip()[:1]
+    # Lines that go on in lower case make up most texts; no header begins so.
+    if not first or first.islower() and " · " not in line or len(line) > 120 or _STRUCTURE.match(line):
         return None, ""
-    bare, numbered = header_form(line)
+    bare, numbered = header_form(line) if first.isdigit() or line.rstrip()[-1:].isdigit() else (line.strip(), False)
     words = bare.split()
-    letters = [c for c in bare if c.isalpha()]
-    if not 2 <= len(words) <= 14 or len(letters) < 6 or _VALUE.fullmatch(bare):
+    upper, lower = sum(map(str.isupper, bare)), sum(map(str.islower, bare))
+    if not 2 <= len(words) <= 14 or upper + lower < 6 or _VALUE.fullmatch(bare):
         return None, ""
-    if sum(c.isupper() for c in letters) >= 0.9 * len(letters) and len(letters) >= 8:
+    if upper >= 0.9 * (upper + lower) and upper + lower >= 8:
         return "sure", bare
     if " · " in bare or re.search(r"\bet al\.? \| ", bare):
         return "sure", bare
@@ -307,59 +337,52 @@ class PageReader:
         hyphened = self.frequent.get(f"{a}-{b}", self.frequent.get(f"{a}-{b}".lower(), 0))
         return hyphened > whole
 
-    def furniture(self, lines: list[str], known: set[str]) -> dict[int, str]:
+    def furniture(self, lines: list[str], kinds: list[tuple[str | None, str]], known: set[str]) -> dict[int, str]:
         """Which lines are page numbers and running headers; known: repeated lines, folded."""
         out = {}
         for i, line in enumerate(lines):
             if not line.strip():
                 continue
+            kind, bare = kinds[i]
             if is_page_number(lines, i):
                 out[i] = "page_number"
-            else:
-                kind, bare = header_kind(lines, i)
-                if kind == "sure" or (kind and folded(bare) in known):
-                    out[i] = "running_header"
+            elif kind == "sure" or (kind and known and folded(bare) in known):
+                out[i] = "running_header"
         return out
 
-    def breaks(self, text: str) -> Iterator[re.Match]:
-        for m in _BREAK.finditer(text):
-            if m.group(1)[-1].islower() and m.group(2)[0].islower() and not self.own_hyphen(m.group(1), m.group(2)):
-                yield m
-
     def unbroken(self, text: str) -> tuple[str, int]:
         """Words cut at line ends made whole; own hyphens keep their hyphen."""
         n = 0
 
-        def joined(m: re.Match) -> str:
+        def join(a: str, b: str) -> str | None:
             nonlocal n
-            a, b = m.group(1), m.group(2)
             if not (a[-1].islower() and b[0].islower()):
-                return m.group()
+                return None
             if self.own_hyphen(a, b):
                 return f"{a}-{b}"
             n += 1
             return a + b
 
-        return _BREAK.sub(joined, text), n
+        return joined_lines(text, join), n
 
-    def noise(self, text: str, known: set[str]) -> set[str]:
+    def noise(self, text: str, known: set[str]) -> tuple[set[str], list[tuple[str | None, str]]]:
+        """The sure traces, and what kind of header each line may be."""
         lines = text.split("\n")
-        found = self.furniture(lines, known)
+        kinds = [header_kind(lines, i) for i in range(len(lines))]
+        found = self.furniture(lines, kinds, known)
         out = set(found.values())
         # A line in the form of a series title does not stand between the halves of a word.
-        body = "\n".join(
-            x for i, x in enumerate(lines) if i not in found and header_kind(lines, i)[0] != "series"
-        )
+        body = "\n".join(x for i, x in enumerate(lines) if i not in found and kinds[i][0] != "series")
         whole, n = self.unbroken(body)
         if n:
             out.add("hyphen_break")
-        if any(w in self.fix for w in words_of(whole)):
+        if not self.fix.keys().isdisjoint(words_of(whole)):
             out.add("misread")
-        return out
+        return out, kinds
 
     def repaired(self, text: str, known: set[str]) -> str:
         lines = text.split("\n")
-        found = self.furniture(lines, known)
+        found = self.furniture(lines, [header_kind(lines, i) for i in range(len(lines))], known)
         body, _ = self.unbroken("\n".join(x for i, x in enumerate(lines) if i not in found))
         widest = max((len(x) for i, x in enumerate(lines) if i not in found), default=0)
         lines = body.split("\n")
@@ -394,9 +417,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter[str] = Counter()
         lines: Counter[tuple] = Counter()
         for paper, chunk, text in zip(*(c.to_pylist() for c in batch.columns)):
-            whole = _BREAK.sub(lambda m: m.group(1) + m.group(2), text)
-            words.update(words_of(whole))
-            words.update(re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)+", whole))
+            words.update(words_of(joined_lines(text, lambda a, b: a + b)))
             split = text.split("\n")
             mine: Counter[tuple] = Counter()
             for i in range(len(split)):
@@ -504,10 +525,9 @@ def chunk_noise(chunks: DataFrame, paper: Column, chunk: Column, text: Column, m
             for b in batches:
                 found = []
                 for p, c, t in zip(*(x.to_pylist() for x in b.columns)):
-                    found += [(p, c, k, None, None) for k in reader.noise(t, set())]
-                    lines = t.split("\n")
-                    for i in range(len(lines)):
-                        h, bare = header_kind(lines, i)
+                    sure, kinds = reader.noise(t, set())
+                    found += [(p, c, k, None, None) for k in sure]
+                    for h, bare in kinds:
                         if h in ("maybe", "series"):
                             found.append((p, c, "running_header", folded(bare), series_form(bare) if h == "series" else None))
                 yield pa.RecordBatch.from_arrays(

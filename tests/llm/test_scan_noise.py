@@ -69,5 +69,5 @@ def test_empty(spark):
 
 
 def test_words():
-    assert S.words_of("The (err0r), a! mult!ply well-known") == ["The", "err0r", "mult!ply", "well", "known"]
+    assert S.words_of("The (err0r), a! mult!ply well-known") == ["The", "err0r", "mult!ply", "well", "known", "well-known"]
     assert Counter(S.words_of("")) == Counter()
