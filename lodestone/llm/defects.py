@@ -149,16 +149,19 @@ for _k, _v in _SETS.items():
         _WORD_LANG.setdefault(_w, []).append(_k)
 
 
+_LETTER = re.compile(r"[^\W\d_]")
+_NOT_LATIN = re.compile(r"(?![\u1e00-\u1eff\u2c60-\u2c7f\ua720-\ua7ff\uff00-\uff5e])[^\W\d_\u0000-\u036f]")
+
+
 def language(text: str) -> tuple[str | None, float]:
     """The language by function words (script for others than Latin) and its lead over the next."""
-    letters = [c for c in text if c.isalpha()]
-    if letters:
-        foreign = [c for c in letters if ord(c) > 0x24F]
-        if len(foreign) > 0.5 * len(letters):
+    if not text.isascii():
+        foreign = _NOT_LATIN.findall(text)
+        if len(foreign) > 0.5 * len(_LETTER.findall(text)):
             c = ord(foreign[len(foreign) // 2])
             return ("greek" if c < 0x400 else "cyrillic" if c < 0x530 else f"script{c // 0x400}"), 9.0
     score: dict[str, float] = dict.fromkeys(_SETS, 0.0)
-    for w in re.findall(r"[^\W\d_]+", text.lower()):
+    for w in text.lower().replace("'", " ").replace("’", " ").split():
         langs = _WORD_LANG.get(w)
         if langs:
             for k in langs:
