@@ -199,7 +199,7 @@ def _ai_sql(pattern: str) -> str:
 
 _AI = {c: " + ".join(_ai_sql(x) for x in p) for c, p in T.AI_PATTERNS.items()}
 _HEAD = "CASE " + " ".join(f"WHEN regexp_matches(l, '{p}') THEN '{n}'" for p, n in T.SECTION_HEADINGS) + " END"
-_BARE = "trim(regexp_replace(regexp_replace({t}, '^[.,;:!?\"''()-]+', ''), '[.,;:!?\"''()-]+$', ''))"
+_BARE = "regexp_replace(regexp_replace({t}, '^[.,;:!?\"''()-]+', ''), '[.,;:!?\"''()-]+$', '')"
 _ABBR = "|".join(a.replace(".", r"\.") for a in T.ABBREVIATIONS)
 # RE2 has no look-behind: ends of sentences are marked first, then split at the mark.
 _SENT = (

@@ -147,7 +147,7 @@ def chapter_boundaries(spark: SparkSession, folder: str) -> DataFrame:
     d = read_table(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     words = F.regexp_extract_all(F.lower("line"), F.lit(r"[\p{L}\p{N}_]+"), 0)
     flat = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-    found = F.filter(F.array(*[F.lit(w) for w in CHAPTER_WORDS["introduction"]]), lambda w: flat.contains(F.concat(F.lit(" "), w, F.lit(" "))))
+    found = F.array_distinct(F.regexp_extract_all(flat, F.lit(f"(?<= )({'|'.join(CHAPTER_WORDS['introduction'])})(?= )"), 1))
     hits = d.where(~F.trim("line").startswith("%")).select("doc_id", "i", F.explode(found).alias("word"))
     return hits.groupBy("doc_id", "word").agg((F.min("i") + 1).cast("long").alias("line_no"))
 
