@@ -92,14 +92,16 @@ def bm25(
     units = queries.select(F.col(query_id).alias("query_id"), F.explode(query_units(F.col(query))).alias("unit"))
     length = F.size(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), 0)).cast("double")
     sized = texts.select(F.col(text_id).alias("id"), length.alias("dl"))
-    stats = sized.agg(F.count(F.lit(1)).cast("double").alias("n_all"), F.avg("dl").alias("avgdl"))
+    n_all = sized.agg(F.count(F.lit(1)).cast("double")).scalar()
+    avgdl = sized.agg(F.avg("dl")).scalar()
     hits = unit_hits(texts, text_id, text, units)
     df = hits.groupBy("unit").agg(F.count(F.lit(1)).cast("double").alias("n"))
     scored = (
         units.join(hits, "unit")
         .join(df, "unit")
         .join(sized, "id")
-        .crossJoin(F.broadcast(stats))  # one row
+        .withColumn("n_all", n_all)
+        .withColumn("avgdl", avgdl)
         .withColumn("idf", F.greatest(F.log((F.col("n_all") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(LEAST_IDF)))
         .withColumn(
             "part",

@@ -198,11 +198,10 @@ def stratified_sample(spark: SparkSession, folder: str) -> DataFrame:
     """200 nuggets, each type in proportion and at least once, by seeded digest."""
     n = nuggets(spark, folder).select("nugget_id", F.coalesce(F.lower("type"), F.lit("(none)")).alias("type"), F.md5(F.concat(F.lit("42:"), "nugget_id").cast("binary")).alias("r"))
     sizes = n.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
-    total = sizes.agg(F.sum("n").alias("total"))  # one row
     quota = F.greatest(F.floor(F.col("n") * 200 / F.col("total")), F.lit(1))
-    quotas = sizes.crossJoin(F.broadcast(total)).select("type", quota.alias("quota"))
+    quotas = sizes.withColumn("total", sizes.agg(F.sum("n")).scalar()).select("type", quota.alias("quota"))
     order = Window.partitionBy("type").orderBy("r", "nugget_id")
-    picked = n.join(F.broadcast(quotas), "type").withColumn("k", F.row_number().over(order)).where("k <= quota")
+    picked = n.join(quotas, "type").withColumn("k", F.row_number().over(order)).where("k <= quota")
     return picked.select("nugget_id", "type")
 
 

@@ -164,9 +164,9 @@ def section_balance(spark: SparkSession, folder: str) -> DataFrame:
     """Words per section against the mean of all sections, with flags for odd ones."""
     c = read_table(spark, folder, "chunks").where("text IS NOT NULL").select("paper_id", "chunk_id", "text", "section").distinct()
     g = c.groupBy(F.coalesce("section", F.lit("(none)")).alias("section")).agg(F.sum(T.whitespace_words(F.col("text"))).cast("long").alias("words"))
-    stats = g.agg(F.avg("words").alias("mean"), F.stddev_samp("words").alias("dev"))
+    mean, dev = g.agg(F.avg("words")).scalar(), g.agg(F.stddev_samp("words")).scalar()
     ratio = F.col("words") / F.col("mean")
-    return g.crossJoin(F.broadcast(stats)).select(
+    return g.withColumn("mean", mean).withColumn("dev", dev).select(
         "section", "words", half_up(ratio, 3).alias("ratio"), half_up(F.col("dev") / F.col("mean"), 3).alias("variation"),
         ((ratio < 0.25) | (ratio > 3)).alias("odd"),
     )
@@ -179,9 +179,8 @@ def author_share(spark: SparkSession, folder: str) -> DataFrame:
     names = F.when(F.col("authors").startswith("["), F.coalesce(json, F.array().cast("array<string>"))).otherwise(F.split("authors", ";"))
     a = papers(spark, folder).where("authors IS NOT NULL").select(F.explode(names).alias("author")).select(F.trim("author").alias("author")).where("author <> ''")
     g = a.groupBy("author").agg(F.count(F.lit(1)).alias("papers"))
-    all_ = g.agg(F.sum("papers").alias("total"))  # one row
     share = F.col("papers") * 100 / F.col("total")
-    return g.crossJoin(F.broadcast(all_)).select("author", "papers", half_up(share, 2).alias("percent"), (share > 15).alias("dominant"))
+    return g.withColumn("total", g.agg(F.sum("papers")).scalar()).select("author", "papers", half_up(share, 2).alias("percent"), (share > 15).alias("dominant"))
 
 
 _D = "d AS (SELECT doc_id, text, coalesce(source, '(none)') AS source FROM documents WHERE text IS NOT NULL)"
