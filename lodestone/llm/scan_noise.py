@@ -42,6 +42,10 @@ CORRECTIONS_PER_PASS = 400_000
 #: A line's form is furniture of a series when it stands in so many papers.
 SERIES_PAPERS = 3
 
+#: Evidence that a line repeated in a paper is a header: two lines in the form of a series
+#: title, or three of another form.
+WEIGHT, REPEATED = {"series": 3, "maybe": 2, "sure": 3}, 6
+
 _SPLIT = re.compile(r"[\s\-–—/=+<>~…·]+")
 _STRIP = ".,;:()[]{}\"'“”‘’«»|?*`_#\\&"
 _CUT = re.compile(r"-[ \t]*\n[ \t]*")
@@ -315,6 +319,8 @@ def train_joiner() -> Perceptron:
             lines = textwrap.wrap(text, width)
             examples += [(a, b, width, "join") for a, b in zip(lines, lines[1:])]
             examples += [(lines[-1], x, width, "keep") for x in _LISTS]
+            if len(lines[-1]) + len(lines[0].split(" ")[0]) < width:  # a short last line ends its paragraph
+                examples.append((lines[-1], lines[0], width, "keep"))
             examples += [(x, y, width, "keep") for x in _LISTS for y in _LISTS]
             examples += [(x, lines[0], width, "keep") for x in _LISTS]
     for _ in range(4):
@@ -423,7 +429,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(len(split)):
                 kind, bare = header_kind(split, i)
                 if kind:
-                    mine["line", paper, folded(bare), chunk] += 1
+                    mine["line", paper, folded(bare), chunk] += WEIGHT[kind]
                     if kind == "series":
                         mine["series", series_form(bare), paper, ""] = 1
             for k, n in mine.items():
@@ -471,7 +477,7 @@ def fit(chunks: DataFrame, paper: Column, chunk: Column, text: Column) -> ScanMo
     rare = words.where((F.col("n") * FAR_MORE_ODD <= most) & (F.length("word") > 3))
     corrections = cut(rare.mapInArrow(correct, "word string, correct string"))
     lines = counted.where("kind = 'line'").groupBy("a", "b", "c").agg(F.max("n").alias("n"))
-    repeated = lines.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1 AND a IS NOT NULL").select(
+    repeated = lines.groupBy("a", "b").agg(F.sum("n").alias("n")).where((F.col("n") >= REPEATED) & F.col("a").isNotNull()).select(
         F.col("a").alias("paper"), F.col("b").alias("line")
     )
     series = (
@@ -503,6 +509,33 @@ def _passes(model: ScanModel) -> Iterator[dict[str, str]]:
     yield held
 
 
+def _series_passes(model: ScanModel) -> Iterator[set[str]]:
+    held: set[str] = set()
+    for r in model.series.toLocalIterator():
+        held.add(r["form"])
+        if len(held) >= CORRECTIONS_PER_PASS:
+            yield held
+            held = set()
+    if held:
+        yield held
+
+
+def _without_series(forms: set[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A mapInArrow function that takes lines in the form of a series title out of the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = []
+            for t in b.column(2).to_pylist():
+                lines = (t or "").split("\n")
+                kinds = [header_kind(lines, i) for i in range(len(lines))]
+                gone = {i for i, (k, bare) in enumerate(kinds) if k == "series" and series_form(bare) in forms}
+                texts.append("\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else t)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), b.column(3)], names=b.schema.names)
+
+    return run
+
+
 def chunk_noise(chunks: DataFrame, paper: Column, chunk: Column, text: Column, model: ScanModel | None = None) -> DataFrame:
     """paper, chunk, noise: the traces of the printed page in each chunk, one row per kind.
 
@@ -559,6 +592,8 @@ def repaired_chunks(chunks: DataFrame, paper: Column, chunk: Column, text: Colum
     rows = chunks.select(paper.cast("string").alias("paper"), chunk.alias("chunk"), text.cast("string").alias("text"))
     rows = rows.withColumn("key", F.lower(F.trim("paper"))).join(known, "key", "left").select("paper", "chunk", "text", "known")
     schema = f"paper string, chunk {kind}, text string, known array<string>"
+    for forms in _series_passes(model):
+        rows = rows.mapInArrow(_without_series(forms), schema)
     for block in _passes(model):
         sent = rows.sparkSession.sparkContext.broadcast((model.frequent, block))
 
