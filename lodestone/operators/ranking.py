@@ -120,6 +120,16 @@ def authority_boost(
     return F.when(~known, 1.0).when(broken, 0.3).otherwise(score)
 
 
+def title_boost(query: Column, title: Column, stop: tuple[str, ...]) -> Column:
+    """Boost where query and title share a word of at least 4 letters (words of 3 letters or
+    more that are no stopwords count)."""
+    names = F.array(*[F.lit(w) for w in stop])
+    words = lambda c: F.filter(
+        F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), 0)), lambda w: (F.length(w) >= 4) & ~F.array_contains(names, w)
+    )
+    return F.when(F.arrays_overlap(words(query), words(title)), F.lit(TITLE_BOOST)).otherwise(1.0)
+
+
 def quality_boost(score: Column) -> Column:
     fine = score.isNotNull() & ~F.isnan(score) & (score > 0)
     return F.when(fine, F.greatest(1 + (score - 3) * QUALITY_WEIGHT, F.lit(0.5))).otherwise(1.0)

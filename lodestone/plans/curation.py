@@ -138,6 +138,33 @@ def override_merge(spark: SparkSession, folder: str) -> DataFrame:
     return store.override(n, better, "nugget_id", ["score"]).groupBy("type").agg(half_up(F.avg("score"), 3).alias("mean_score"), F.count(F.lit(1)).alias("nuggets"))
 
 
+def quality_apply(spark: SparkSession, folder: str) -> DataFrame:
+    """Nuggets after rating: scores joined by id (none counts as 0 and is marked), papers whose
+    scores are all 0 kept whole, weak ones (1 and 2) removed otherwise."""
+    n = nuggets(spark, folder).select("nugget_id", key_of("paper_id").alias("paper_key")).where("paper_key IS NOT NULL")
+    s = nuggets(spark, folder).where(F.col("overall_score").between(1, 5)).select("nugget_id", F.floor("overall_score").cast("int").alias("overall"))
+    r = n.join(s, "nugget_id", "left").select("nugget_id", "paper_key", F.coalesce("overall", F.lit(0)).alias("overall"), F.col("overall").isNull().alias("unrated"))
+    best = r.groupBy("paper_key").agg(F.max("overall").alias("best"))
+    r = r.join(best, "paper_key")
+    kept = (F.col("best") == 0) | ~F.col("overall").between(1, 2)
+    return r.groupBy("paper_key").agg(
+        F.count(F.when(kept, True)).alias("kept"), F.count(F.when(~kept, True)).alias("removed"), F.count(F.when(F.col("unrated"), True)).alias("unrated")
+    )
+
+
+def renumbered(spark: SparkSession, folder: str) -> DataFrame:
+    """New running ids of each paper's nuggets, in the order of their chunks."""
+    n = nuggets(spark, folder).withColumn("paper_key", key_of("paper_id")).where("paper_key IS NOT NULL AND removed_at IS NULL")
+    # Numbers run over the paper, but only a chunk's nuggets are sorted together: each chunk
+    # begins after the nuggets of the chunks before it.
+    n = n.select("nugget_id", "paper_key", F.coalesce("source_chunk", F.lit(-1)).alias("chunk"))
+    before = n.groupBy("paper_key", "chunk").agg(F.count(F.lit(1)).alias("c"))
+    chunks = Window.partitionBy("paper_key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = before.select("paper_key", "chunk", F.coalesce(F.sum("c").over(chunks), F.lit(0)).alias("before"))
+    k = F.col("before") + F.row_number().over(Window.partitionBy("paper_key", "chunk").orderBy("nugget_id")) - 1
+    return n.join(before, ["paper_key", "chunk"]).select("nugget_id", F.concat("paper_key", F.lit("_"), k.cast("string")).alias("new_id"))
+
+
 def candidate_keys(spark: SparkSession, folder: str) -> DataFrame:
     """Papers by the identifier that names them: arXiv, DOI or title; and repeated ones."""
     arxiv, doi = F.nullif(F.trim("arxiv_id"), F.lit("")), F.nullif(F.lower(F.trim("doi")), F.lit(""))
@@ -259,6 +286,13 @@ FROM new w LEFT JOIN old o ON o.nugget_id = w.nugget_id GROUP BY 1""",
   count(*) AS times_seen, coalesce(max(citation_count), -1) AS best_score FROM papers WHERE trim(paper_id) <> '' GROUP BY 1""",
     "override_merge": f"""WITH {N}, s AS (SELECT lower(type) AS type, CASE WHEN overall_score BETWEEN 1 AND 5 THEN overall_score END AS score FROM n)
 SELECT type, {half_up_sql("avg(CASE WHEN type = 'method' AND score <= 2 THEN 3.0 ELSE score END)", 3)} AS mean_score, count(*) AS nuggets FROM s GROUP BY 1""",
+    "quality_apply": f"""WITH {N}, r AS (SELECT {_PK} AS paper_key, CASE WHEN overall_score BETWEEN 1 AND 5 THEN CAST(floor(overall_score) AS INTEGER) ELSE 0 END AS o,
+  NOT coalesce(overall_score BETWEEN 1 AND 5, false) AS u FROM n WHERE trim(paper_id) <> ''),
+b AS (SELECT *, max(o) OVER (PARTITION BY paper_key) AS best FROM r)
+SELECT paper_key, count(*) FILTER (WHERE best = 0 OR o NOT BETWEEN 1 AND 2) AS kept, count(*) FILTER (WHERE best > 0 AND o BETWEEN 1 AND 2) AS removed,
+  count(*) FILTER (WHERE u) AS unrated FROM b GROUP BY 1""",
+    "renumbered": f"""WITH {N} SELECT nugget_id, lower(trim(paper_id)) || '_' || CAST(row_number() OVER (PARTITION BY lower(trim(paper_id)) ORDER BY coalesce(source_chunk, -1), nugget_id) - 1 AS VARCHAR) AS new_id
+FROM n WHERE trim(paper_id) <> '' AND removed_at IS NULL""",
     "candidate_keys": """WITH k AS (SELECT CASE WHEN trim(arxiv_id) <> '' THEN 'arxiv:' || trim(arxiv_id) WHEN trim(doi) <> '' THEN 'doi:' || lower(trim(doi))
   ELSE 'title:' || trim(regexp_replace(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9\\s\\-]', '', 'g'), '\\s+', ' ', 'g')) END AS k FROM papers),
 g AS (SELECT k, count(*) AS n FROM k GROUP BY 1)
@@ -285,6 +319,6 @@ QUERIES = {
     for f in (
         fixed_chunks, flex_chunks, section_islands, jaccard_pairs, greedy_dedup, near_dup_vs_existing, fuzzy_titles,
         change_detection, fingerprints, incremental_upsert, reuse_embeddings, quality_flag, ledger_upsert, override_merge,
-        candidate_keys, keyword_authority_score, self_retrieval_metrics, canary_recall, stratified_sample,
+        quality_apply, renumbered, candidate_keys, keyword_authority_score, self_retrieval_metrics, canary_recall, stratified_sample,
     )
 }

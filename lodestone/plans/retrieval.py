@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.functions.text import TITLE_STOPWORDS
 from lodestone.operators import ranking as R
 from lodestone.operators.lexical import bm25
-from lodestone.operators.vectors import nearest
+from lodestone.operators.vectors import cosine_similarity, nearest
 from lodestone.plans.base import N, P, half_up_sql, nuggets, papers
 from lodestone.session import half_up, key_of, read_table
 
@@ -130,6 +131,7 @@ def _boosted(spark: SparkSession, folder: str) -> DataFrame:
         .join(by_nugget, "nugget_key", "left")
         .join(by_paper, "paper_key", "left")
         .join(totals, "paper_key", "left")
+        .join(read_table(spark, folder, "nuggets").select(F.col("row_id").alias("query_id"), F.col("question").alias("asked")), "query_id", "left")
     )
     targets = F.array(F.lit("background"), F.lit("method"))
     score = (
@@ -145,6 +147,7 @@ def _boosted(spark: SparkSession, folder: str) -> DataFrame:
             F.col("influential_citation_count"), F.col("paper_type"), mode["authority"], mode["review"],
         )
         * R.quality_boost(F.col("overall_score"))
+        * F.coalesce(R.title_boost(F.col("asked"), F.col("title"), TITLE_STOPWORDS), F.lit(1.0))
     )
     return rows.withColumn("score", score)
 
@@ -191,6 +194,36 @@ def pinned_select(spark: SparkSession, folder: str) -> DataFrame:
     return R.pinned(rows).select(F.col("id").alias("nugget_id"), "type", "score")
 
 
+def paper_shortcut(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nuggets to answer from when a question names one paper (the one with most
+    nuggets): those of preferred sections first, then by relevance and score."""
+    n = nuggets(spark, folder).withColumn("paper_key", key_of("paper_id")).where("paper_key IS NOT NULL")
+    top = n.groupBy("paper_key").agg(F.count(F.lit(1)).alias("c")).orderBy(F.col("c").desc(), "paper_key").limit(1).select("paper_key")
+    score = F.when(F.col("overall_score").between(1, 5), F.col("overall_score")).otherwise(-1.0)
+    preferred = F.lower(F.coalesce("section", F.lit(""))).isin("results", "experiments", "method", "discussion")
+    r = n.join(top, "paper_key", "left_semi").select("nugget_id", preferred.alias("preferred"), F.coalesce("thesis_relevance", F.lit(0)).alias("relevance"), score.alias("score"))
+    return r.orderBy(F.col("preferred").desc(), F.col("relevance").desc(), F.col("score").desc(), "nugget_id").limit(20)
+
+
+def prompt_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """The sources block of a prompt from the nearest nuggets, one text per query vector."""
+    v = _vectors(spark, folder)
+    q = v.where("vec_id IN (1, 2, 3)").withColumnRenamed("vec_id", "query_id")
+    n = read_table(spark, folder, "nuggets").select(F.col("row_id").alias("vec_id"), "nugget_id", F.coalesce("type", F.lit("")).alias("type"), F.coalesce("answer", F.lit("")).alias("answer"))
+    one = F.format_string('<source id="%s" type="%s">%s</source>', "nugget_id", "type", "answer")
+    h = nearest(q, v.join(n.select("vec_id"), "vec_id", "left_semi"), 5).join(n, "vec_id")
+    g = h.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", one.alias("s")))).alias("r"))
+    return g.select("query_id", F.concat(F.lit("<sources>"), F.array_join(F.transform("r", lambda x: x["s"]), "\n"), F.lit("</sources>")).alias("prompt"))
+
+
+def anchor_similarity(spark: SparkSession, folder: str) -> DataFrame:
+    """The best cosine similarity of each vector to five anchors."""
+    v = _vectors(spark, folder)
+    anchors = v.where("vec_id BETWEEN 1 AND 5").agg(F.collect_list("embedding").alias("a"))  # five rows
+    best = F.array_max(F.transform("a", lambda x: cosine_similarity(x, F.col("embedding"))))
+    return v.withColumn("a", anchors.scalar()).select("vec_id", half_up(best).alias("similarity"))
+
+
 COMPARE = (
     r"(?i)\b(compar|vs\.?|versus|differ|trade.?offs?|advantage|disadvantage|better|worse|outperform|benchmark|against"
     r"|relative to|between .+ and)\b"
@@ -264,6 +297,11 @@ fused AS (
   FROM (SELECT query_id, id, rank FROM vec UNION ALL SELECT query_id, id, rank FROM bm) GROUP BY 1, 2
 )"""
 
+_TW = (
+    "list_filter(list_distinct(regexp_extract_all(lower(coalesce({c}, '')), '[\\p{{L}}\\p{{N}}_]+')), lambda w: length(w) >= 4 AND w NOT IN ("
+    + ", ".join(f"'{w}'" for w in TITLE_STOPWORDS)
+    + "))"
+)
 _BOOSTED = f"""
 WITH {N}, {P}, {_FUSED},
 fb AS (
@@ -297,8 +335,9 @@ boosted AS (
            ELSE 1 + 1.5::DOUBLE * 0.1 * least(log10(greatest(coalesce(p.citation_count, 0), 1)), 4.0)
              + CASE WHEN p.influential_citation_count > 10 THEN 0.1 ELSE 0 END
              + CASE WHEN regexp_matches(lower(coalesce(p.paper_type, '')), 'review|survey') THEN 0.3 ELSE 0 END END
-    * CASE WHEN r.overall_score > 0 AND NOT isnan(r.overall_score) THEN greatest(1 + (r.overall_score - 3) * 0.15::DOUBLE, 0.5) ELSE 1 END AS score
-  FROM rows r LEFT JOIN hits USING (query_id, paper_key) LEFT JOIN p ON p.paper_key = r.paper_key
+    * CASE WHEN r.overall_score > 0 AND NOT isnan(r.overall_score) THEN greatest(1 + (r.overall_score - 3) * 0.15::DOUBLE, 0.5) ELSE 1 END
+    * CASE WHEN list_has_any({_TW.format(c="a.question")}, {_TW.format(c="p.title")}) THEN 2.0::DOUBLE ELSE 1 END AS score
+  FROM rows r LEFT JOIN nuggets a ON a.row_id = r.query_id LEFT JOIN hits USING (query_id, paper_key) LEFT JOIN p ON p.paper_key = r.paper_key
   LEFT JOIN nv ON nv.nugget_key = lower(trim(r.nugget_id)) LEFT JOIN pv ON pv.paper_key = r.paper_key
   LEFT JOIN pt ON pt.paper_key = r.paper_key
 )
@@ -354,6 +393,16 @@ WITH {N}, {P}, x AS (
 ), a AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY paper_key, type ORDER BY score DESC, nugget_id) <= 4),
 b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY paper_key ORDER BY score DESC, nugget_id) <= 15)
 SELECT nugget_id, type, score FROM b ORDER BY score DESC, nugget_id LIMIT 20""",
+    "paper_shortcut": f"""WITH {N}, t AS (SELECT lower(trim(paper_id)) AS k FROM n WHERE trim(paper_id) <> '' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+SELECT nugget_id, lower(coalesce(section, '')) IN ('results', 'experiments', 'method', 'discussion') AS preferred, coalesce(thesis_relevance, 0) AS relevance,
+  CASE WHEN overall_score BETWEEN 1 AND 5 THEN overall_score ELSE -1 END AS score FROM n WHERE lower(trim(paper_id)) IN (SELECT k FROM t)
+ORDER BY 2 DESC, 3 DESC, 4 DESC, 1 LIMIT 20""",
+    "prompt_sources": f"""WITH h AS (SELECT q.vec_id AS query_id, '<source id="' || x.nugget_id || '" type="' || coalesce(x.type, '') || '">' || coalesce(x.answer, '') || '</source>' AS s,
+  row_number() OVER (PARTITION BY q.vec_id ORDER BY {_E}, e.vec_id) AS rank FROM embeddings q, embeddings e JOIN nuggets x ON x.row_id = e.vec_id
+  WHERE q.vec_id IN (1, 2, 3) QUALIFY rank <= 5)
+SELECT query_id, '<sources>' || string_agg(s, chr(10) ORDER BY rank) || '</sources>' AS prompt FROM h GROUP BY 1""",
+    "anchor_similarity": f"""SELECT e.vec_id, {half_up_sql("max(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])))")} AS similarity
+FROM embeddings e, embeddings q WHERE q.vec_id BETWEEN 1 AND 5 GROUP BY 1""",
     "query_classify": f"""
 WITH {N}, q AS (SELECT DISTINCT question FROM n WHERE trim(question) <> ''), c AS (
   SELECT regexp_matches(question, '{COMPARE}') AS comparison, regexp_matches(question, '{DEFINE}') AS definitional,
@@ -368,6 +417,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         vector_topk_enriched, vector_year_filter, vector_multi_query, knn_self_join, bm25_search, bm25_batch, rrf_fusion,
-        hybrid_boosted, rerank_blend, diversity_select, pinned_select, query_classify,
+        hybrid_boosted, rerank_blend, diversity_select, pinned_select, query_classify, paper_shortcut, prompt_sources, anchor_similarity,
     )
 }

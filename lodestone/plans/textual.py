@@ -183,6 +183,30 @@ def author_share(spark: SparkSession, folder: str) -> DataFrame:
     return g.withColumn("total", g.agg(F.sum("papers")).scalar()).select("author", "papers", half_up(share, 2).alias("percent"), (share > 15).alias("dominant"))
 
 
+def chapter_overview(spark: SparkSession, folder: str) -> DataFrame:
+    """Words and citations of the parts between headings, per document."""
+    parts = F.split("text", r"(?m)^#+[^\n]*$")
+    d = _docs(spark, folder).where(F.col("text").rlike(r"(?m)^#+")).select("doc_id", F.posexplode(parts).alias("part", "body"))
+    return d.select("doc_id", "part", T.whitespace_words(F.col("body")).alias("words"), F.regexp_count("body", F.lit(r"\[\d+\]")).cast("long").alias("cites"))
+
+
+def consecutive_citations(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks in which more than two single citations follow one another."""
+    c = read_table(spark, folder, "chunks").where("text IS NOT NULL").select("paper_id", "chunk_id", "text").distinct()
+    marks = F.regexp_extract_all("text", F.lit(r"\[\d+(?:,\s*\d+)*\]"), 0)
+    single = F.transform(marks, lambda m: ~m.contains(","))
+    n = F.size(single)
+    pairs = F.zip_with(F.slice(single, 1, F.greatest(n - 1, F.lit(0))), F.slice(single, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: a & b)
+    out = c.select("paper_id", "chunk_id", F.when(n > 1, F.size(F.filter(pairs, lambda x: x))).otherwise(0).cast("long").alias("runs"))
+    return out.where("runs > 2").distinct()
+
+
+def paper_refs(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that name papers by arXiv number or cite key."""
+    d = _docs(spark, folder).select(F.explode(T.paper_references(F.col("text"))).alias("ref"))
+    return d.groupBy("ref").agg(F.count(F.lit(1)).alias("documents"))
+
+
 _D = "d AS (SELECT doc_id, text, coalesce(source, '(none)') AS source FROM documents WHERE text IS NOT NULL)"
 _WORDS = "len(regexp_extract_all({t}, '\\S+'))"
 _STOP = "(" + ", ".join(f"'{w}'" for w in T.TOPIC_STOPWORDS) + ")"
@@ -225,6 +249,11 @@ SELECT term, count(*) AS n FROM w GROUP BY 1 HAVING count(*) >= 30 ORDER BY 2 DE
     "entity_terms": f"""WITH {N}, t AS (SELECT concat_ws(chr(10), question, answer) AS t FROM n), e AS (
 {" UNION ALL ".join(f"SELECT unnest(regexp_extract_all(t, '{p}')) AS term FROM t" for p in T.ENTITY_FORMS)})
 SELECT term, count(*) AS n FROM e WHERE upper(term) NOT IN ({", ".join(f"'{w}'" for w in T.ENTITY_STOPWORDS)}) GROUP BY 1 HAVING count(*) >= 10""",
+    "chapter_overview": f"""WITH {_D}, p AS (SELECT doc_id, string_split_regex(text, '(?m)^#+[^\\n]*$') AS b FROM d WHERE regexp_matches(text, '(?m)^#+'))
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS part, {_WORDS.format(t='b[i]')} AS words, len(regexp_extract_all(b[i], '\\[\\d+\\]')) AS cites FROM p, unnest(range(1, len(b) + 1)) AS r(i)""",
+    "consecutive_citations": f"""WITH {_C}, m AS (SELECT DISTINCT paper_id, chunk_id, list_transform(regexp_extract_all(text, '\\[\\d+(?:,\\s*\\d+)*\\]'), lambda x: NOT contains(x, ',')) AS s FROM c),
+r AS (SELECT paper_id, chunk_id, len(list_filter(range(1, len(s)), lambda i: s[i] AND s[i + 1])) AS runs FROM m)
+SELECT DISTINCT * FROM r WHERE runs > 2""",
     "acronyms": f"""WITH {_D}, a AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\\b[A-Z]{{2,}}\\b'))) AS acronym FROM d)
 SELECT acronym, count(*) AS documents FROM a WHERE acronym NOT IN ({", ".join(f"'{w}'" for w in T.KNOWN_ACRONYMS)}) GROUP BY 1""",
     "terminology": f"""WITH {_D}, t AS ({" UNION ALL ".join(
@@ -289,6 +318,6 @@ QUERIES = {
     for f in (
         word_paragraph_counts, sentences, flesch_kincaid, ai_patterns, first_person, hedging, normalize_title, bigram_terms,
         unigram_terms, entity_terms, acronyms, terminology, section_detect, reference_filter, min_length_filter,
-        document_strings, clamped_quality, citation_density, section_balance, author_share,
+        document_strings, clamped_quality, chapter_overview, consecutive_citations, paper_refs, citation_density, section_balance, author_share,
     )
 }
