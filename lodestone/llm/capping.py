@@ -88,7 +88,7 @@ def _tie_cutoffs(ties: DataFrame) -> DataFrame:
 
     ``ties`` has owner, id, keep_at with 0 < keep_at < number of ties.
     """
-    middle = F.udf(_middle, "string")  # a row per open contributor, not per record
+    middle = F.udf(_middle, "string", useArrow=False)  # a row per open contributor, not per record
     base = ties.select("owner", "id")
     state = ties.groupBy("owner").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.first("keep_at").alias("left"))
     done = None
