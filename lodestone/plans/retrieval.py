@@ -224,6 +224,7 @@ def anchor_similarity(spark: SparkSession, folder: str) -> DataFrame:
     return v.withColumn("a", anchors.scalar()).select("vec_id", half_up(best).alias("similarity"))
 
 
+# Words of comparing and of defining questions.
 COMPARE = (
     r"(?i)\b(compar|vs\.?|versus|differ|trade.?offs?|advantage|disadvantage|better|worse|outperform|benchmark|against"
     r"|relative to|between .+ and)\b"

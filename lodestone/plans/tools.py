@@ -110,7 +110,7 @@ def counter_evidence(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def claim_support(spark: SparkSession, folder: str) -> DataFrame:
-    """For the paper of each tenth vector: whether one of its nuggets supports the vector's
+    """For the paper of every 50th vector: whether one of its nuggets supports the vector's
     claim (distance under 0.8), looked for in that paper alone."""
     e = read_table(spark, folder, "embeddings").select("vec_id", "embedding")
     n = read_table(spark, folder, "nuggets").select(F.col("row_id").alias("vec_id"), key_of("paper_id").alias("paper_key")).where("paper_key IS NOT NULL")
@@ -152,6 +152,7 @@ def chapter_boundaries(spark: SparkSession, folder: str) -> DataFrame:
     return hits.groupBy("doc_id", "word").agg((F.min("i") + 1).cast("long").alias("line_no"))
 
 
+# Vague openings, words of performance, hedges, signs of a comparison.
 _VAGUE = r"(?i)^\s*(This|These|It|That)\s+(is|are|was|were|has|have|can|could|will|would|show)"
 _PERFORMANCE = ("outperform", "superior", "better", "best", "faster", "slower", "higher", "lower", "achieve", "improve", "sota")
 _HEDGE = ("may", "might", "could", "potentially", "suggests", "appears", "seems")
