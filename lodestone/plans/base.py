@@ -16,14 +16,16 @@ def latest(df: DataFrame, key, *order) -> DataFrame:
     return df.withColumn("_key", key).where("_key IS NOT NULL").groupBy("_key").agg(packed).select("_key", "r.*").drop("_key")
 
 
-def nuggets(spark: SparkSession, folder: str) -> DataFrame:
-    """The last load of each nugget."""
-    return latest(read_table(spark, folder, "nuggets"), F.col("nugget_id"), "ingested_at", "row_id")
+def nuggets(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The last load of each nugget: its ids, its time and the given columns. Columns must be
+    named, as the optimizer cannot prune the inside of the packed rows."""
+    n = read_table(spark, folder, "nuggets").select("nugget_id", "ingested_at", "row_id", *columns)
+    return latest(n, F.col("nugget_id"), "ingested_at", "row_id")
 
 
-def papers(spark: SparkSession, folder: str) -> DataFrame:
-    """The last metadata of each paper, with paper_key."""
-    p = read_table(spark, folder, "papers").drop("abstract")
+def papers(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The last metadata of each paper: paper_key, paper_id, title, added_at and the given columns."""
+    p = read_table(spark, folder, "papers").select("paper_id", "title", "added_at", *columns)
     return latest(p, key_of("paper_id"), "added_at", "title", "paper_id").withColumn("paper_key", key_of("paper_id"))
 
 

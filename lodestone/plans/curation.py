@@ -45,7 +45,7 @@ def section_islands(spark: SparkSession, folder: str) -> DataFrame:
 
 def _word_sets(spark: SparkSession, folder: str) -> DataFrame:
     words = F.array_distinct(F.regexp_extract_all(F.lower(qa()), F.lit(r"\S+"), 0))
-    n = nuggets(spark, folder).select(key_of("paper_id").alias("block"), F.col("nugget_id").alias("id"), words.alias("words"))
+    n = nuggets(spark, folder, "paper_id", "question", "answer").select(key_of("paper_id").alias("block"), F.col("nugget_id").alias("id"), words.alias("words"))
     return n.where("block IS NOT NULL AND size(words) > 0")
 
 
@@ -121,7 +121,7 @@ def reuse_embeddings(spark: SparkSession, folder: str) -> DataFrame:
 def quality_flag(spark: SparkSession, folder: str) -> DataFrame:
     """Nuggets flagged by their score (2 or less; none counts as 5)."""
     s = F.when(F.isnan("overall_score"), None).otherwise(F.col("overall_score"))
-    return nuggets(spark, folder).select("nugget_id", (F.coalesce(s, F.lit(5.0)) <= 2).alias("flagged")).where("flagged").select("nugget_id")
+    return nuggets(spark, folder, "overall_score", "flagged").select("nugget_id", (F.coalesce(s, F.lit(5.0)) <= 2).alias("flagged")).where("flagged").select("nugget_id")
 
 
 def ledger_upsert(spark: SparkSession, folder: str) -> DataFrame:
@@ -133,7 +133,7 @@ def ledger_upsert(spark: SparkSession, folder: str) -> DataFrame:
 
 def override_merge(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of nuggets raised to 3 for the weak ones of the type ``method``."""
-    n = nuggets(spark, folder).select("nugget_id", F.lower("type").alias("type"), F.when(F.col("overall_score").between(1, 5), F.col("overall_score")).alias("score"))
+    n = nuggets(spark, folder, "type", "overall_score").select("nugget_id", F.lower("type").alias("type"), F.when(F.col("overall_score").between(1, 5), F.col("overall_score")).alias("score"))
     better = n.where("type = 'method' AND score <= 2").select("nugget_id", F.lit(3.0).alias("score"))
     return store.override(n, better, "nugget_id", ["score"]).groupBy("type").agg(half_up(F.avg("score"), 3).alias("mean_score"), F.count(F.lit(1)).alias("nuggets"))
 
@@ -141,8 +141,8 @@ def override_merge(spark: SparkSession, folder: str) -> DataFrame:
 def quality_apply(spark: SparkSession, folder: str) -> DataFrame:
     """Nuggets after rating: scores joined by id (none counts as 0 and is marked), papers whose
     scores are all 0 kept whole, weak ones (1 and 2) removed otherwise."""
-    n = nuggets(spark, folder).select("nugget_id", key_of("paper_id").alias("paper_key")).where("paper_key IS NOT NULL")
-    s = nuggets(spark, folder).where(F.col("overall_score").between(1, 5)).select("nugget_id", F.floor("overall_score").cast("int").alias("overall"))
+    n = nuggets(spark, folder, "paper_id", "overall_score").select("nugget_id", key_of("paper_id").alias("paper_key")).where("paper_key IS NOT NULL")
+    s = nuggets(spark, folder, "paper_id", "overall_score").where(F.col("overall_score").between(1, 5)).select("nugget_id", F.floor("overall_score").cast("int").alias("overall"))
     r = n.join(s, "nugget_id", "left").select("nugget_id", "paper_key", F.coalesce("overall", F.lit(0)).alias("overall"), F.col("overall").isNull().alias("unrated"))
     best = r.groupBy("paper_key").agg(F.max("overall").alias("best"))
     r = r.join(best, "paper_key")
@@ -154,7 +154,7 @@ def quality_apply(spark: SparkSession, folder: str) -> DataFrame:
 
 def renumbered(spark: SparkSession, folder: str) -> DataFrame:
     """New running ids of each paper's nuggets, in the order of their chunks."""
-    n = nuggets(spark, folder).withColumn("paper_key", key_of("paper_id")).where("paper_key IS NOT NULL AND removed_at IS NULL")
+    n = nuggets(spark, folder, "paper_id", "source_chunk", "removed_at").withColumn("paper_key", key_of("paper_id")).where("paper_key IS NOT NULL AND removed_at IS NULL")
     # Numbers run over the paper, but only a chunk's nuggets are sorted together: each chunk
     # begins after the nuggets of the chunks before it.
     n = n.select("nugget_id", "paper_key", F.coalesce("source_chunk", F.lit(-1)).alias("chunk"))
@@ -223,7 +223,7 @@ def canary_recall(spark: SparkSession, folder: str) -> DataFrame:
 
 def stratified_sample(spark: SparkSession, folder: str) -> DataFrame:
     """200 nuggets, each type in proportion and at least once, by seeded digest."""
-    n = nuggets(spark, folder).select("nugget_id", F.coalesce(F.lower("type"), F.lit("(none)")).alias("type"), F.md5(F.concat(F.lit("42:"), "nugget_id").cast("binary")).alias("r"))
+    n = nuggets(spark, folder, "type").select("nugget_id", F.coalesce(F.lower("type"), F.lit("(none)")).alias("type"), F.md5(F.concat(F.lit("42:"), "nugget_id").cast("binary")).alias("r"))
     sizes = n.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
     quota = F.greatest(F.floor(F.col("n") * 200 / F.col("total")), F.lit(1))
     quotas = sizes.withColumn("total", sizes.agg(F.sum("n")).scalar()).select("type", quota.alias("quota"))

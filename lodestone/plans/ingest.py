@@ -21,7 +21,7 @@ CODE = ("implementation", "config", "experiment")
 
 def nugget_extraction(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs recovered from fenced, broken-off model answers written from the nuggets."""
-    n = nuggets(spark, folder).where("question IS NOT NULL AND answer IS NOT NULL")
+    n = nuggets(spark, folder, "question", "answer", "type", "thesis_relevance").where("question IS NOT NULL AND answer IS NOT NULL")
     one = F.to_json(F.struct("question", "answer", F.coalesce("type", F.lit("background")).alias("type"), F.col("thesis_relevance").alias("relevance")))
     raw = F.concat(F.lit("Here it is:\n```json\n["), one, F.lit(', {"question": "cut of'))
     e = extracted_pairs(n.select("nugget_id", raw.alias("raw")), "nugget_id", "raw")
@@ -34,7 +34,7 @@ def gapfill_chunks(spark: SparkSession, folder: str) -> DataFrame:
     c = read_table(spark, folder, "chunks").where("text IS NOT NULL").select(key_of("paper_id").alias("paper_key"), "chunk_id", "text", "section").distinct()
     words = T.whitespace_words(F.col("text"))
     c = c.where((words >= 100) & ~skip & ~T.looks_like_references(F.col("text"))).select("paper_key", "chunk_id").distinct()
-    n = nuggets(spark, folder).groupBy(key_of("paper_id").alias("paper_key"), F.col("source_chunk").alias("chunk_id")).agg(F.count(F.lit(1)).alias("n"))
+    n = nuggets(spark, folder, "paper_id", "section", "source_chunk").groupBy(key_of("paper_id").alias("paper_key"), F.col("source_chunk").alias("chunk_id")).agg(F.count(F.lit(1)).alias("n"))
     j = c.join(n, ["paper_key", "chunk_id"], "left").select("paper_key", "chunk_id", F.coalesce("n", F.lit(0)).alias("nuggets"))
     return j.where("nuggets <= 2")
 
@@ -42,14 +42,14 @@ def gapfill_chunks(spark: SparkSession, folder: str) -> DataFrame:
 def resolve_cite_keys(spark: SparkSession, folder: str) -> DataFrame:
     """Where the citation keys of all papers lead."""
     keys = bibtex_keys(spark, folder)
-    r = resolve_keys(keys, papers(spark, folder).select("paper_key", "authors", "year", "title"))
+    r = resolve_keys(keys, papers(spark, folder, "authors", "year").select("paper_key", "authors", "year", "title"))
     j = keys.join(r.withColumnRenamed("paper_key", "resolved"), "cite_key", "left")
     return j.select("paper_key", "cite_key", "resolved", half_up(F.coalesce("score", F.lit(0.0))).alias("score"))
 
 
 def seed_papers(spark: SparkSession, folder: str) -> DataFrame:
     """The 30 most cited papers with an identifier: the seeds of a discovery."""
-    p = papers(spark, folder).where("coalesce(trim(arxiv_id), trim(doi), '') <> ''")
+    p = papers(spark, folder, "arxiv_id", "doi", "citation_count").where("coalesce(trim(arxiv_id), trim(doi), '') <> ''")
     p = p.select("paper_key", F.coalesce("citation_count", F.lit(0)).alias("citations"))
     return p.orderBy(F.col("citations").desc(), "paper_key").limit(30)
 
@@ -75,7 +75,7 @@ def discovery_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def code_search(spark: SparkSession, folder: str) -> DataFrame:
     """The best 20 nuggets about code for a query, with the files linked to their papers."""
-    n = nuggets(spark, folder).where(F.lower("type").isin(*CODE))
+    n = nuggets(spark, folder, "paper_id", "type", "question", "answer").where(F.lower("type").isin(*CODE))
     q = spark.range(1).select(F.col("id").alias("query_id"), F.lit("frame rate").alias("query"))
     hits = bm25(q, n, 20, query_id="query_id", query="query", text_id="nugget_id", text=qa())
     links = read_table(spark, folder, "code_links").groupBy(key_of("paper_id").alias("paper_key")).agg(F.countDistinct("source_file").alias("files"))
@@ -85,7 +85,7 @@ def code_search(spark: SparkSession, folder: str) -> DataFrame:
 
 def resume_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Papers with chunks that have no nugget yet, the oldest 50 first."""
-    done = nuggets(spark, folder).select(key_of("paper_id").alias("paper_key")).where("paper_key IS NOT NULL").distinct()
+    done = nuggets(spark, folder, "paper_id").select(key_of("paper_id").alias("paper_key")).where("paper_key IS NOT NULL").distinct()
     chunked = read_table(spark, folder, "chunks").select(key_of("paper_id").alias("paper_key")).distinct()
     p = papers(spark, folder).join(chunked, "paper_key", "left_semi").join(done, "paper_key", "left_anti")
     return p.orderBy("added_at", "paper_key").limit(50).select("paper_key", F.date_format("added_at", "yyyy-MM-dd").alias("added"))

@@ -27,7 +27,7 @@ def feedback_log(spark: SparkSession, folder: str) -> DataFrame:
 
 def kb_stats(spark: SparkSession, folder: str) -> DataFrame:
     """Counts by type and by section in one pass over the nuggets."""
-    n = nuggets(spark, folder).select(F.lower(F.coalesce("type", F.lit("(none)"))).alias("type"), F.coalesce("section", F.lit("(none)")).alias("section"))
+    n = nuggets(spark, folder, "type", "section").select(F.lower(F.coalesce("type", F.lit("(none)"))).alias("type"), F.coalesce("section", F.lit("(none)")).alias("section"))
     # Two grouping sets in one aggregation.
     return (
         n.cube("type", "section")
@@ -38,18 +38,18 @@ def kb_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def papers_by_year(spark: SparkSession, folder: str) -> DataFrame:
-    return papers(spark, folder).where("year IS NOT NULL").groupBy("year").agg(F.count(F.lit(1)).alias("papers"))
+    return papers(spark, folder, "year").where("year IS NOT NULL").groupBy("year").agg(F.count(F.lit(1)).alias("papers"))
 
 
 def paper_nugget_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Nuggets per known paper, also of papers without any."""
-    c = nuggets(spark, folder).groupBy(key_of("paper_id").alias("paper_key")).agg(F.count(F.lit(1)).alias("nuggets"))
+    c = nuggets(spark, folder, "paper_id").groupBy(key_of("paper_id").alias("paper_key")).agg(F.count(F.lit(1)).alias("nuggets"))
     return papers(spark, folder).join(c, "paper_key", "left").select("paper_key", "title", F.coalesce("nuggets", F.lit(0)).alias("nuggets"))
 
 
 def find_papers(spark: SparkSession, folder: str) -> DataFrame:
     """Papers whose authors and title match patterns, from a year on."""
-    p = papers(spark, folder)
+    p = papers(spark, folder, "authors", "year")
     return p.where(F.col("authors").ilike("%el%") & F.col("title").ilike("%event%") & (F.col("year") >= 2015)).select("paper_key", "title", "year")
 
 
@@ -59,14 +59,14 @@ def token_search(spark: SparkSession, folder: str) -> DataFrame:
     for token in ("adaptive", "20"):
         t = f"%{token}%"
         hit = hit & (F.coalesce(F.col("title").ilike(t), F.lit(False)) | F.coalesce(F.col("authors").ilike(t), F.lit(False)) | F.coalesce(F.col("year").cast("string").ilike(t), F.lit(False)))
-    return papers(spark, folder).where(hit).select("paper_key", "title")
+    return papers(spark, folder, "authors", "year").where(hit).select("paper_key", "title")
 
 
 def paper_info(spark: SparkSession, folder: str) -> DataFrame:
     """Nuggets of each paper by type, with the paper's metadata."""
-    n = nuggets(spark, folder).select(key_of("paper_id").alias("paper_key"), F.lower("type").alias("type"))
+    n = nuggets(spark, folder, "paper_id", "type").select(key_of("paper_id").alias("paper_key"), F.lower("type").alias("type"))
     c = n.where("type IN ('method', 'result', 'claim')").groupBy("paper_key", "type").agg(F.count(F.lit(1)).alias("nuggets"))
-    p = papers(spark, folder).select("paper_key", F.col("year").cast("string").alias("year"), F.coalesce("citation_count", F.lit(0)).alias("citations"))
+    p = papers(spark, folder, "year", "citation_count").select("paper_key", F.col("year").cast("string").alias("year"), F.coalesce("citation_count", F.lit(0)).alias("citations"))
     return p.join(c, "paper_key")
 
 
@@ -84,14 +84,14 @@ def paper_feedback(spark: SparkSession, folder: str) -> DataFrame:
 def exclude_anti(spark: SparkSession, folder: str) -> DataFrame:
     """Nuggets per type without those of papers that anyone rated down."""
     bad = feedback_log(spark, folder).where("rating < 0 AND paper_key IS NOT NULL").select("paper_key").distinct()
-    n = nuggets(spark, folder).withColumn("paper_key", key_of("paper_id"))
+    n = nuggets(spark, folder, "paper_id", "type").withColumn("paper_key", key_of("paper_id"))
     return n.join(bad, "paper_key", "left_anti").groupBy(F.lower("type").alias("type")).agg(F.count(F.lit(1)).alias("nuggets"))
 
 
 def semi_search(spark: SparkSession, folder: str) -> DataFrame:
     """Papers with a nugget that mentions background clutter."""
     hit = F.lower(F.concat_ws(" ", "question", "answer")).contains("background clutter")
-    n = nuggets(spark, folder).where(hit).select(key_of("paper_id").alias("paper_key"))
+    n = nuggets(spark, folder, "paper_id", "question", "answer").where(hit).select(key_of("paper_id").alias("paper_key"))
     return papers(spark, folder).join(n, "paper_key", "left_semi").select("paper_key", "title")
 
 
@@ -110,45 +110,45 @@ def find_implementations(spark: SparkSession, folder: str) -> DataFrame:
 
 def find_papers_for_code(spark: SparkSession, folder: str) -> DataFrame:
     c = read_table(spark, folder, "code_links").where(F.col("source_file").ilike("%motion%")).select(key_of("paper_id").alias("paper_key"), "source_file").distinct()
-    return c.join(papers(spark, folder).select("paper_key", "title", F.col("year").cast("string").alias("year")), "paper_key").select("source_file", "paper_key", "title", "year")
+    return c.join(papers(spark, folder, "year").select("paper_key", "title", F.col("year").cast("string").alias("year")), "paper_key").select("source_file", "paper_key", "title", "year")
 
 
 def authority_score(spark: SparkSession, folder: str) -> DataFrame:
     """The authority boost of each paper in the mode ``background``."""
     boost = authority_boost(F.lit(True), F.col("year"), F.col("title"), F.col("citation_count"), F.col("influential_citation_count"), F.col("paper_type"), 1.5, 0.3)
-    return papers(spark, folder).select("paper_key", half_up(boost).alias("boost"))
+    return papers(spark, folder, "year", "citation_count", "influential_citation_count", "paper_type").select("paper_key", half_up(boost).alias("boost"))
 
 
 def paper_type_stats(spark: SparkSession, folder: str) -> DataFrame:
     """Papers and mean citations by type."""
     kinds = F.explode(F.split(F.coalesce("paper_type", F.lit("")), ","))
-    p = papers(spark, folder).select(kinds.alias("kind"), "citation_count")
+    p = papers(spark, folder, "citation_count", "paper_type").select(kinds.alias("kind"), "citation_count")
     return p.groupBy(F.trim("kind").alias("kind")).agg(F.count(F.lit(1)).alias("papers"), half_up(F.avg("citation_count"), 3).alias("mean_citations"))
 
 
 def depth_coverage(spark: SparkSession, folder: str) -> DataFrame:
     """Hits of a phrase per paper, their share and the depth boost."""
-    n = nuggets(spark, folder).select(key_of("paper_id").alias("paper_key"), F.lower(F.concat_ws(" ", "question", "answer")).contains("frame rate").alias("hit"))
+    n = nuggets(spark, folder, "paper_id", "question", "answer").select(key_of("paper_id").alias("paper_key"), F.lower(F.concat_ws(" ", "question", "answer")).contains("frame rate").alias("hit"))
     g = n.where("paper_key IS NOT NULL").groupBy("paper_key").agg(F.count(F.when(F.col("hit"), True)).alias("hits"), F.count(F.lit(1)).alias("total"))
     boost = F.least(F.col("hits") / F.col("total"), F.lit(1.0)) * 0.3 + F.least(F.log2(F.col("hits").cast("double")) / 5.0, F.lit(0.3)) + 1
     return g.where("hits > 0").select("paper_key", "hits", "total", half_up(boost).alias("boost"))
 
 
 def score_distribution(spark: SparkSession, folder: str) -> DataFrame:
-    n = nuggets(spark, folder)
+    n = nuggets(spark, folder, "thesis_relevance", "flagged")
     return n.groupBy(F.coalesce("thesis_relevance", F.lit(0)).alias("relevance")).agg(F.count(F.lit(1)).alias("nuggets"), F.count(F.when(F.col("flagged") == 1, True)).alias("flagged"))
 
 
 def quality_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Per paper: mean of the usable scores and how many are weak."""
     s = F.when(F.col("overall_score").between(1, 5) & ~F.isnan("overall_score"), F.col("overall_score"))
-    g = nuggets(spark, folder).select(key_of("paper_id").alias("paper_key"), s.alias("s")).where("paper_key IS NOT NULL").groupBy("paper_key")
+    g = nuggets(spark, folder, "paper_id", "overall_score").select(key_of("paper_id").alias("paper_key"), s.alias("s")).where("paper_key IS NOT NULL").groupBy("paper_key")
     return g.agg(half_up(F.avg("s"), 2).alias("mean_score"), F.count(F.when(F.col("s") <= 2, True)).alias("weak"), F.count(F.lit(1)).alias("nuggets"))
 
 
 def missing_metadata(spark: SparkSession, folder: str) -> DataFrame:
     """Papers without a year, authors or a proper title."""
-    p = papers(spark, folder)
+    p = papers(spark, folder, "authors", "year")
     no_authors = F.col("authors").isNull() | (F.trim("authors") == "") | (F.col("authors") == "[]")
     odd_title = F.col("title").isNull() | F.trim("title").rlike(r"^(\d{4}[\s_.]\d{4,5}(v\d+)?)?$")
     return p.where(F.col("year").isNull() | no_authors | odd_title).select("paper_key", F.col("year").isNull().alias("no_year"), no_authors.alias("no_authors"), odd_title.alias("odd_title"))

@@ -30,7 +30,7 @@ def _nugget_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 def _enriched(hits: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
     n = read_table(spark, folder, "nuggets").select("row_id", "nugget_id", "type", "section", key_of("paper_id").alias("paper_key"))
-    p = papers(spark, folder).select("paper_key", "title", "year")
+    p = papers(spark, folder, "year").select("paper_key", "title", "year")
     return (
         hits.join(n, hits["vec_id"] == n["row_id"])
         .join(p, "paper_key", "left")
@@ -47,7 +47,7 @@ def vector_topk_enriched(spark: SparkSession, folder: str) -> DataFrame:
 
 def vector_year_filter(spark: SparkSession, folder: str) -> DataFrame:
     """The 15 nearest nuggets of papers from 2016 to 2020; the years are filtered first."""
-    p = papers(spark, folder).where("year BETWEEN 2016 AND 2020").select("paper_key")
+    p = papers(spark, folder, "year").where("year BETWEEN 2016 AND 2020").select("paper_key")
     v = _nugget_vectors(spark, folder).withColumn("paper_key", key_of("paper_id")).join(p, "paper_key", "left_semi")
     q = _vectors(spark, folder).where("vec_id = 3").withColumnRenamed("vec_id", "query_id")
     return _enriched(nearest(q, v.select("vec_id", "embedding"), 15), spark, folder)
@@ -77,7 +77,7 @@ def _feedback_queries(spark: SparkSession, folder: str) -> DataFrame:
 def bm25_search(spark: SparkSession, folder: str) -> DataFrame:
     """The best 50 nuggets with all the words of one query."""
     q = spark.range(1).select(F.col("id").alias("query_id"), F.lit("sparse sensor calibration").alias("query"))
-    return bm25(q, nuggets(spark, folder), 50, query_id="query_id", query="query", text_id="nugget_id", text=qa()).select(
+    return bm25(q, nuggets(spark, folder, "question", "answer"), 50, query_id="query_id", query="query", text_id="nugget_id", text=qa()).select(
         F.col("id").alias("nugget_id"), half_up(F.col("score")).alias("score"), "rank"
     )
 
@@ -85,7 +85,7 @@ def bm25_search(spark: SparkSession, folder: str) -> DataFrame:
 def bm25_batch(spark: SparkSession, folder: str) -> DataFrame:
     """The best 10 nuggets for every 50th logged query, hyphenated words as phrases."""
     q = _feedback_queries(spark, folder)
-    return bm25(q, nuggets(spark, folder), 10, query_id="query_id", query="query", text_id="nugget_id", text=qa()).select(
+    return bm25(q, nuggets(spark, folder, "question", "answer"), 10, query_id="query_id", query="query", text_id="nugget_id", text=qa()).select(
         "query_id", F.col("id").alias("nugget_id"), half_up(F.col("score")).alias("score"), "rank"
     )
 
@@ -116,13 +116,13 @@ def _boosted(spark: SparkSession, folder: str) -> DataFrame:
         F.col("row_id").alias("id"), "nugget_id", key_of("paper_id").alias("paper_key"), F.lower("type").alias("type"),
         "section", "thesis_relevance", "overall_score",
     )
-    p = papers(spark, folder).select(
+    p = papers(spark, folder, "year", "citation_count", "influential_citation_count", "paper_type").select(
         "paper_key", "year", "title", "citation_count", "influential_citation_count", "paper_type", F.lit(True).alias("known")
     )
     votes = _votes(spark, folder)
     by_nugget = votes.groupBy("nugget_key").agg(F.sum("rating").alias("nugget_votes"))
     by_paper = votes.where("paper_key IS NOT NULL").groupBy("paper_key").agg(F.sum("rating").alias("paper_votes"))
-    totals = nuggets(spark, folder).groupBy(key_of("paper_id").alias("paper_key")).agg(F.count(F.lit(1)).alias("paper_total"))
+    totals = nuggets(spark, folder, "paper_id", "question", "type", "section", "thesis_relevance", "overall_score").groupBy(key_of("paper_id").alias("paper_key")).agg(F.count(F.lit(1)).alias("paper_total"))
     rows = f.join(n, "id").withColumn("nugget_key", key_of("nugget_id"))
     hits = rows.groupBy("query_id", "paper_key").agg(F.count(F.lit(1)).alias("paper_hits"))
     rows = (
@@ -185,9 +185,9 @@ def diversity_select(spark: SparkSession, folder: str) -> DataFrame:
 
 def pinned_select(spark: SparkSession, folder: str) -> DataFrame:
     """The nuggets of the three most cited papers that would be pinned to a context."""
-    p = papers(spark, folder).orderBy(F.col("citation_count").desc_nulls_last(), "paper_key").limit(3).select("paper_key")
+    p = papers(spark, folder, "citation_count").orderBy(F.col("citation_count").desc_nulls_last(), "paper_key").limit(3).select("paper_key")
     score = F.when(F.col("overall_score").between(1, 5), F.col("overall_score")).otherwise(0.0)
-    n = nuggets(spark, folder).withColumn("paper_key", key_of("paper_id")).join(p, "paper_key", "left_semi")
+    n = nuggets(spark, folder, "paper_id", "type", "overall_score").withColumn("paper_key", key_of("paper_id")).join(p, "paper_key", "left_semi")
     rows = n.select(
         F.col("nugget_id").alias("id"), F.col("paper_key").alias("paper_id"), F.lower(F.coalesce("type", F.lit(""))).alias("type"), score.alias("score")
     )
@@ -197,7 +197,7 @@ def pinned_select(spark: SparkSession, folder: str) -> DataFrame:
 def paper_shortcut(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 nuggets to answer from when a question names one paper (the one with most
     nuggets): those of preferred sections first, then by relevance and score."""
-    n = nuggets(spark, folder).withColumn("paper_key", key_of("paper_id")).where("paper_key IS NOT NULL")
+    n = nuggets(spark, folder, "paper_id", "section", "thesis_relevance", "overall_score").withColumn("paper_key", key_of("paper_id")).where("paper_key IS NOT NULL")
     top = n.groupBy("paper_key").agg(F.count(F.lit(1)).alias("c")).orderBy(F.col("c").desc(), "paper_key").limit(1).select("paper_key")
     score = F.when(F.col("overall_score").between(1, 5), F.col("overall_score")).otherwise(-1.0)
     preferred = F.lower(F.coalesce("section", F.lit(""))).isin("results", "experiments", "method", "discussion")
@@ -234,7 +234,7 @@ DEFINE = r"(?i)\b(what is|what are|define|definition|explain|concept|principle|h
 
 def query_classify(spark: SparkSession, folder: str) -> DataFrame:
     """Routing of all distinct nugget questions: comparison, definition, BM25 weight."""
-    q = nuggets(spark, folder).select("question").where("trim(question) <> ''").distinct()
+    q = nuggets(spark, folder, "question").select("question").where("trim(question) <> ''").distinct()
     compare, define = F.col("question").rlike(COMPARE), F.col("question").rlike(DEFINE)
     weight = F.least(F.greatest(1 + F.when(compare, 0.5).otherwise(0.0) - F.when(define, 0.3).otherwise(0.0), F.lit(0.5)), F.lit(2.0))
     tokens = F.size(F.split(F.trim("question"), r"\s+"))

@@ -80,21 +80,21 @@ def normalize_title(spark: SparkSession, folder: str) -> DataFrame:
 def bigram_terms(spark: SparkSession, folder: str) -> DataFrame:
     """The 40 most frequent pairs of topic words in questions, from 15 occurrences on."""
     words = T.topic_words(F.col("question"), 2)
-    b = nuggets(spark, folder).where("question IS NOT NULL").select(F.explode(T.bigrams(words)).alias("term"))
+    b = nuggets(spark, folder, "question").where("question IS NOT NULL").select(F.explode(T.bigrams(words)).alias("term"))
     g = b.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n >= 15")
     return g.orderBy(F.col("n").desc(), "term").limit(40)
 
 
 def unigram_terms(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 most frequent topic words in questions, from 30 occurrences on."""
-    u = nuggets(spark, folder).where("question IS NOT NULL").select(F.explode(T.topic_words(F.col("question"), 3)).alias("term"))
+    u = nuggets(spark, folder, "question").where("question IS NOT NULL").select(F.explode(T.topic_words(F.col("question"), 3)).alias("term"))
     g = u.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n >= 30")
     return g.orderBy(F.col("n").desc(), "term").limit(20)
 
 
 def entity_terms(spark: SparkSession, folder: str) -> DataFrame:
     """Names by form (camel case, acronyms, hyphenated capitals) with at least 10 mentions."""
-    n = nuggets(spark, folder).select(F.concat_ws("\n", "question", "answer").alias("t"))
+    n = nuggets(spark, folder, "question", "answer").select(F.concat_ws("\n", "question", "answer").alias("t"))
     found = F.flatten(F.array(*[F.regexp_extract_all("t", F.lit(p), 0) for p in T.ENTITY_FORMS]))
     e = n.select(F.explode(found).alias("term")).where(~F.upper("term").isin(*T.ENTITY_STOPWORDS))
     return e.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n >= 10")
@@ -133,14 +133,14 @@ def reference_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 def min_length_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs with a question and an answer of at least 10 characters, outside skipped sections."""
-    n = nuggets(spark, folder).where((F.length(F.trim("question")) >= 10) & (F.length(F.trim("answer")) >= 10))
+    n = nuggets(spark, folder, "question", "answer", "section").where((F.length(F.trim("question")) >= 10) & (F.length(F.trim("answer")) >= 10))
     n = n.where(~F.coalesce(F.lower(F.trim("section")), F.lit("")).isin("references", "acknowledgments", "bibliography"))
     return n.groupBy(F.coalesce("section", F.lit("(none)")).alias("section")).agg(F.count(F.lit(1)).alias("nuggets"))
 
 
 def document_strings(spark: SparkSession, folder: str) -> DataFrame:
     """The text under which each nugget is indexed."""
-    n = nuggets(spark, folder)
+    n = nuggets(spark, folder, "question", "answer", "type", "section")
     s = F.format_string("[%s] [%s] Q: %s A: %s", *[F.coalesce(c, F.lit("")) for c in ("type", "section", "question", "answer")])
     return n.select("nugget_id", F.md5(s.cast("binary")).alias("digest"), F.length(s).cast("long").alias("chars"))
 
@@ -148,7 +148,7 @@ def document_strings(spark: SparkSession, folder: str) -> DataFrame:
 def clamped_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Ratings forced into 1..5, 3 where there is none, and the lesser of both."""
     c = lambda x: F.when(x.isNull() | F.isnan(x.cast("double")), 3).otherwise(F.least(F.greatest(F.floor(x).cast("int"), F.lit(1)), F.lit(5)))
-    n = nuggets(spark, folder).select(c(F.col("thesis_relevance")).alias("relevance"), c(F.col("overall_score")).alias("overall"))
+    n = nuggets(spark, folder, "thesis_relevance", "overall_score").select(c(F.col("thesis_relevance")).alias("relevance"), c(F.col("overall_score")).alias("overall"))
     return n.groupBy("relevance", "overall", F.least("relevance", "overall").alias("least")).agg(F.count(F.lit(1)).alias("nuggets"))
 
 
@@ -177,7 +177,7 @@ def author_share(spark: SparkSession, folder: str) -> DataFrame:
     text divided by semicolons."""
     json = F.from_json("authors", "array<string>")
     names = F.when(F.col("authors").startswith("["), F.coalesce(json, F.array().cast("array<string>"))).otherwise(F.split("authors", ";"))
-    a = papers(spark, folder).where("authors IS NOT NULL").select(F.explode(names).alias("author")).select(F.trim("author").alias("author")).where("author <> ''")
+    a = papers(spark, folder, "authors").where("authors IS NOT NULL").select(F.explode(names).alias("author")).select(F.trim("author").alias("author")).where("author <> ''")
     g = a.groupBy("author").agg(F.count(F.lit(1)).alias("papers"))
     share = F.col("papers") * 100 / F.col("total")
     return g.withColumn("total", g.agg(F.sum("papers")).scalar()).select("author", "papers", half_up(share, 2).alias("percent"), (share > 15).alias("dominant"))

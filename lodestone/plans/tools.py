@@ -27,7 +27,7 @@ def _hits(spark: SparkSession, folder: str, vector: int, k: int, where: str = "t
 def suggest_coverage(spark: SparkSession, folder: str) -> DataFrame:
     """Papers to read on a topic: near, often hit, recent and cited; the best 10."""
     g = _hits(spark, folder, 7, 60).where("paper_key IS NOT NULL").groupBy("paper_key").agg(F.min("distance").alias("d"), F.count(F.lit(1)).alias("hits"))
-    p = papers(spark, folder).select("paper_key", "title", "year", F.coalesce("citation_count", F.lit(0)).alias("cc"))
+    p = papers(spark, folder, "year", "citation_count").select("paper_key", "title", "year", F.coalesce("citation_count", F.lit(0)).alias("cc"))
     recency = F.greatest(F.coalesce("year", F.lit(2020)) - 2015, F.lit(0)) / 10
     score = F.col("d") * 0.5 - F.col("hits") * 0.1 - recency * 0.2 - F.least(F.col("cc") / 100, F.lit(1.0)) * 0.2
     s = g.join(p, "paper_key").select("paper_key", "title", "hits", half_up(F.col("d")).alias("best_distance"), half_up(score).alias("score"))
@@ -81,13 +81,13 @@ def consensus(spark: SparkSession, folder: str) -> DataFrame:
 def timeline(spark: SparkSession, folder: str) -> DataFrame:
     """The papers of the 60 nearest nuggets by year, each paper once."""
     h = _hits(spark, folder, 19, 60).where("paper_key IS NOT NULL").groupBy("paper_key").agg(F.min("distance").alias("d"))
-    y = h.join(papers(spark, folder).where("year IS NOT NULL").select("paper_key", "year"), "paper_key")
+    y = h.join(papers(spark, folder, "year").where("year IS NOT NULL").select("paper_key", "year"), "paper_key")
     return y.groupBy("year").agg(F.count(F.lit(1)).alias("papers"), F.min(F.struct("d", "paper_key")).alias("b")).select("year", "papers", F.col("b.paper_key").alias("nearest"))
 
 
 def compare_papers(spark: SparkSession, folder: str) -> DataFrame:
     """The two papers with most nuggets side by side: the best 5 of each type."""
-    n = nuggets(spark, folder).withColumn("paper_key", key_of("paper_id")).where("paper_key IS NOT NULL AND type IS NOT NULL")
+    n = nuggets(spark, folder, "paper_id", "type", "overall_score").withColumn("paper_key", key_of("paper_id")).where("paper_key IS NOT NULL AND type IS NOT NULL")
     two = n.groupBy("paper_key").agg(F.count(F.lit(1)).alias("c")).orderBy(F.col("c").desc(), "paper_key").limit(2)
     two = two.withColumn("side", F.row_number().over(Window.orderBy(F.col("c").desc(), "paper_key"))).select("paper_key", "side")  # two rows
     score = F.when(F.col("overall_score").between(1, 5), F.col("overall_score")).otherwise(0.0)
@@ -185,7 +185,7 @@ def bibtex_keys(spark: SparkSession, folder: str) -> DataFrame:
     stop = F.array(*[F.lit(w) for w in ("the", "a", "an", "of", "for", "and", "in", "on", "with", "to", "from", "by", "via", "using")])
     words = F.filter(F.regexp_extract_all(F.lower(F.coalesce("title", F.lit(""))), F.lit("[a-z0-9]+"), 0), lambda w: ~F.array_contains(stop, w))
     base = F.concat(surname, F.lit("_"), F.coalesce(F.col("year").cast("string"), F.lit("nd")), F.lit(":"), F.array_join(F.slice(words, 1, 4), "-"))
-    b = papers(spark, folder).select("paper_key", base.alias("base"))
+    b = papers(spark, folder, "authors", "year").select("paper_key", base.alias("base"))
     k = F.row_number().over(Window.partitionBy("base").orderBy("paper_key"))
     return b.withColumn("k", k).select("paper_key", F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.char(F.col("k") + 95))).alias("cite_key"))
 
@@ -198,7 +198,7 @@ def bibtex_health(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("@article{"), F.md5(F.col("paper_key").cast("binary")), F.lit(",\n"), field("title", clean("title")), field("author", clean("authors")),
         field("year", F.col("year").cast("string")), field("doi", clean("doi")), F.lit("}\n"),
     )
-    p = papers(spark, folder).select(F.col("paper_key").alias("id"), entry.alias("bib"))
+    p = papers(spark, folder, "authors", "year", "doi").select(F.col("paper_key").alias("id"), entry.alias("bib"))
     e = bib_entries(p, "id", "bib")
     have = F.map_keys("fields")
     missing = F.array_except(F.array(*[F.lit(x) for x in ("author", "title", "year")]), have)
