@@ -113,4 +113,4 @@ def bm25(
     if mode == "and":
         found = found.join(wanted, "query_id").where("n_found = n_units")
     order = Window.partitionBy("query_id").orderBy(F.floor(F.col("score") * 1e9).desc(), "id")
-    return found.select("query_id", "id", "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.select("query_id", "id", "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))

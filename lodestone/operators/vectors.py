@@ -84,11 +84,11 @@ def nearest(
         part = rows.mapInArrow(best, schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
-        return spark.createDataFrame([], schema + ", rank int")
+        return spark.createDataFrame([], schema + ", rank long")
     if exclude_self:
         out = out.where("query_id <> vec_id")
     order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
 def cosine_similarity(a, b):
