@@ -276,6 +276,8 @@ def judge(question: str, answer: str) -> tuple[str | None, str | None]:
 _ROWS = "id string, defect string, word string, inside long, last long"
 #: A word seen this often in its place that ends hardly any sentence does not end an answer.
 SEEN, SELDOM = 30, 0.01
+#: Distinct words that a task counts before it passes them on.
+COUNTED_AT_ONCE = 200_000
 
 
 def pair_defects(pairs: DataFrame, record_id: Column, question: Column, answer: Column) -> DataFrame:
@@ -294,10 +296,22 @@ def pair_defects(pairs: DataFrame, record_id: Column, question: Column, answer:
     ).where("id IS NOT NULL")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole: Counter[str] = Counter()
+        last: Counter[str] = Counter()
+
+        def rows_of(ids: list, defects: list, words: list, counts: list, ends: list) -> pa.RecordBatch:
+            cols = zip((ids, defects, words, counts, ends), (pa.string(),) * 3 + (pa.int64(),) * 2)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], names=["id", "defect", "word", "inside", "last"])
+
+        def counted() -> pa.RecordBatch:
+            none = [None] * len(whole)
+            out = rows_of(none, none, list(whole), list(whole.values()), [last[w] for w in whole])
+            whole.clear()
+            last.clear()
+            return out
+
         for b in batches:
             ids, defects, words = [], [], []
-            whole: Counter[str] = Counter()
-            last: Counter[str] = Counter()
             for i, q, a in zip(*(c.to_pylist() for c in b.columns)):
                 defect, word = judge(q, a)
                 if defect or word:
@@ -315,17 +329,10 @@ def pair_defects(pairs: DataFrame, record_id: Column, question: Column, answer:
                     pairs = set(_word_ends(text))
                     whole.update({w for w, _ in pairs})
                     last.update(w for w, end in pairs if end)
-            n = len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids + [None] * len(whole), pa.string()),
-                    pa.array(defects + [None] * len(whole), pa.string()),
-                    pa.array(words + list(whole), pa.string()),
-                    pa.array([0] * n + list(whole.values()), pa.int64()),
-                    pa.array([0] * n + [last[w] for w in whole], pa.int64()),
-                ],
-                names=["id", "defect", "word", "inside", "last"],
-            )
+            yield rows_of(ids, defects, words, [0] * len(ids), [0] * len(ids))
+            if len(whole) > COUNTED_AT_ONCE:
+                yield counted()
+        yield counted()
 
     seen = cut(rows.mapInArrow(scan, _ROWS))
     sure = seen.where("id IS NOT NULL AND defect IS NOT NULL").select("id", "defect")

@@ -417,10 +417,24 @@ class PageReader:
 _COUNTED = "kind string, a string, b string, c string, n long"
 
 
+#: Distinct words that a task counts before it passes them on.
+COUNTED_AT_ONCE = 200_000
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words, and the lines that may be headers: per paper and per series."""
+    words: Counter[str] = Counter()
+
+    def rows_of(keys: list[tuple], counts: list[int]) -> pa.RecordBatch:
+        cols = [pa.array([k[i] for k in keys], pa.string()) for i in range(4)]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64())], names=["kind", "a", "b", "c", "n"])
+
+    def counted() -> pa.RecordBatch:
+        out = rows_of([("word", w, None, None) for w in words], list(words.values()))
+        words.clear()
+        return out
+
     for batch in batches:
-        words: Counter[str] = Counter()
         lines: Counter[tuple] = Counter()
         for paper, chunk, text in zip(*(c.to_pylist() for c in batch.columns)):
             words.update(words_of(joined_lines(text, lambda a, b: a + b)))
@@ -434,11 +448,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         mine["series", series_form(bare), paper, ""] = 1
             for k, n in mine.items():
                 lines[k] = max(lines[k], n)  # an exact copy of a chunk adds nothing
-        keys = [("word", w, None, None) for w in words] + list(lines)
-        yield pa.RecordBatch.from_arrays(
-            [*[pa.array([k[i] for k in keys], pa.string()) for i in range(4)], pa.array([*words.values(), *lines.values()], pa.int64())],
-            names=["kind", "a", "b", "c", "n"],
-        )
+        yield rows_of(list(lines), list(lines.values()))
+        if len(words) > COUNTED_AT_ONCE:
+            yield counted()
+    yield counted()
 
 
 class ScanModel:
