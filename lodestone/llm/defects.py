@@ -91,12 +91,14 @@ REFUSAL = re.compile(
 
 
 def bare(s: str) -> str:
-    return re.sub(r"\s+", " ", s).strip().strip("[](){}<>\"'`*").strip().rstrip(".!").strip().lower()
+    return " ".join(s.split()).strip("[](){}<>\"'`*").strip().rstrip(".!").strip().lower()
 
 
 def is_empty(answer: str) -> bool:
-    text = bare(answer)
-    return text in STAND_INS or not any(c.isalnum() for c in answer)
+    if not any(map(str.isalnum, answer)):
+        return True
+    # The longest stand-in has fewer than 30 characters.
+    return len(text := bare(answer)) < 30 and text in STAND_INS
 
 
 def tiles(question: list[str], answer: list[str], least: int = 2) -> tuple[int, list[bool]]:
@@ -138,16 +140,11 @@ def is_copy(question: str, answer: str) -> bool:
 
 
 def is_refusal(answer: str) -> bool:
-    text = re.sub(r"\s+", " ", answer).strip().lower().replace("’", "'").lstrip("\"'*([ ")
+    text = " ".join(answer.split()).lower().replace("’", "'").lstrip("\"'*([ ")
     return bool(REFUSAL.match(text))
 
 
 _SETS = {k: set(v.split()) for k, v in FUNCTION_WORDS.items()}
-_WORD_LANG: dict[str, list[str]] = {}
-for _k, _v in _SETS.items():
-    for _w in _v:
-        _WORD_LANG.setdefault(_w, []).append(_k)
-
 
 _LETTER = re.compile(r"[^\W\d_]")
 _NOT_LATIN = re.compile(r"(?![\u1e00-\u1eff\u2c60-\u2c7f\ua720-\ua7ff\uff00-\uff5e])[^\W\d_\u0000-\u036f]")
@@ -160,14 +157,11 @@ def language(text: str) -> tuple[str | None, float]:
         if len(foreign) > 0.5 * len(_LETTER.findall(text)):
             c = ord(foreign[len(foreign) // 2])
             return ("greek" if c < 0x400 else "cyrillic" if c < 0x530 else f"script{c // 0x400}"), 9.0
-    score: dict[str, float] = dict.fromkeys(_SETS, 0.0)
-    for w in text.lower().replace("'", " ").replace("’", " ").split():
-        langs = _WORD_LANG.get(w)
-        if langs:
-            for k in langs:
-                score[k] += 1.0 / len(langs)
-    first, second = sorted(score.values(), reverse=True)[:2]
-    return (max(score, key=score.get), first - second) if first > second else (None, 0.0)
+    words = set(text.lower().replace("'", " ").replace("’", " ").split())
+    # Words that languages share count for each of them and cancel out.
+    score = sorted(((len(words & own), k) for k, own in _SETS.items()), reverse=True)
+    lead = score[0][0] - score[1][0]
+    return (score[0][1], float(lead)) if lead else (None, 0.0)
 
 
 def is_foreign(question: str, answer: str) -> bool:
@@ -215,6 +209,7 @@ def open_structures(text: str) -> list[str]:
 
 
 _LIST_END = re.compile(r"(?:^|[\s,;:])(?:\(?\d{1,2}[.)]|[a-z]\)|[-*•])\s*$")
+_LIST_BEGUN = re.compile(r"[,;:]\s*\(?(?:\d{1,2}[.)]|[a-z]\))$|\n\s*(?:\d{1,2}[.)]|[-*•])$")
 _FINAL = re.compile(r"[.!?。！？][\"'”’»)\]]*$")
 
 
@@ -235,28 +230,34 @@ def ending(answer: str) -> tuple[str, str | None]:
     """('cut', None), ('sound', None) or ('open', last word) for the end of an answer."""
     text = answer.rstrip()
     stack = open_structures(text)
-    ellipsis = re.search(r"(?:\.{3}|…)$", text)
+    dots = 3 if text.endswith("...") else text.endswith("…")
+    # What ends a text shows in its last word and a little before it.
+    tail = text[-40:]
+    final = _FINAL.search(tail) is not None
     if any(s != '"' for s in stack):
         return "cut", None
-    if stack and not _FINAL.search(text):
+    if stack and not final:
         return "cut", None
-    body = text[: ellipsis.start()].rstrip() if ellipsis else text
-    if _ABBREVIATION.search(text.lower()):
+    if _ABBREVIATION.search(tail.lower()):
         return "cut", None
-    if not ellipsis and _FINAL.search(text) and not _LIST_END.search(text):
+    if not dots and final and not _LIST_END.search(tail):
         return "sound", None
-    if re.search(r"[,;:\-–—&+=/(\[{]$", body) and not body.endswith("|"):
+    body = text[: len(text) - dots].rstrip() if dots else text
+    if body and body[-1] in ",;:-–—&+=/([{":
         return "cut", None
-    if _LIST_END.search(body) and re.search(r"\w.*[,;:]?.*\w", body):
-        return ("cut", None) if re.search(r"[,;:]\s*\(?(?:\d{1,2}[.)]|[a-z]\))$|\n\s*(?:\d{1,2}[.)]|[-*•])$", body) else ("sound", None)
-    last = _LAST.search(body)
+    if _LIST_END.search(body[-40:]) and re.search(r"\w.*\w", body, re.S):
+        return ("cut", None) if _LIST_BEGUN.search(body[-60:]) else ("sound", None)
+    token = body.rsplit(None, 1)[-1] if body.strip() else ""
+    last = _LAST.search(token)
     if not last:
         return "sound", None
     word = last.group(1).lower()
-    if word in NEVER_LAST and len(_WORD.findall(body)) > 1:
+    ahead = body[: len(body) - len(last.group(1))]
+    if word in NEVER_LAST and _WORD.search(ahead):
         return "cut", None
-    before = _WORD.findall(body[: last.start()])
-    return "open", _key(before[-1].lower() if before and re.search(r"[^\W\d]\s+$", body[: last.start()]) else "", word)
+    # The word before it, where nothing but white space stands between.
+    before = _LAST.search(ahead.rstrip().rsplit(None, 1)[-1]) if ahead[-1:].isspace() and ahead.strip() else None
+    return "open", _key(before.group(1).lower() if before else "", word)
 
 
 def judge(question: str, answer: str) -> tuple[str | None, str | None]:
