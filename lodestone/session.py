@@ -11,6 +11,16 @@ from pyspark.sql import functions as F
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
+def show_workers_the_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it. A cluster without
+    that folder gets the package in the usual way (``--py-files``, an image)."""
+    environment = spark.sparkContext.environment
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = environment.get("PYTHONPATH", "")
+    if root not in path.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(x for x in (path, root) if x)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point checkpoints at the cluster's shared folder.
 
@@ -32,10 +42,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and forget its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
+    show_workers_the_package(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of a folder of Parquet files or directories."""
+    show_workers_the_package(spark)
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
