@@ -223,7 +223,7 @@ _PAGE = re.compile(
     r"|\d{1,4}\s*/\s*\d{1,4}|\d{1,4}\s*\||\|\s*\d{1,4})",
     re.I,
 )
-_NUMBER = re.compile(r"(?=.*\d)[\dlIO](?: ?[\dlIO]){0,3}")
+_NUMBER = re.compile(r"[\dlIO](?: ?[\dlIO]){0,3}")
 _ROMAN = re.compile(r"[lI]|(?=[ivx]|[ivxlc]{2})(?:c{0,3}(?:x[lc]|l?x{0,3})(?:i[vx]|v?i{0,3})|l{2,3})")
 _VALUE = re.compile(r"[\[(]?[-+±]?[\dlO]+(?:[.,][\dlO]+)*(?:\s*[%\w/]{1,7})?[\])]?")
 _STRUCTURE = re.compile(r"\s*(?:\||\$|\\|[-*•+]\s|\d+[.)]\s|\d+(?:\.\d+)+\s|#{1,6}\s|```|[ivx]+\)\s)")
