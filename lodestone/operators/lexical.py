@@ -50,15 +50,14 @@ def unit_hits(texts: DataFrame, text_id: str, text: Column, units: DataFrame) ->
             for b in batches:
                 ids, units, tfs = [], [], []
                 for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    found: dict[str, int] = {}
                     words = _WORD.findall(t)
-                    for at, w in enumerate(words):
-                        if w in single:
-                            found[w] = found.get(w, 0) + 1
-                        for p in phrases.get(w, ()):
-                            if tuple(words[at : at + len(p)]) == p:
-                                key = " ".join(p)
-                                found[key] = found.get(key, 0) + 1
+                    held = set(words)
+                    found = {w: words.count(w) for w in held & single}
+                    for first in held & phrases.keys():
+                        spots = [at for at, w in enumerate(words) if w == first]
+                        for p in phrases[first]:
+                            if n := sum(tuple(words[at : at + len(p)]) == p for at in spots):
+                                found[" ".join(p)] = n
                     ids += [i] * len(found)
                     units += found.keys()
                     tfs += found.values()
