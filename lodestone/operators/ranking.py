@@ -138,15 +138,17 @@ def quality_boost(score: Column) -> Column:
 def blend(scored: DataFrame, top: int = RERANK_TOP, weight: float = RERANK_WEIGHT) -> DataFrame:
     """The ``top`` candidates of each query reranked: rrf, ce -> blended.
 
-    The second score is scaled to 0..1 over the candidates, times their best fused score, and
-    mixed in with ``weight``. Columns: those of ``scored`` and blended.
+    The second score is scaled to 0..1 over those candidates, times their best fused score, and
+    mixed in with ``weight``. Candidates beyond ``top`` stay, with their fused score. Columns:
+    those of ``scored`` and blended.
     """
     order = Window.partitionBy("query_id").orderBy(F.col("rrf").desc(), "id")
-    head = scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top).drop("place")
-    per = Window.partitionBy("query_id")
+    placed = scored.withColumn("in_head", F.row_number().over(order) <= top)
+    per = Window.partitionBy("query_id", "in_head")
     low, high, most = F.min("ce").over(per), F.max("ce").over(per), F.max("rrf").over(per)
     span = F.when(high > low, high - low).otherwise(1.0)
-    return head.withColumn("blended", (1 - weight) * F.col("rrf") + weight * ((F.col("ce") - low) / span) * most)
+    mixed = (1 - weight) * F.col("rrf") + weight * ((F.col("ce") - low) / span) * most
+    return placed.withColumn("blended", F.when(F.col("in_head"), mixed).otherwise(F.col("rrf"))).drop("in_head")
 
 
 def diverse(candidates: DataFrame, n: int, per_paper: int, per_type: int = 2) -> DataFrame:

@@ -173,7 +173,7 @@ def rerank_blend(spark: SparkSession, folder: str) -> DataFrame:
     query = n.select(F.col("row_id").alias("query_id"), asked.alias("q"))
     f = R.fuse(_lists(spark, folder)).join(held, "id").join(query, "query_id")
     scored = f.withColumn("ce", F.size(F.array_intersect("w", "q")) / F.greatest(F.size("q"), F.lit(1)))
-    out = R.blend(scored.select("query_id", "id", "rrf", "ce"), top=20)
+    out = R.blend(scored.select("query_id", "id", "rrf", "ce"))
     return out.select("query_id", F.col("id").alias("row_id"), half_up(F.col("blended"), 6).alias("blended"))
 
 
