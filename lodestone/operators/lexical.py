@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Distinct search units that are counted in one pass over the texts.
 UNITS_PER_PASS = 100_000
+#: Scores of queries by texts that a worker holds at once.
+CELLS = 2_000_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -24,58 +31,99 @@ def query_units(query: Column) -> Column:
     return F.array_distinct(F.filter(units, lambda u: u != ""))
 
 
-def unit_hits(texts: DataFrame, text_id: str, text: Column, units: DataFrame) -> DataFrame:
-    """id, unit, tf: how often each unit (word or phrase) stands in each text, where it does.
-
-    Units are sent to the workers in blocks of bounded size; texts are read once per block.
-    """
-    spark = texts.sparkSession
-    kind = texts.schema[text_id].dataType.simpleString()
-    rows = texts.select(F.col(text_id).alias("id"), F.lower(text).alias("t")).where("t IS NOT NULL")
-    out = None
-    block: list[str] = []
-
-    def counted(block: list[str]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(block)
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            single: set[str] = set()
-            phrases: dict[str, list[tuple[str, ...]]] = {}
-            for u in sent.value:
-                words = tuple(u.split(" "))
-                if len(words) == 1:
-                    single.add(u)
-                else:
-                    phrases.setdefault(words[0], []).append(words)
-            for b in batches:
-                ids, units, tfs = [], [], []
-                for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    words = _WORD.findall(t)
-                    held = set(words)
-                    found = {w: words.count(w) for w in held & single}
-                    for first in held & phrases.keys():
-                        spots = [at for at, w in enumerate(words) if w == first]
-                        for p in phrases[first]:
-                            if n := sum(tuple(words[at : at + len(p)]) == p for at in spots):
-                                found[" ".join(p)] = n
-                    ids += [i] * len(found)
-                    units += found.keys()
-                    tfs += found.values()
+def _counter(units: Iterable[str]) -> Callable[[list[str]], dict[str, int]]:
+    """A function of a text's words: how often each of the units (words or phrases) stands there."""
+    single: set[str] = set()
+    phrases: dict[str, list[tuple[str, ...]]] = {}
+    for u in units:
+        words = tuple(u.split(" "))
+        if len(words) == 1:
+            single.add(u)
+        else:
+            phrases.setdefault(words[0], []).append(words)
+
+    def count(words: list[str]) -> dict[str, int]:
+        held = Counter(words)
+        found = {w: held[w] for w in held.keys() & single}
+        for first in held.keys() & phrases.keys():
+            spots = [at for at, w in enumerate(words) if w == first]
+            for p in phrases[first]:
+                if n := sum(tuple(words[at : at + len(p)]) == p for at in spots):
+                    found[" ".join(p)] = n
+        return found
+
+    return count
+
+
+def _holders(rows: DataFrame, units: list[str]) -> dict[str, int]:
+    """In how many of the texts (column t) each unit stands, where in any."""
+    sent = rows.sparkSession.sparkContext.broadcast(units)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = _counter(sent.value), Counter()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                held.update(found(_WORD.findall(t)).keys())
+        yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["unit", "n"])
+
+    n = rows.select("t").mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    return {r["unit"]: r["n"] for r in n.collect()}
+
+
+def _scored(rows: DataFrame, asked: list[tuple[object, list[str]]], n_all: int, avgdl: float, k: int, every: bool, schema: StructType) -> DataFrame:
+    """query_id, id, score: the k best texts of each batch for each query of a block. The scores
+    of a batch are one table of queries by texts, so what a frequent word adds is no row of a join."""
+    holders = _holders(rows, sorted({u for _, units in asked for u in units}))
+    idf = {u: max(math.log((n_all - n + 0.5) / (n + 0.5)), LEAST_IDF) for u, n in holders.items()}
+    sent = rows.sparkSession.sparkContext.broadcast((asked, idf))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, idf = sent.value
+        found = _counter(idf)
+        wanted = np.array([len(units) for _, units in asked])
+        places: dict[str, Counter] = {}
+        for i, (_, units) in enumerate(asked):
+            for u in units:
+                places.setdefault(u, Counter())[i] += 1
+        by_unit = {u: (np.fromiter(c.keys(), np.int64), np.fromiter(c.values(), np.float64)) for u, c in places.items() if u in idf}
+        step = max(1, CELLS // len(asked))
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                b = whole.slice(start, step)
+                base = K1 * (1 - B + B * np.asarray(b.column(2).to_pylist(), np.float64) / avgdl)
+                spots: dict[str, tuple[list[int], list[int]]] = {}
+                for j, t in enumerate(b.column(1).to_pylist()):
+                    for u, tf in found(_WORD.findall(t)).items():
+                        at, tfs = spots.setdefault(u, ([], []))
+                        at.append(j)
+                        tfs.append(tf)
+                table = np.zeros((len(asked), b.num_rows))
+                met = np.zeros((len(asked), b.num_rows), np.int32) if every else None
+                for u in sorted(spots):
+                    at, tf = np.array(spots[u][0]), np.array(spots[u][1], np.float64)
+                    part = idf[u] * tf * (K1 + 1) / (tf + base[at])
+                    queries, times = by_unit[u]
+                    table[np.ix_(queries, at)] += times[:, None] * part
+                    if every:
+                        met[np.ix_(queries, at)] += times.astype(np.int32)[:, None]
+                ids = b.column(0).to_pylist()
+                order = np.empty(len(ids), np.int64)
+                order[sorted(range(len(ids)), key=ids.__getitem__)] = np.arange(len(ids))
+                qs, js = [], []
+                for i in range(len(asked)):
+                    hit = np.flatnonzero(met[i] == wanted[i] if every else table[i])
+                    if len(hit) > k:
+                        hit = hit[np.lexsort((order[hit], -np.floor(table[i, hit] * 1e9)))[:k]]
+                    qs.append(np.full(len(hit), i))
+                    js.append(hit)
+                q, j = np.concatenate(qs), np.concatenate(js)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, b.schema.field(0).type), pa.array(units, pa.string()), pa.array(tfs, pa.int64())],
-                    names=["id", "unit", "tf"],
+                    [pa.array([asked[i][0] for i in q], query_type), b.column(0).take(pa.array(j)), pa.array(table[q, j])],
+                    names=["query_id", "id", "score"],
                 )
 
-        return rows.mapInArrow(count, f"id {kind}, unit string, tf long")
-
-    for r in units.select("unit").distinct().toLocalIterator():
-        block.append(r[0])
-        if len(block) == UNITS_PER_PASS:
-            out = counted(block) if out is None else out.unionByName(counted(block))
-            block = []
-    if block or out is None:
-        out = counted(block) if out is None else out.unionByName(counted(block))
-    return out
+    query_type = to_arrow_type(schema["query_id"].dataType)
+    return rows.mapInArrow(score, schema)
 
 
 def bm25(
@@ -87,29 +135,24 @@ def bm25(
     over units of idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)) with
     idf = max(ln((N - n + 0.5) / (n + 0.5)), 1e-6); lengths are in words, statistics are over
     all texts. Ties go to the smaller id. Queries without a word find nothing.
+
+    Queries are sent to the workers in blocks of bounded size; texts are read twice per block.
     """
     units = queries.select(F.col(query_id).alias("query_id"), F.explode(query_units(F.col(query))).alias("unit"))
     length = F.size(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), 0)).cast("double")
-    sized = texts.select(F.col(text_id).alias("id"), length.alias("dl"))
-    n_all = sized.agg(F.count(F.lit(1)).cast("double")).scalar()
-    avgdl = sized.agg(F.avg("dl")).scalar()
-    hits = unit_hits(texts, text_id, text, units)
-    df = hits.groupBy("unit").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    scored = (
-        units.join(hits, "unit")
-        .join(df, "unit")
-        .join(sized, "id")
-        .withColumn("n_all", n_all)
-        .withColumn("avgdl", avgdl)
-        .withColumn("idf", F.greatest(F.log((F.col("n_all") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(LEAST_IDF)))
-        .withColumn(
-            "part",
-            F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))),
-        )
-    )
-    wanted = units.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_units"))
-    found = scored.groupBy("query_id", "id").agg(F.sum("part").alias("score"), F.count(F.lit(1)).alias("n_found"))
-    if mode == "and":
-        found = found.join(wanted, "query_id").where("n_found = n_units")
+    n_all, avgdl = texts.agg(F.count(F.lit(1)), F.avg(length)).first()
+    rows = texts.select(F.col(text_id).alias("id"), F.lower(text).alias("t"), length.alias("dl")).where("id IS NOT NULL AND t IS NOT NULL")
+    schema = StructType([StructField("query_id", units.schema["query_id"].dataType), StructField("id", rows.schema["id"].dataType), StructField("score", DoubleType())])
+    found = rows.sparkSession.createDataFrame([], schema)
+    block: list[tuple[object, list[str]]] = []
+    size = 0
+    for r in units.groupBy("query_id").agg(F.collect_list("unit").alias("units")).toLocalIterator():
+        block.append((r["query_id"], r["units"]))
+        size += len(r["units"])
+        if size >= UNITS_PER_PASS:
+            found = found.unionByName(_scored(rows, block, n_all, avgdl, k, mode == "and", schema))
+            block, size = [], 0
+    if block:
+        found = found.unionByName(_scored(rows, block, n_all, avgdl, k, mode == "and", schema))
     order = Window.partitionBy("query_id").orderBy(F.floor(F.col("score") * 1e9).desc(), "id")
-    return found.select("query_id", "id", "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))

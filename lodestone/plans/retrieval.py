@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.config import Retrieval
 from lodestone.functions.text import TITLE_STOPWORDS
 from lodestone.operators import ranking as R
 from lodestone.operators.lexical import bm25
@@ -13,6 +14,9 @@ from lodestone.operators.vectors import cosine_similarity, nearest
 from lodestone.plans.base import N, P, half_up_sql, nuggets, papers
 from lodestone.session import half_up, key_of, read_table
 
+#: The length of each ranked list before fusion.
+N_RETRIEVE = Retrieval().n_retrieve
+
 
 def qa() -> Column:
     """Question and answer as one text."""
@@ -91,14 +95,13 @@ def bm25_batch(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _lists(spark: SparkSession, folder: str) -> DataFrame:
-    """For every 50th vector with a nugget: its vector list and the BM25 list of its words."""
+    """For every 50th vector with a nugget: its vector list and the BM25 list of its question."""
     n = read_table(spark, folder, "nuggets").select("row_id", "question", "answer")
     v = _vectors(spark, folder)
     q = v.where("vec_id % 50 = 0 AND vec_id > 0").withColumnRenamed("vec_id", "query_id")
-    vector = nearest(q, v, 30).select("query_id", F.col("vec_id").alias("id"), F.lit("vector").alias("list"), "rank", F.lit(1.0).alias("weight"))
-    words = F.array_join(F.slice(F.regexp_extract_all(F.lower("question"), F.lit("[a-z]{7,}"), 0), 1, 3), " ")
-    text_q = n.join(q, n["row_id"] == q["query_id"]).select("query_id", words.alias("query"))
-    hits = bm25(text_q, n, 30, query_id="query_id", query="query", text_id="row_id", text=qa(), mode="or")
+    vector = nearest(q, v, N_RETRIEVE).select("query_id", F.col("vec_id").alias("id"), F.lit("vector").alias("list"), "rank", F.lit(1.0).alias("weight"))
+    text_q = n.join(q, n["row_id"] == q["query_id"]).select("query_id", F.col("question").alias("query"))
+    hits = bm25(text_q, n, N_RETRIEVE, query_id="query_id", query="query", text_id="row_id", text=qa(), mode="or")
     lexical = R.merged_lexical(hits).select("query_id", "id", F.lit("bm25").alias("list"), "rank", F.lit(1.0).alias("weight"))
     return vector.unionByName(lexical)
 

@@ -1,6 +1,7 @@
 """Operators and queries that must do the whole job: no row, word or rank is cut off."""
 
 from lodestone.operators import ranking
+from lodestone.plans import retrieval
 
 
 def test_blend_keeps_candidates_beyond_top(spark):
@@ -10,3 +11,12 @@ def test_blend_keeps_candidates_beyond_top(spark):
     assert all(got[i]["blended"] == got[i]["rrf"] for i in range(4, 8))
     assert got[3]["blended"] == 0.4 * got[3]["rrf"]
     assert got[2]["blended"] == 0.4 * 0.5 + 0.6
+
+
+def test_lists_search_the_whole_question_to_full_length(spark, tmp_path):
+    asked = "Does sparse lidar localisation benefit perception scheduling before odometry?"
+    rows = [(50, asked, "")] + [(i, "odometry", f"drift {i}") for i in range(100, 170)] + [(i, "other", "words") for i in range(200, 400)]
+    spark.createDataFrame(rows, "row_id long, question string, answer string").write.parquet(f"{tmp_path}/nuggets.parquet")
+    spark.createDataFrame([(r[0], [1.0, r[0] / 1000]) for r in rows if r[0] % 50 or r[0] == 50], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = retrieval._lists(spark, str(tmp_path)).where("query_id = 50").groupBy("list").count().collect()
+    assert {r["list"]: r["count"] for r in got} == {"vector": 60, "bm25": 60}
