@@ -11,7 +11,7 @@ from lodestone.operators import chunking, similarity, store
 from lodestone.operators.lexical import bm25
 from lodestone.plans.base import N, P, half_up_sql, nuggets, papers
 from lodestone.plans.retrieval import _bm25_sql, qa
-from lodestone.session import half_up, key_of, read_table
+from lodestone.session import cut, half_up, key_of, read_table
 
 SPLIT_AT = "2024-07-01 00:00:00"
 
@@ -61,11 +61,15 @@ def greedy_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def near_dup_vs_existing(spark: SparkSession, folder: str) -> DataFrame:
-    """Nuggets of later loads that are alike to more than 75 % to an earlier one of their paper."""
+    """Nuggets of later loads that are alike to more than 75 % to an earlier one of their paper,
+    or to another later one that stays (a greedy pass in the order of ids)."""
     late = nuggets(spark, folder).select(F.col("nugget_id").alias("id"), (F.col("ingested_at") >= F.lit(SPLIT_AT).cast("timestamp_ntz")).alias("late"))
     p = similarity.jaccard_pairs(_word_sets(spark, folder), 0.75)
     p = p.join(late.select(F.col("id").alias("id_a"), F.col("late").alias("la")), "id_a").join(late.select(F.col("id").alias("id_b"), F.col("late").alias("lb")), "id_b")
-    return p.where("la <> lb").select(F.when(F.col("la"), F.col("id_a")).otherwise(F.col("id_b")).alias("nugget_id")).distinct()
+    p = cut(p.where("la OR lb"))
+    known = p.where("la <> lb").select(F.when(F.col("la"), F.col("id_a")).otherwise(F.col("id_b")).alias("id")).distinct()
+    fresh = p.where("la AND lb").join(known.withColumnRenamed("id", "id_a"), "id_a", "left_anti").join(known.withColumnRenamed("id", "id_b"), "id_b", "left_anti")
+    return known.unionByName(similarity.greedy_keep(fresh)).select(F.col("id").alias("nugget_id"))
 
 
 def fuzzy_titles(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Operators and queries that must do the whole job: no row, word or rank is cut off."""
 
+import datetime
+
 from lodestone.operators import ranking
-from lodestone.plans import retrieval
+from lodestone.plans import curation, retrieval
 
 
 def test_blend_keeps_candidates_beyond_top(spark):
@@ -20,3 +22,17 @@ def test_lists_search_the_whole_question_to_full_length(spark, tmp_path):
     spark.createDataFrame([(r[0], [1.0, r[0] / 1000]) for r in rows if r[0] % 50 or r[0] == 50], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = retrieval._lists(spark, str(tmp_path)).where("query_id = 50").groupBy("list").count().collect()
     assert {r["list"]: r["count"] for r in got} == {"vector": 60, "bm25": 60}
+
+
+def test_late_nuggets_are_deduplicated_against_each_other(spark, tmp_path):
+    old, new = datetime.datetime(2024, 1, 1), datetime.datetime(2024, 8, 1)
+    words = [f"w{i}" for i in range(60)]
+    text = lambda start, n=20: " ".join(words[start : start + n])
+    rows = [
+        ("a", old, text(0)), ("b", old, text(0)),  # both early: no concern of this query
+        ("c", new, text(0)), ("d", new, text(2)),  # c is known; d is like c (18 of 22), and like a and b
+        ("e", new, text(30)), ("f", new, text(32)), ("g", new, text(34)),  # f is like e; g only like f, which goes
+    ]
+    spark.createDataFrame([(i, t, k, "p", q, "") for k, (i, t, q) in enumerate(rows)], "nugget_id string, ingested_at timestamp_ntz, row_id long, paper_id string, question string, answer string").write.parquet(f"{tmp_path}/nuggets.parquet")
+    got = {r[0] for r in curation.near_dup_vs_existing(spark, str(tmp_path)).collect()}
+    assert got == {"c", "d", "f"}
