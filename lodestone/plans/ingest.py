@@ -9,12 +9,12 @@ from lodestone.functions import text as T
 from lodestone.operators.citekeys import STOP, resolve_keys
 from lodestone.operators.lexical import bm25
 from lodestone.operators.parsing import extracted_pairs
-from lodestone.operators.similarity import fuzzy_title_join
+from lodestone.operators.similarity import fuzzy_title_join, greedy_keep
 from lodestone.plans.base import N, P, half_up_sql, nuggets, papers
 from lodestone.plans.retrieval import _bm25_sql, qa
 from lodestone.plans.tools import SQL as TOOL_SQL
 from lodestone.plans.tools import bibtex_keys
-from lodestone.session import half_up, key_of, read_table
+from lodestone.session import cut, half_up, key_of, read_table
 
 CODE = ("implementation", "config", "experiment")
 
@@ -56,21 +56,41 @@ def seed_papers(spark: SparkSession, folder: str) -> DataFrame:
 
 def discovery_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Discovered candidates against the knowledge base: known by identifier, known by title,
-    repeated among themselves, or new."""
-    p = read_table(spark, folder, "papers").drop("abstract").withColumn("norm", T.normal_title(F.coalesce("title", F.lit(""))))
-    ident = F.coalesce(F.nullif(F.trim("arxiv_id"), F.lit("")), F.nullif(F.lower(F.trim("doi")), F.lit("")))
-    p = p.withColumn("ident", ident).withColumn("id", F.xxhash64("paper_id", "added_at", "title"))
+    repeated among themselves (identifier or title of an earlier one that stays), or new.
+    Candidates come in the order of their time and id."""
+    blank = lambda c: F.nullif(c, F.lit(""))
+    p = read_table(spark, folder, "papers").select(
+        "paper_id", "added_at", "source", T.normal_title(F.coalesce("title", F.lit(""))).alias("norm"),
+        blank(F.trim("arxiv_id")).alias("arxiv"), blank(F.lower(F.trim("doi"))).alias("doi"),
+    )
     found = p.where("source = 'discovered'")
     kb = p.where("source IS NULL OR source <> 'discovered'")
-    known_ids = kb.where("ident IS NOT NULL").select("ident", F.lit(True).alias("known_id")).distinct()
-    titles = lambda d: d.where("norm <> ''").select("id", F.col("norm").alias("title"))
-    similar = fuzzy_title_join(titles(found), titles(kb)).select(F.col("id_a").alias("id"), F.lit(True).alias("known_title")).distinct()
-    j = found.where("norm <> ''").join(known_ids, "ident", "left").join(similar, "id", "left")
+    # Rows with the same title and identifiers fare alike, but that only the first may stay.
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    first = F.min(F.concat_ws("|", text("added_at"), text("paper_id"))).alias("first")
+    c = found.groupBy("norm", "arxiv", "doi").agg(first, F.count(F.lit(1)).alias("n"))
+    c = cut(c.withColumn("id", F.concat_ws("|", "first", "norm", text("arxiv"), text("doi"))).withColumn("key", F.coalesce("arxiv", "doi")))
+    known = lambda col: kb.where(F.col(col).isNotNull()).select(col, F.lit(True).alias(f"known_{col}")).distinct()
+    norms = lambda d: d.where("norm <> ''").select(F.col("norm").alias("id"), F.col("norm").alias("title")).distinct()
+
+    def alike(left: DataFrame, right: DataFrame) -> DataFrame:
+        same = left.select(F.col("id").alias("id_a")).join(right.select(F.col("id").alias("id_b")), F.col("id_a") == F.col("id_b"))
+        return fuzzy_title_join(left, right).select("id_a", "id_b").unionByName(same).distinct()
+
+    similar = alike(norms(c), norms(kb)).select(F.col("id_a").alias("norm"), F.lit(True).alias("known_title")).distinct()
+    j = c.join(known("arxiv"), "arxiv", "left").join(known("doi"), "doi", "left").join(similar, "norm", "left")
+    j = cut(j.withColumn("known_id", F.coalesce("known_arxiv", "known_doi")).where("norm <> '' OR known_id"))
     rest = j.where("known_id IS NULL AND known_title IS NULL")
-    twin = fuzzy_title_join(titles(rest), titles(rest)).where("id_a < id_b").select(F.col("id_b").alias("id"), F.lit(True).alias("twin")).distinct()
-    j = j.join(twin, "id", "left")
+    a, b = (rest.select(F.col("id").alias(f"id_{x}"), F.col("key").alias(f"key_{x}"), F.col("norm").alias(f"norm_{x}")) for x in "ab")
+    titles = alike(norms(rest), norms(rest)).select(F.col("id_a").alias("norm_b"), F.col("id_b").alias("norm_a"))
+    twins = a.join(titles, "norm_a").join(b, "norm_b").select("id_a", "id_b")
+    twins = twins.unionByName(a.join(b, F.col("key_a") == F.col("key_b")).select("id_a", "id_b")).where("id_a < id_b")
+    j = j.join(greedy_keep(twins).select("id", F.lit(True).alias("twin")), "id", "left")
     reason = F.when(F.col("known_id"), "exact_id").when(F.col("known_title"), "fuzzy_title").when(F.col("twin"), "cross_source").otherwise("kept")
-    return j.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("candidates"))
+    j = j.withColumn("reason", reason)
+    parts = F.when(F.col("reason") == "kept", F.array(F.struct(F.lit("kept").alias("r"), F.lit(1).cast("long").alias("k")), F.struct(F.lit("cross_source").alias("r"), (F.col("n") - 1).alias("k"))))
+    rows = j.select(F.explode(parts.otherwise(F.array(F.struct(F.col("reason").alias("r"), F.col("n").alias("k"))))).alias("p")).where("p.k > 0")
+    return rows.groupBy(F.col("p.r").alias("reason")).agg(F.sum("p.k").alias("candidates"))
 
 
 def code_search(spark: SparkSession, folder: str) -> DataFrame:

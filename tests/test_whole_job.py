@@ -3,7 +3,7 @@
 import datetime
 
 from lodestone.operators import ranking
-from lodestone.plans import curation, retrieval
+from lodestone.plans import curation, ingest, retrieval
 
 
 def test_blend_keeps_candidates_beyond_top(spark):
@@ -36,3 +36,20 @@ def test_late_nuggets_are_deduplicated_against_each_other(spark, tmp_path):
     spark.createDataFrame([(i, t, k, "p", q, "") for k, (i, t, q) in enumerate(rows)], "nugget_id string, ingested_at timestamp_ntz, row_id long, paper_id string, question string, answer string").write.parquet(f"{tmp_path}/nuggets.parquet")
     got = {r[0] for r in curation.near_dup_vs_existing(spark, str(tmp_path)).collect()}
     assert got == {"c", "d", "f"}
+
+
+def test_discovery_matches_identifiers_rows_and_chains(spark, tmp_path):
+    chain = ["alpha beta gamma delta epsilon zeta", "alpha beta gamma delta epsilxx zexx", "alpha beta gamma dexxa epsilxx zexx"]
+    rows = [
+        ("k1", None, "Known work on sensors", "1111.1111", "10.1/K"),
+        ("c1", "discovered", "Renamed entirely", "9999.0001", "10.1/k"),  # known DOI, unknown arXiv id
+        ("c2", "discovered", "", "1111.1111", None),  # known id, blank title
+        ("c3", "discovered", "Quantum lattices melt", "2222.2222", None),
+        ("c4", "discovered", "Completely different name", "2222.2222", None),  # id of c3
+        ("c5", "discovered", "Repeated row", None, None),
+        ("c5", "discovered", "Repeated row", None, None),
+    ] + [(f"d{i}", "discovered", t, None, None) for i, t in enumerate(chain)]  # the middle one goes, the last is not like the first
+    at = datetime.datetime(2024, 1, 1)
+    spark.createDataFrame([(*r, at) for r in rows], "paper_id string, source string, title string, arxiv_id string, doi string, added_at timestamp_ntz").write.parquet(f"{tmp_path}/papers.parquet")
+    got = {r["reason"]: r["candidates"] for r in ingest.discovery_dedup(spark, str(tmp_path)).collect()}
+    assert got == {"exact_id": 2, "cross_source": 3, "kept": 4}
