@@ -198,8 +198,7 @@ def keyword_authority_score(spark: SparkSession, folder: str) -> DataFrame:
 
 def _own_ranks(spark: SparkSession, folder: str) -> DataFrame:
     n = read_table(spark, folder, "nuggets").select("row_id", "question", "answer", "type")
-    words = F.array_join(F.slice(F.regexp_extract_all(F.lower("question"), F.lit("[a-z]{7,}"), 0), 1, 4), " ")
-    q = n.where("row_id % 50 = 0").select(F.col("row_id").alias("query_id"), words.alias("query"))
+    q = n.where("row_id % 50 = 0").select(F.col("row_id").alias("query_id"), F.col("question").alias("query"))
     hits = bm25(q, n, 50, query_id="query_id", query="query", text_id="row_id", text=qa(), mode="or")
     own = hits.where("query_id = id").select("query_id", "rank")
     kinds = n.select(F.col("row_id").alias("query_id"), F.coalesce(F.lower("type"), F.lit("(none)")).alias("type"))
@@ -207,16 +206,16 @@ def _own_ranks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def self_retrieval_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    """How well a few words of every 50th question find its own nugget, by type and overall."""
+    """How well every 50th question finds its own nugget, by type and overall."""
     found = lambda k: half_up(F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0))).alias(f"recall_{k}")
     g = _own_ranks(spark, folder).rollup("type").agg(F.count(F.lit(1)).alias("queries"), *[found(k) for k in (1, 5, 10, 20, 50)], half_up(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0)))).alias("mrr"))
     return g.withColumn("type", F.coalesce("type", F.lit("(all)"))).where("queries >= 3 OR type = '(all)'")
 
 
 def canary_recall(spark: SparkSession, folder: str) -> DataFrame:
-    """Held-out items by mode: for how many three of their words find a document."""
+    """Held-out items by mode: for how many all their words of 3 or more letters find a document."""
     items = read_table(spark, folder, "canary_items")
-    words = F.array_join(F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{8,}"), 0), 1, 3), " ")
+    words = F.array_join(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]{3,}"), 0), " ")
     q = items.select(F.col("item_id").alias("query_id"), words.alias("query"))
     docs = read_table(spark, folder, "documents").select("doc_id", "text")
     hits = bm25(q, docs, 20, query_id="query_id", query="query", text_id="doc_id", text=F.coalesce("text", F.lit("")))

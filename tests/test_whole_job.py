@@ -53,3 +53,13 @@ def test_discovery_matches_identifiers_rows_and_chains(spark, tmp_path):
     spark.createDataFrame([(*r, at) for r in rows], "paper_id string, source string, title string, arxiv_id string, doi string, added_at timestamp_ntz").write.parquet(f"{tmp_path}/papers.parquet")
     got = {r["reason"]: r["candidates"] for r in ingest.discovery_dedup(spark, str(tmp_path)).collect()}
     assert got == {"exact_id": 2, "cross_source": 3, "kept": 4}
+
+
+def test_evaluations_query_with_the_whole_text(spark, tmp_path):
+    stub = "controlled localisation perception scheduling"
+    rows = [(50, f"{stub} of an elk", "", "claim"), (1, stub, "", "claim")]
+    spark.createDataFrame(rows + [(i, "other", "", "claim") for i in range(2, 30)], "row_id long, question string, answer string, type string").write.parquet(f"{tmp_path}/nuggets.parquet")
+    spark.createDataFrame([(1, "draft", f"{stub} elk"), (2, "draft", f"{stub} owl")], "item_id long, mode string, text string").write.parquet(f"{tmp_path}/canary_items.parquet")
+    spark.createDataFrame([(1, f"{stub} elk"), (2, "other")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r["rank"] for r in curation._own_ranks(spark, str(tmp_path)).collect()] == [1]
+    assert [(r["items"], r["with_hits"]) for r in curation.canary_recall(spark, str(tmp_path)).collect()] == [(2, 1)]
