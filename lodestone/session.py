@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table written into the shared checkpoint folder. Unlike a checkpoint, the
+    table carries no constraints of the plan it came from; those double with every round of a
+    loop that filters its own result."""
+    ensure_checkpoint_dir(df.sparkSession)
+    show_workers_the_package(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of a folder of Parquet files or directories."""
     show_workers_the_package(spark)
