@@ -63,3 +63,24 @@ def test_middle():
     for low, high in [("a", "b"), ("a", "ab"), ("x_1", "x_2"), ("", "a"), ("é", "\U0001f600"), ("a퟿", "a")]:
         m = _middle(low, high)
         assert low < m <= high
+
+
+def test_rounds_are_bounded_whatever_the_scores(spark, monkeypatch):
+    """A null score, 10,000 negative scores and magnitudes from 1e-300 to 1e300."""
+    from lodestone.llm import capping
+
+    rounds = []
+    cut = capping.cut
+    monkeypatch.setattr(capping, "cut", lambda df: rounds.append(1) or cut(df))
+    scores = [None, *[-float(k) for k in range(10_000)], *[s * 10.0**e for e in range(-300, 301, 25) for s in (1, -1)]]
+    df = spark.createDataFrame([("p", f"i{k:05d}", s) for k, s in enumerate(scores)], "paper string, id string, score double")
+    out = cap_per_contributor(df, F.col("paper"), F.col("id"), F.col("score"), max_count=9_900)
+    kept = {r.id for r in out.where("kept").collect()}
+    order = sorted(range(len(scores)), key=lambda k: (scores[k] is None, -(scores[k] or 0), f"i{k:05d}"))
+    assert kept == {f"i{k:05d}" for k in order[:9_900]}
+    assert len(rounds) < 70
+
+
+def test_only_unusable_scores_at_the_cut(spark):
+    rows = [("p", f"i{k}", None if k else 2.0, 1) for k in range(8)]
+    assert {i for i, r in run(spark, rows, max_count=3).items() if r[2]} == {"i0", "i1", "i2"}
