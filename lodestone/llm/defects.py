@@ -1,10 +1,11 @@
 """Broken question-answer pairs: empty, copied, refused, foreign and truncated answers.
 
-One pass in Arrow batches judges each pair: a pushdown parser follows fences, brackets,
-quotations and list markers; greedy string tiling finds copies of the question; a refusal
-grammar and checks of script and function words do the rest. What an unfinished answer's last
-word tells depends on how words end sentences in all answers: the same pass counts that, and
-a join settles the pairs that are still open.
+A pushdown parser follows fences, code spans, formulas, brackets, quotations, emphasis, tags
+and list items to the end of an answer; greedy string tiling over hashed runs finds copies of
+the question; a refusal grammar and checks of script and language (character n-grams) do the
+rest. Whether a last sentence without a final mark is complete is judged by an averaged
+perceptron that has learned from finished sentences of a bounded sample of the answers and
+from their beginnings; whether a last word was cut in two shows in the words of all texts.
 """
 
 from __future__ import annotations
@@ -13,10 +14,13 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm import languages
+from lodestone.llm.sentences import SentenceModel, is_beginning, train
 from lodestone.session import cut
 
 # Stand-ins for an answer, without case, spaces, brackets and final stops.
@@ -28,22 +32,6 @@ STAND_INS = {
     "pas de réponse", "aucune réponse", "keine", "ninguna", "aucun", "aucune", "sans réponse", "s/o",
 }
 
-# Frequent function words of the four languages of the tables.
-FUNCTION_WORDS = {
-    "en": "the of and to in is that for it as was with be by on not he his are this from at which or an have has had "
-    "but were their they its been would there can will what when where who how why does do did if than then while "
-    "whereas although because until once so any each both neither nor our we after before under near within without "
-    "during across despite beyond only a i you",
-    "de": "der die das und ist nicht ein eine einen einem einer eines den dem des zu mit von auf für im sich auch als "
-    "an werden wird aus er hat dass sie nach bei um am sind noch wie über so zum war haben nur oder aber vor zur bis "
-    "mehr durch man kann dann wenn weil obwohl während wir ihre dabei damit danach da unter warum welche ich welcher",
-    "fr": "le la les de des du et un une est en que qui dans pour pas sur plus par avec ce il sont au aux se ne ou "
-    "mais comme nous vous leur on cette ces sa son ses été être d l qu n s c j à lors lorsque bien car puisque quand "
-    "pourquoi comment quel quelle sous sans ainsi ne aux entre je",
-    "es": "el la los las de del y un una es en que por para con no se su al lo como más o pero sus le ha me si sin "
-    "sobre este ya entre cuando todo esta ser son dos también fue había era muy hasta desde mi porque qué cómo cuál "
-    "aunque así tras solo sólo nos afecta sigue siendo yo",
-}
 # Words after which no sentence of these languages ends.
 NEVER_LAST = set(
     "the a an of and or to in is are was were be been with by from at for on as that than then which who whose where "
@@ -58,7 +46,6 @@ NEVER_LAST = set(
 LEAD_INS = set("q question you asked ask the is was your my a answer here frage pregunta la die sie fragten".split())
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’_-][^\W_]+)*")
-_WORD_END = re.compile(r"([^\W\d_]+(?:['’_-][^\W_]+)*)([.!?](?=\s|$))?")
 _TOKEN = re.compile(r"[^\W_]+")
 # Abbreviations that do not end an answer.
 _ABBREVIATION = re.compile(r"\b(?:i\.e|e\.g|cf|vs|approx|resp|incl|viz|fig|figs|eq|sec|tab|z\.b|d\.h|p\.ej|bzw|p\.ex)\.$")
@@ -101,42 +88,71 @@ def is_empty(answer: str) -> bool:
     return len(text := bare(answer)) < 30 and text in STAND_INS
 
 
+def _runs(tokens: list[int], size: int) -> list[int]:
+    """A rolling hash of every run of ``size`` tokens."""
+    modulus, base = (1 << 61) - 1, 1_000_003
+    top = pow(base, size - 1, modulus)
+    out, h = [], 0
+    for k, t in enumerate(tokens):
+        if k >= size:
+            h = (h - tokens[k - size] * top) % modulus
+        h = (h * base + t) % modulus
+        if k >= size - 1:
+            out.append(h)
+    return out
+
+
 def tiles(question: list[str], answer: list[str], least: int = 2) -> tuple[int, list[bool]]:
-    """Greedy string tiling: tokens of the question in tiles, and which of the answer's
-    tokens lie in a tile. Longest common runs first, no token in two tiles. Question tokens
-    may be used by several tiles of the answer, as an answer may repeat its question."""
-    held = [False] * len(answer)
-    used = [False] * len(question)
-    where: dict[str, list[int]] = {}
-    for i, t in enumerate(question):
-        where.setdefault(t, []).append(i)
-    while True:
-        best, at, of = least - 1, -1, -1
-        for j in range(len(answer)):
-            if held[j]:
+    """Greedy string tiling: how many tokens of the question lie in tiles, and which of the
+    answer's tokens do. Long runs come first: runs of a power of two of tokens are found by
+    their hashes, then grown; no token on either side lies in two tiles. Each size takes time
+    in proportion to both lengths, so the whole takes n log n."""
+    number = {t: i + 1 for i, t in enumerate(dict.fromkeys([*question, *answer]))}
+    q, a = [number[t] for t in question], [number[t] for t in answer]
+    held_q, held_a = [False] * len(q), [False] * len(a)
+    size = 1 << max(0, min(len(q), len(a)).bit_length() - 1)
+    while size >= least:
+        where: dict[int, list[int]] = {}
+        hashes = _runs(q, size)
+        for i in range(len(hashes) - 1, -1, -1):
+            where.setdefault(hashes[i], []).append(i)
+        j, of_answer = 0, _runs(a, size)
+        while j < len(of_answer):
+            # Tiles are at least ``size`` long, so one that meets a run covers one of its ends.
+            if held_a[j] or held_a[j + size - 1]:
+                j += 1
                 continue
-            for i in where.get(answer[j], ()):
-                k = 0
-                while i + k < len(question) and j + k < len(answer) and not held[j + k] and question[i + k] == answer[j + k]:
-                    k += 1
-                if k > best:
-                    best, at, of = k, j, i
-        if at < 0:
-            return sum(used), held
-        held[at : at + best] = [True] * best
-        used[of : of + best] = [True] * best
+            places = where.get(of_answer[j], [])
+            while places and (held_q[places[-1]] or held_q[places[-1] + size - 1]):
+                places.pop()
+            if not places or q[places[-1] : places[-1] + size] != a[j : j + size]:
+                j += 1
+                continue
+            i, n = places.pop(), size
+            while i + n < len(q) and j + n < len(a) and not held_q[i + n] and not held_a[j + n] and q[i + n] == a[j + n]:
+                n += 1
+            held_q[i : i + n] = [True] * n
+            held_a[j : j + n] = [True] * n
+            j += n
+        size >>= 1
+    return sum(held_q), held_a
 
 
 def is_copy(question: str, answer: str) -> bool:
+    """Nothing but the question, perhaps announced, perhaps several times over: the answer is
+    tiled with as many copies of the question as its length asks for."""
     q, a = _TOKEN.findall(question.lower()), _TOKEN.findall(answer.lower())
-    if len(q) < 3 or not 0.8 * len(q) <= len(a) <= 4 * len(q) + 6:
+    if len(q) < 3 or len(a) < 0.8 * len(q):
         return False
+    if q == a:
+        return True
     known = set(q)
     if sum(t in known for t in a) < 0.75 * len(a):
         return False
-    covered, held = tiles(q, a)
+    times = max(1, round(len(a) / len(q)))
+    covered, held = tiles(q * times, a)
     rest = [t for t, h in zip(a, held) if not h]
-    return covered >= 0.85 * len(q) and len(rest) <= 4 and all(t in LEAD_INS for t in rest)
+    return covered >= 0.85 * len(q) * times and len(rest) <= 4 * times and all(t in LEAD_INS for t in rest)
 
 
 def is_refusal(answer: str) -> bool:
@@ -144,67 +160,76 @@ def is_refusal(answer: str) -> bool:
     return bool(REFUSAL.match(text))
 
 
-_SETS = {k: set(v.split()) for k, v in FUNCTION_WORDS.items()}
-
-_LETTER = re.compile(r"[^\W\d_]")
-_NOT_LATIN = re.compile(r"(?![\u1e00-\u1eff\u2c60-\u2c7f\ua720-\ua7ff\uff00-\uff5e])[^\W\d_\u0000-\u036f]")
-
-
-def language(text: str) -> tuple[str | None, float]:
-    """The language by function words (script for others than Latin) and its lead over the next."""
-    if not text.isascii():
-        foreign = _NOT_LATIN.findall(text)
-        if len(foreign) > 0.5 * len(_LETTER.findall(text)):
-            c = ord(foreign[len(foreign) // 2])
-            return ("greek" if c < 0x400 else "cyrillic" if c < 0x530 else f"script{c // 0x400}"), 9.0
-    words = set(text.lower().replace("'", " ").replace("’", " ").split())
-    # Words that languages share count for each of them and cancel out.
-    score = sorted(((len(words & own), k) for k, own in _SETS.items()), reverse=True)
-    lead = score[0][0] - score[1][0]
-    return (score[0][1], float(lead)) if lead else (None, 0.0)
-
-
-def is_foreign(question: str, answer: str) -> bool:
-    a, lead = language(answer)
-    if a is None or lead < 1.5:
-        return False
-    q, q_lead = language(question)
-    return q is not None and q_lead >= 1 and q != a
-
-
-_MARKS = re.compile(r"```|`|[()\[\]{}\"“”«»]|\$\$")
+# Tags that are closed by a tag of their own.
+_TAGS = "b|i|u|em|strong|code|pre|sub|sup|p|ul|ol|li|table|tr|td|th|span|div|a|h[1-6]|blockquote|math"
+_MARKER = r"[ \t]*(?:[-*•+]|\(?\d{1,3}[.)])"
+_MARKS = re.compile(
+    rf"(?P<tag></?(?:{_TAGS})\b[^<>\n]*>)|(?P<broken></?(?:{_TAGS})\b[^<>\n]*\Z)|(?P<item>(?m:^{_MARKER})(?:[ \t]+|\Z))"
+    r"|\\(?:begin|end)\{[a-z]+\*?\}|```|`|\$\$|\$|\*\*|[()\[\]{}\"“”«»\n]"
+)
 _PARTNER = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
 
 
 def open_structures(text: str) -> list[str]:
     """What is still open at the end of the text, by a pushdown parser over fences, code
-    spans, display formulas, brackets and quotations. Closers without a partner (list markers
-    such as ``1)``, stray quotes) are passed over; inside code nothing but its end counts."""
+    spans, formulas, brackets, quotations, emphasis, tags, environments and list items (an
+    item is open while nothing follows its marker). Closers without a partner (list marks such
+    as ``1)``, stray quotes, prices) are passed over; inside code and formulas nothing but
+    their end counts."""
     stack: list[str] = []
+
+    def close(opener: str) -> None:
+        if opener in stack:
+            while stack.pop() != opener:
+                pass
+
     for m in _MARKS.finditer(text):
         mark = m.group()
-        code = stack and stack[-1] in ("```", "`", "$$")
-        if mark in ("```", "`", "$$"):
-            if code and stack[-1] == mark:
+        before = text[m.start() - 1] if m.start() else " "
+        after = text[m.end()] if m.end() < len(text) else " "
+        inside = stack[-1] if stack and stack[-1] in ("```", "`", "$$", "$") else None
+        if inside:
+            if mark == inside:
                 stack.pop()
-            elif not code:
-                stack.append(mark)
-        elif code:
             continue
+        if stack and stack[-1] == "item" and text[m.start() - 1 : m.start()].strip():
+            stack.pop()  # something stands behind the marker
+        if m.lastgroup == "item":
+            close("item")
+            stack.append("item")
+        elif m.lastgroup == "broken":
+            stack.append(mark)
+        elif m.lastgroup == "tag":
+            name = re.match(r"</?(\w+)", mark).group(1)
+            if mark[1] == "/":
+                close(f"<{name}>")
+            elif not mark.endswith("/>"):
+                stack.append(f"<{name}>")
+        elif mark.startswith("\\begin"):
+            stack.append(mark[6:])
+        elif mark.startswith("\\end"):
+            close(mark[4:])
+        elif mark in ("```", "`", "$$"):
+            stack.append(mark)
+        elif mark == "$":  # a formula, not a price
+            if (before.isspace() or before in "([") and (after.isalpha() or after == "\\"):
+                stack.append("$")
+        elif mark == "**":
+            if "**" in stack:
+                close("**")
+            elif not after.isspace() and (before.isspace() or not before.isalnum()):
+                stack.append("**")
         elif mark == '"':
-            before = text[m.start() - 1] if m.start() else " "
-            after = text[m.end()] if m.end() < len(text) else " "
             if '"' in stack and not (before.isspace() and not after.isspace()):
-                while stack.pop() != '"':
-                    pass
+                close('"')
             elif (before.isspace() or before in "([{“«") and not after.isspace():
                 stack.append('"')
         elif mark in _PARTNER:
-            if _PARTNER[mark] in stack:
-                while stack.pop() != _PARTNER[mark]:
-                    pass
-        else:
+            close(_PARTNER[mark])
+        elif mark != "\n":
             stack.append(mark)
+    if stack and stack[-1] == "item" and re.sub(rf"\A{_MARKER}", "", text.rsplit("\n", 1)[-1]).strip():
+        stack.pop()
     return stack
 
 
@@ -213,21 +238,9 @@ _LIST_BEGUN = re.compile(r"[,;:]\s*\(?(?:\d{1,2}[.)]|[a-z]\))$|\n\s*(?:\d{1,2}[.
 _FINAL = re.compile(r"[.!?。！？][\"'”’»)\]]*$")
 
 
-def _key(before: str, word: str) -> str:
-    """A word in its place: after a function word (as in "the static") or after any other."""
-    return ("after " if before in NEVER_LAST else "free ") + word
-
-
-def _word_ends(text: str) -> Iterator[tuple[str, bool]]:
-    """The words of a text in their places, and whether each ends a sentence."""
-    before = ""
-    for word, end in _WORD_END.findall(text):
-        yield ("after " if before in NEVER_LAST else "free ") + word, end != ""
-        before = "" if end else word
-
-
-def ending(answer: str) -> tuple[str, str | None]:
-    """('cut', None), ('sound', None) or ('open', last word) for the end of an answer."""
+def ending(answer: str, question: str = "", model: SentenceModel | None = None) -> tuple[str, str | None]:
+    """('cut', None), ('sound', None), or ('open', last word) where it depends on the words of
+    all texts whether the last word is whole."""
     text = answer.rstrip()
     stack = open_structures(text)
     dots = 3 if text.endswith("...") else text.endswith("…")
@@ -247,6 +260,10 @@ def ending(answer: str) -> tuple[str, str | None]:
         return "cut", None
     if _LIST_END.search(body[-40:]) and re.search(r"\w.*\w", body, re.S):
         return ("cut", None) if _LIST_BEGUN.search(body[-60:]) else ("sound", None)
+    if body and body[-1] in ")]}":  # a reference or remark that is closed stands behind what it belongs to
+        return "sound", None
+    if model and not dots and is_beginning(body, model):
+        return "cut", None
     token = body.rsplit(None, 1)[-1] if body.strip() else ""
     last = _LAST.search(token)
     if not last:
@@ -255,12 +272,17 @@ def ending(answer: str) -> tuple[str, str | None]:
     ahead = body[: len(body) - len(last.group(1))]
     if word in NEVER_LAST and _WORD.search(ahead):
         return "cut", None
-    # The word before it, where nothing but white space stands between.
-    before = _LAST.search(ahead.rstrip().rsplit(None, 1)[-1]) if ahead[-1:].isspace() and ahead.strip() else None
-    return "open", _key(before.group(1).lower() if before else "", word)
+    if dots:  # trailing off is no cut word
+        return "sound", None
+    around = set(_WORD.findall(f"{question} {ahead}".lower()))
+    if word in around:
+        return "sound", None
+    if len(word) > 1 and any(w.startswith(word) for w in around):
+        return "cut", None
+    return "open", word
 
 
-def judge(question: str, answer: str) -> tuple[str | None, str | None]:
+def judge(question: str, answer: str, model: SentenceModel | None = None) -> tuple[str | None, str | None]:
     """The defect of a pair, or the last word on which it depends whether it is truncated."""
     if is_empty(answer):
         return "empty", None
@@ -268,17 +290,43 @@ def judge(question: str, answer: str) -> tuple[str | None, str | None]:
         return "copied_question", None
     if is_refusal(answer):
         return "refusal", None
-    if is_foreign(question, answer):
+    if languages.differs(question, answer):
         return "other_language", None
-    end, word = ending(answer)
+    end, word = ending(answer, question, model)
     return ("truncated", None) if end == "cut" else (None, word)
 
 
-_ROWS = "id string, defect string, word string, inside long, last long"
-#: A word seen this often in its place that ends hardly any sentence does not end an answer.
-SEEN, SELDOM = 30, 0.01
+_ROWS = "id string, defect string, word string, seen long"
+#: A last word that no other record has is cut if words of this many records begin with it.
+FREQUENT = 5
 #: Distinct words that a task counts before it passes them on.
 COUNTED_AT_ONCE = 200_000
+#: Finished answers whose sentences the sentence model is fitted on, and their greatest length.
+SAMPLE_ANSWERS, SAMPLE_LENGTH = 4_000, 2_000
+
+
+def fitted_sentences(rows: DataFrame, answer: str, sample: int = SAMPLE_ANSWERS) -> SentenceModel | None:
+    """The sentence model, from the ``sample`` distinct answers with a final mark whose hashes
+    are least: a random sample that is the same whatever the order and number of copies."""
+    ends = F.trim(F.col(answer)).rlike(r"[.!?]$")
+    chosen = rows.where(ends & (F.length(answer) <= SAMPLE_LENGTH)).select(F.xxhash64(answer).alias("h"), F.col(answer).alias("text"))
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, str] = {}
+        bound = None
+        for b in batches:
+            h = b.column(0).to_numpy()
+            at = np.flatnonzero(h <= bound) if bound is not None else np.arange(len(h))
+            texts = b.column(1).take(pa.array(at)).to_pylist()
+            held.update(zip(h[at].tolist(), texts))
+            if len(held) > 2 * sample:
+                held = dict(sorted(held.items())[:sample])
+                bound = max(held)
+        rows_out = sorted(held.items())[:sample]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows_out], pa.int64()), pa.array([r[1] for r in rows_out], pa.string())], names=["h", "text"])
+
+    few = chosen.mapInArrow(least, "h long, text string").distinct().orderBy("h", "text").limit(sample).collect()
+    return train([r["text"] for r in few])
 
 
 def pair_defects(pairs: DataFrame, record_id: Column, question: Column, answer: Column) -> DataFrame:
@@ -289,66 +337,64 @@ def pair_defects(pairs: DataFrame, record_id: Column, question: Column, answer:
     ``other_language`` (another script or language than the question's), ``truncated``. Null
     questions count as empty text. Null ids are left out; ids come out as strings. An empty
     table gives no rows. Other columns play no part.
+
+    What an answer shows by itself is judged by itself. Two things are learned from the table:
+    the sentence model, from a bounded sample (without enough finished sentences there is none,
+    and nothing is called truncated on its account), and the words of all records, against
+    which a last word that stands nowhere else is held.
     """
     rows = pairs.select(
         record_id.cast("string").alias("id"),
         F.coalesce(question.cast("string"), F.lit("")).alias("q"),
         F.coalesce(answer.cast("string"), F.lit("")).alias("a"),
     ).where("id IS NOT NULL")
+    sent = rows.sparkSession.sparkContext.broadcast(fitted_sentences(rows, "a"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole: Counter[str] = Counter()
-        last: Counter[str] = Counter()
+        model = sent.value
+        seen: Counter[str] = Counter()
 
-        def rows_of(ids: list, defects: list, words: list, counts: list, ends: list) -> pa.RecordBatch:
-            cols = zip((ids, defects, words, counts, ends), (pa.string(),) * 3 + (pa.int64(),) * 2)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], names=["id", "defect", "word", "inside", "last"])
+        def rows_of(ids: list, defects: list, words: list, counts: list) -> pa.RecordBatch:
+            cols = zip((ids, defects, words, counts), (pa.string(),) * 3 + (pa.int64(),))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], names=["id", "defect", "word", "seen"])
 
         def counted() -> pa.RecordBatch:
-            none = [None] * len(whole)
-            out = rows_of(none, none, list(whole), list(whole.values()), [last[w] for w in whole])
-            whole.clear()
-            last.clear()
+            none = [None] * len(seen)
+            out = rows_of(none, none, list(seen), list(seen.values()))
+            seen.clear()
             return out
 
         for b in batches:
             ids, defects, words = [], [], []
             for i, q, a in zip(*(c.to_pylist() for c in b.columns)):
-                defect, word = judge(q, a)
+                defect, word = judge(q, a, model)
                 if defect or word:
                     ids.append(i)
                     defects.append(defect)
                     words.append(word)
                 text = a.lower()
                 if word:  # the word in question is no evidence about itself
-                    text = text[: text.rindex(word.split(" ")[1])]
+                    text = text[: text.rindex(word)]
                 elif defect == "truncated":
                     text = text.rstrip(" .…")
                     text = text[: len(text) - len(text.split(" ")[-1])]
-                if defect in (None, "truncated"):
-                    # A word counts once per answer, so that no long answer outweighs the rest.
-                    pairs = set(_word_ends(text))
-                    whole.update({w for w, _ in pairs})
-                    last.update(w for w, end in pairs if end)
-            yield rows_of(ids, defects, words, [0] * len(ids), [0] * len(ids))
-            if len(whole) > COUNTED_AT_ONCE:
+                # A word counts once per record.
+                seen.update(set(_WORD.findall(f"{q.lower()} {text}")))
+            yield rows_of(ids, defects, words, [0] * len(ids))
+            if len(seen) > COUNTED_AT_ONCE:
                 yield counted()
         yield counted()
 
-    seen = cut(rows.mapInArrow(scan, _ROWS))
-    sure = seen.where("id IS NOT NULL AND defect IS NOT NULL").select("id", "defect")
-    unsure = seen.where("id IS NOT NULL AND defect IS NULL").select("id", "word")
-    asked = unsure.select("word").distinct()
-    known = seen.where("id IS NULL").groupBy("word").agg(F.sum("inside").alias("seen"), F.sum("last").alias("last"))
-    # A word that occurs nowhere else and begins another one has been cut in two.
-    plain = F.substring_index("word", " ", -1)
-    words = known.select(plain.alias("plain")).distinct()
-    parts = words.where("length(plain) > 2").select(
-        F.explode(F.transform(F.sequence(F.lit(2), F.length("plain") - 1), lambda n: F.left(F.col("plain"), n))).alias("plain")
+    found = cut(rows.mapInArrow(scan, _ROWS))
+    sure = found.where("id IS NOT NULL AND defect IS NOT NULL").select("id", "defect")
+    unsure = found.where("id IS NOT NULL AND defect IS NULL").select("id", "word")
+    known = found.where("id IS NULL").groupBy("word").agg(F.sum("seen").alias("seen"))
+    # A last word that occurs nowhere else and begins a frequent one has been cut in two.
+    unknown = cut(unsure.select("word").distinct().join(known, "word", "left_anti"))
+    parts = known.where((F.col("seen") >= FREQUENT) & (F.length("word") > 2)).select(
+        F.explode(F.transform(F.sequence(F.lit(2), F.length("word") - 1), lambda n: F.left(F.col("word"), n))).alias("word")
     )
-    begun = asked.withColumn("plain", plain).join(words, "plain", "left_anti").join(parts, "plain", "left_semi")
-    unfinished = asked.join(known, "word").where((F.col("seen") >= SEEN) & (F.col("last") < F.col("seen") * SELDOM))
-    broken = begun.select("word").unionByName(unfinished.select("word"))
-    truncated = unsure.join(broken, "word", "left_semi").select("id", F.lit("truncated").alias("defect"))
+    begun = unknown.join(parts, "word", "left_semi")
+    truncated = unsure.join(begun, "word", "left_semi").select("id", F.lit("truncated").alias("defect"))
     # Repeated rows of an id may differ; the least defect name stands for the record.
     return sure.unionByName(truncated).groupBy("id").agg(F.min("defect").alias("defect"))
