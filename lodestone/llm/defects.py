@@ -14,12 +14,12 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import languages
+from lodestone.llm.sampling import distinct_sample
 from lodestone.llm.sentences import SentenceModel, is_beginning, train
 from lodestone.session import cut
 
@@ -309,24 +309,8 @@ def fitted_sentences(rows: DataFrame, answer: str, sample: int = SAMPLE_ANSWERS)
     """The sentence model, from the ``sample`` distinct answers with a final mark whose hashes
     are least: a random sample that is the same whatever the order and number of copies."""
     ends = F.trim(F.col(answer)).rlike(r"[.!?]$")
-    chosen = rows.where(ends & (F.length(answer) <= SAMPLE_LENGTH)).select(F.xxhash64(answer).alias("h"), F.col(answer).alias("text"))
-
-    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, str] = {}
-        bound = None
-        for b in batches:
-            h = b.column(0).to_numpy()
-            at = np.flatnonzero(h <= bound) if bound is not None else np.arange(len(h))
-            texts = b.column(1).take(pa.array(at)).to_pylist()
-            held.update(zip(h[at].tolist(), texts))
-            if len(held) > 2 * sample:
-                held = dict(sorted(held.items())[:sample])
-                bound = max(held)
-        rows_out = sorted(held.items())[:sample]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows_out], pa.int64()), pa.array([r[1] for r in rows_out], pa.string())], names=["h", "text"])
-
-    few = chosen.mapInArrow(least, "h long, text string").distinct().orderBy("h", "text").limit(sample).collect()
-    return train([r["text"] for r in few])
+    chosen = rows.where(ends & (F.length(answer) <= SAMPLE_LENGTH))
+    return train(distinct_sample(chosen, F.col(answer), sample))
 
 
 def pair_defects(pairs: DataFrame, record_id: Column, question: Column, answer: Column) -> DataFrame:

@@ -3,13 +3,17 @@
 A first pass over all chunks counts words and lines. From the frequent words a bounded sample
 is corrupted with the usual confusions of character recognition, and an averaged perceptron
 learns to undo them: per character it predicts keep, delete, or a replacement (of two
-characters where one is to be inserted), per line end whether the lines belong together. The
-editor proposes corrections for every other word of the corpus; those that lead to a far more
-frequent word stand. Page furniture is told by position, form and repetition.
+characters where one is to be inserted). The editor proposes corrections for every other word
+of the corpus; one stands where its word is far more frequent and where the company the rare
+word keeps - texts with other traces of a scan or without - speaks for a misreading. Two more
+averaged perceptrons are fitted on a bounded sample of chunks: whether two lines belong
+together, and whether a line stands in the place of page furniture. Furniture is told by
+place, form and repetition.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -20,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.sampling import distinct_sample
 from lodestone.session import cut
 
 # What recognition makes of which characters.
@@ -37,6 +42,14 @@ FREQUENT_SHARE, FREQUENT_LEAST = 1e-6, 4
 #: A correction must be this many times as frequent as the word it replaces; a word with a
 #: sign inside that no word has needs less evidence.
 FAR_MORE, FAR_MORE_ODD = 30, 3
+#: Log odds, before its company is looked at, that a proposal with that evidence is right.
+PRIOR = 3.0
+#: Repeated lines up to this number may be broadcast.
+BROADCAST_LINES = 200_000
+#: Lead of the furniture model below which a number's direct neighbours decide.
+DOUBT = 5.0
+#: Chunks that line joiner and furniture places are learned from, and their greatest length.
+SAMPLE_CHUNKS, SAMPLE_LENGTH = 1_000, 6_000
 #: Corrections sent to the workers at once; more take further passes.
 CORRECTIONS_PER_PASS = 400_000
 #: A line's form is furniture of a series when it stands in so many papers.
@@ -51,6 +64,7 @@ _STRIP = ".,;:()[]{}\"'“”‘’«»|?*`_#\\&"
 _CUT = re.compile(r"-[ \t]*\n[ \t]*")
 _HALF_BEFORE = re.compile(r"[^\W\d_](?:[^\W_]|[!@$|])*$")
 _HALF_AFTER = re.compile(r"[^\W\d_][^\s\-]*")
+_CUT_END = re.compile(r"[^\W\d_]-[ \t]*$")
 _LETTER = re.compile(r"[^\W\d_]")
 _COMPOUND = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
 
@@ -82,7 +96,8 @@ def joined_lines(text: str, join: Callable[[str, str], str | None]) -> str:
     hyphen and gives the word, or None where the line end stays."""
     out, at = [], 0
     for m in _CUT.finditer(text):
-        a = _HALF_BEFORE.search(text, max(at, m.start() - 60), m.start())
+        start = max(at, max(text.rfind(c, at, m.start()) for c in " \n\t") + 1)
+        a = _HALF_BEFORE.search(text, start, m.start())
         b = _HALF_AFTER.match(text, m.end())
         if a and b and (word := join(a.group(), b.group())) is not None:
             out += [text[at : a.start()], word]
@@ -182,37 +197,37 @@ def _frequency(word: str, frequent: dict[str, int]) -> int:
 
 def corrections_of(word: str, model: Perceptron, frequent: dict[str, int], places: int = 1) -> str | None:
     """The most plausible frequent word that the editor makes of a word by edits in one or two
-    places; a replacement and the deletion next to it are one place."""
-    edits = []
+    places; a replacement and the deletion next to it are one place. All edits are tried."""
+    deleted: dict[int, float] = {}
+    replaced: list[tuple[float, int, str]] = []
     for i, c in enumerate(word):
         scores = model.scores(c, char_features(word, i))
         base = scores.get(KEEP, 0.0)
-        edits += [(v - base, i, op) for op, v in scores.items() if op != KEEP]
-    edits.sort(key=lambda e: (-e[0], e[1], e[2]))
-    edits = edits[:24]
+        for op, v in scores.items():
+            if op == DELETE:
+                deleted[i] = v - base
+            elif op != KEEP:
+                replaced.append((v - base, i, op))
+    # One place: from where to where, what stands there, and its score.
+    spots = [(i, i + 1, op, v - 2.0) for v, i, op in replaced]
+    spots += [(i, i + 2, op, v + deleted[i + 1] - 4.0) for v, i, op in replaced if i + 1 in deleted]
+    spots += [(i - 1, i + 1, op, v + deleted[i - 1] - 4.0) for v, i, op in replaced if i - 1 in deleted]
     best, best_score = None, None
 
-    def made(*chosen: tuple[float, int, str]) -> str:
-        chars = list(word)
-        for _, i, op in chosen:
-            chars[i] = "" if op == DELETE else op
-        return "".join(chars)
-
-    for n, a in enumerate(edits):
-        options = [(a,)] + [(a, b) for b in edits[n + 1 :] if b[1] != a[1]]
-        for chosen in options:
-            if all(e[2] == DELETE for e in chosen):
-                continue
-            if len(chosen) > places and not (
-                chosen[0][1] + 1 == chosen[1][1] and chosen[1][2] == DELETE
-                or chosen[1][1] + 1 == chosen[0][1] and chosen[0][2] == DELETE
-            ):
-                continue
-            v = made(*chosen)
-            if v != word and _frequency(v, frequent):
-                score = sum(e[0] for e in chosen) - 2.0 * len(chosen)
-                if best_score is None or score > best_score:
-                    best, best_score = v, score
+    def offer(v: str, score: float) -> None:
+        nonlocal best, best_score
+        if (best_score is None or (score, v) > (best_score, best)) and v != word and _frequency(v, frequent):
+            best, best_score = v, score
+
+    for i, j, op, v in spots:
+        offer(word[:i] + op + word[j:], v)
+    if places > 1:
+        for k, (i, j, op, v) in enumerate(spots):
+            for i2, j2, op2, v2 in spots[k + 1 :]:
+                if j <= i2:
+                    offer(word[:i] + op + word[j:i2] + op2 + word[j2:], v + v2)
+                elif j2 <= i:
+                    offer(word[:i2] + op2 + word[j2:i] + op + word[j:], v + v2)
     return best
 
 
@@ -231,16 +246,78 @@ _PAGE_BEFORE = re.compile(r"^\s*\d{1,4}(?:\s{2,}|\s*[|·]\s*)(?=\S*[^\W\d])")
 _PAGE_AFTER = re.compile(r"(?:\s{2,}|\s*[|·]\s*)\d{1,4}\s*$")
 
 
-def is_page_number(lines: list[str], i: int) -> bool:
-    """A line that holds nothing but a page number. A bare number is one where no other value
-    stands next to it; numbers in a column of values have such neighbours."""
+def is_number(line: str) -> bool:
+    return _NUMBER.fullmatch(line) is not None or _ROMAN.fullmatch(line) is not None
+
+
+def is_value(line: str) -> bool:
+    return _VALUE.fullmatch(line) is not None and _PAGE.fullmatch(line) is None
+
+
+def place_features(lines: list[str], i: int) -> list[str]:
+    """Where a line stands on its page: at the edge of the text, between blank lines, within a
+    sentence that goes on behind it, beside values, list items or table rows, how wide."""
+    line = lines[i].strip()
+    before = next((lines[j].strip() for j in range(i - 1, -1, -1) if lines[j].strip()), "")
+    after = next((lines[j].strip() for j in range(i + 1, len(lines)) if lines[j].strip()), "")
+    blank_before, blank_after = i > 0 and not lines[i - 1].strip(), i + 1 < len(lines) and not lines[i + 1].strip()
+    next_to = [lines[j].strip() for j in (i - 1, i + 1) if 0 <= j < len(lines)]
+    kind = lambda x: (
+        "none" if not x else "value" if is_value(x) else "number" if is_number(x) else "part" if _STRUCTURE.match(x) else
+        "open" if x[-1] not in ".!?:" else "closed"
+    )
+    goes_on = bool(before) and before[-1] not in ".!?:" and after[:1].islower()
+    edge = "top" if not before else "bottom" if not after else "inner"
+    width = len(line) * 4 // max(1, len(before), len(after)) if before or after else 0
+    b, a = kind(before), kind(after)
+    return [
+        "bias", f"edge {edge}", f"blank {blank_before}{blank_after}", f"on {goes_on}", f"b {b}", f"a {a}", f"ba {b} {a}", f"w {min(width, 4)}",
+        f"eb {edge} {blank_before}{blank_after}", f"beside {any(is_value(x) for x in next_to)}", f"low {after[:1].islower()}",
+    ]
+
+
+def train_places(texts: list[str]) -> Perceptron | None:
+    """The furniture places, from lines whose form alone tells what they are: page forms and
+    sure headers against the values of columns. Numbers that interrupt a sentence, or have
+    another value right beside them, are as clear. None where the sample has too few of either."""
+    examples: list[tuple[list[str], str]] = []
+    for text in texts:
+        lines = text.split("\n")
+        for i, line in enumerate(lines):
+            bare = line.strip()
+            if not bare:
+                continue
+            features = place_features(lines, i)
+            if _PAGE.fullmatch(bare) or header_kind(lines, i)[0] == "sure":
+                examples.append((features, "furniture"))
+            elif is_number(bare):
+                if "on True" in features:
+                    examples.append((features, "furniture"))
+                elif "beside True" in features:
+                    examples.append((features, "text"))
+            elif is_value(bare):
+                examples.append((features, "text"))
+    if min(sum(y == k for _, y in examples) for k in ("furniture", "text")) < 20 if examples else True:
+        return None
+    model = Perceptron()
+    for _ in range(ROUNDS):
+        for features, y in examples:
+            model.learn("line", features, y)
+    return model.average()
+
+
+def is_page_number(lines: list[str], i: int, places: Perceptron | None = None) -> bool:
+    """A line that holds nothing but a page number. A bare number is one where it stands in
+    the place of furniture or, in doubt, has no other value right beside it."""
     line = lines[i].strip()
     if _PAGE.fullmatch(line):
         return True
-    if not _NUMBER.fullmatch(line) and not _ROMAN.fullmatch(line):
+    if not is_number(line):
         return False
-    around = [lines[j].strip() for j in (i - 1, i + 1) if 0 <= j < len(lines)]
-    return not any(_VALUE.fullmatch(x) for x in around if not _PAGE.fullmatch(x))
+    features = place_features(lines, i)
+    scores = places.scores("line", features) if places else {"furniture": 0.0, "text": 0.0}
+    lead = scores["furniture"] - scores["text"]
+    return lead > 0 if abs(lead) >= DOUBT else "beside True" not in features
 
 
 def header_form(line: str) -> tuple[str, bool]:
@@ -254,7 +331,7 @@ def header_kind(lines: list[str], i: int) -> tuple[str | None, str]:
     line = lines[i]
     first = line.lstrip()[:1]
     # Lines that go on in lower case make up most texts; no header begins so.
-    if not first or first.islower() and " · " not in line or len(line) > 120 or _STRUCTURE.match(line):
+    if not first or first.islower() and " · " not in line or _STRUCTURE.match(line):
         return None, ""
     bare, numbered = header_form(line) if first.isdigit() or line.rstrip()[-1:].isdigit() else (line.strip(), False)
     words = bare.split()
@@ -297,44 +374,54 @@ def line_features(before: str, after: str, widest: int) -> list[str]:
     ]
 
 
-_PROSE = [
-    "The method keeps a short record of each step and reports the final figure for every run of the system",
-    "Results depend on the sensor, the lens and the light (see Fig. 3); they vary between sequences",
-    "We compare both variants on the same data, where the second one needs 4.5 ms less. Earlier work differs",
-    "Following Smith et al. [12], each layer is tuned for 40 epochs and then frozen before the next one starts",
-]
-_LISTS = ["- first item: 3 ms", "| name | 4 px | 7 |", "12.5", "(3)", "3.2 Refined map", "$$ a = b $$", "* item", "Total of the column", "281"]
+# Lines of lists, tables, values and headings, for samples that have few.
+_PARTS = ["- first item: 3 ms", "| name | 4 px | 7 |", "12.5", "(3)", "3.2 Refined map", "$$ a = b $$", "* item", "Total of the column", "281"]
 
 
-def train_joiner() -> Perceptron:
-    """Whether two lines belong together, learned from prose wrapped at many widths and from
-    lines of lists, tables, values and headings."""
+def train_joiner(texts: list[str]) -> Perceptron:
+    """Whether two lines belong together, learned from the paragraphs of a sample, wrapped
+    again at many widths, from its lines of lists, tables and values, and from the lines that
+    hold a word cut at their end."""
     import textwrap
 
+    paragraphs, parts, examples = [], list(_PARTS), []
+    for text in texts:
+        lines = text.split("\n")
+        widest = max(map(len, lines))
+        for a, b in zip(lines, lines[1:]):
+            if _CUT_END.search(a) and b[:1].islower():
+                examples.append((a, b, widest, "join"))
+        for block in re.split(r"\n\s*\n", text):
+            kept = block.split("\n")
+            if len(parts) < 400:
+                parts += [x for x in kept if x.strip() and (_STRUCTURE.match(x) or _VALUE.fullmatch(x.strip()))][:4]
+            if len(kept) == 1 and len(block) > 200 and not _STRUCTURE.match(block):
+                paragraphs.append(block)
+    for k, block in enumerate(paragraphs[:200]):
+        width = 40 + 7 * (k % 9)
+        lines = textwrap.wrap(block[:2_000], width)
+        following = paragraphs[(k + 1) % len(paragraphs)][:width].rsplit(" ", 1)[0]
+        part, other = parts[k % len(parts)], parts[(k * 7 + 3) % len(parts)]
+        examples += [(a, b, width, "join") for a, b in zip(lines, lines[1:])]
+        examples += [(lines[-1], part, width, "keep"), (part, other, width, "keep"), (part, lines[0], width, "keep")]
+        if len(lines[-1]) + len(following.split(" ")[0]) < width:  # a short last line ends its paragraph
+            examples.append((lines[-1], following, width, "keep"))
+    # A small base of the same kinds, so that an empty sample leaves no label unknown.
+    for a, b, label in (("the method keeps a short", "record of each step", "join"), ("The end.", "- item", "keep"), ("- item", "- other", "keep")):
+        examples += [(a, b, 26, label)] * 3
     model = Perceptron()
-    examples = []
-    for k in range(4):
-        text = " ".join(_PROSE[k:] + _PROSE[:k]) + "."
-        for width in range(40, 100, 7):
-            lines = textwrap.wrap(text, width)
-            examples += [(a, b, width, "join") for a, b in zip(lines, lines[1:])]
-            examples += [(lines[-1], x, width, "keep") for x in _LISTS]
-            if len(lines[-1]) + len(lines[0].split(" ")[0]) < width:  # a short last line ends its paragraph
-                examples.append((lines[-1], lines[0], width, "keep"))
-            examples += [(x, y, width, "keep") for x in _LISTS for y in _LISTS]
-            examples += [(x, lines[0], width, "keep") for x in _LISTS]
     for _ in range(4):
         for a, b, width, label in examples:
-            model.learn("line", line_features(a, b, width), label)
+            if a.strip() and b.strip():
+                model.learn("line", line_features(a, b, width), label)
     return model.average()
 
 
 class PageReader:
     """Applies editor, joiner and furniture rules to chunks."""
 
-    def __init__(self, frequent: dict[str, int], corrections: dict[str, str]):
-        self.frequent, self.fix = frequent, corrections
-        self.joiner = train_joiner()
+    def __init__(self, frequent: dict[str, int], places: Perceptron | None, joiner: Perceptron, corrections: dict[str, str]):
+        self.frequent, self.places, self.joiner, self.fix = frequent, places, joiner, corrections
 
     def own_hyphen(self, a: str, b: str) -> bool:
         """Whether the hyphen between two halves is the word's own, by what is frequent."""
@@ -350,7 +437,7 @@ class PageReader:
             if not line.strip():
                 continue
             kind, bare = kinds[i]
-            if is_page_number(lines, i):
+            if is_page_number(lines, i, self.places):
                 out[i] = "page_number"
             elif kind == "sure" or (kind and known and folded(bare) in known):
                 out[i] = "running_header"
@@ -414,62 +501,108 @@ class PageReader:
 
 # ---------------------------------------------------------------- passes
 
-_COUNTED = "kind string, a string, b string, c string, n long"
+_COUNTED = "kind string, a string, b string, c string, n long, clean long"
 
 
 #: Distinct words that a task counts before it passes them on.
 COUNTED_AT_ONCE = 200_000
+#: Signs that no word has: what only a misreading puts there.
+_ODD = re.compile(r"[!@$|ſ]|\d(?=[^\W\d_])|(?<=[^\W\d_])\d")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words, and the lines that may be headers: per paper and per series."""
+    """Counts of words, in all and in texts without a trace of a scan; of words with an odd
+    sign, in all and in texts without another trace; and the lines that may be headers: per
+    paper and per series."""
     words: Counter[str] = Counter()
+    clean: Counter[str] = Counter()
+    odd = [0, 0]
 
-    def rows_of(keys: list[tuple], counts: list[int]) -> pa.RecordBatch:
+    def rows_of(keys: list[tuple], counts: list[int], fine: list[int] | None = None) -> pa.RecordBatch:
         cols = [pa.array([k[i] for k in keys], pa.string()) for i in range(4)]
-        return pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64())], names=["kind", "a", "b", "c", "n"])
+        return pa.RecordBatch.from_arrays(
+            [*cols, pa.array(counts, pa.int64()), pa.array(fine or [0] * len(counts), pa.int64())], names=["kind", "a", "b", "c", "n", "clean"]
+        )
 
     def counted() -> pa.RecordBatch:
-        out = rows_of([("word", w, None, None) for w in words], list(words.values()))
+        out = rows_of([("word", w, None, None) for w in words], list(words.values()), [clean[w] for w in words])
         words.clear()
+        clean.clear()
         return out
 
     for batch in batches:
         lines: Counter[tuple] = Counter()
         for paper, chunk, text in zip(*(c.to_pylist() for c in batch.columns)):
-            words.update(words_of(joined_lines(text, lambda a, b: a + b)))
+            cuts = 0
+
+            def join(a: str, b: str) -> str:
+                nonlocal cuts
+                cuts += a[-1].islower() and b[0].islower()
+                return a + b
+
+            own = words_of(joined_lines(text, join))
             split = text.split("\n")
             mine: Counter[tuple] = Counter()
+            traces = cuts
             for i in range(len(split)):
                 kind, bare = header_kind(split, i)
                 if kind:
+                    traces += kind == "sure"
                     mine["line", paper, folded(bare), chunk] += WEIGHT[kind]
                     if kind == "series":
                         mine["series", series_form(bare), paper, ""] = 1
+                elif len(split) > 1 and _PAGE.fullmatch(split[i].strip()):
+                    traces += 1
+            strange = sum(1 for w in own if not w.isalpha() and _ODD.search(w))
+            odd[0] += strange
+            odd[1] += strange if traces + strange == 1 else 0
+            words.update(own)
+            if not traces and not strange:
+                clean.update(own)
             for k, n in mine.items():
                 lines[k] = max(lines[k], n)  # an exact copy of a chunk adds nothing
         yield rows_of(list(lines), list(lines.values()))
         if len(words) > COUNTED_AT_ONCE:
             yield counted()
     yield counted()
+    yield rows_of([("odd", None, None, None)], odd[:1], odd[1:])
 
 
 class ScanModel:
-    """What the passes over all chunks found: frequent words, corrections, repeated lines."""
+    """What the passes over all chunks found: frequent words, the fitted places and line
+    joiner, corrections, repeated lines."""
 
-    def __init__(self, frequent: dict[str, int], corrections: DataFrame, repeated: DataFrame, series: list[str]):
-        self.frequent, self.corrections, self.repeated, self.series = frequent, corrections, repeated, series
+    def __init__(
+        self, frequent: dict[str, int], places: Perceptron | None, joiner: Perceptron, corrections: DataFrame, repeated: DataFrame, series: DataFrame
+    ):
+        self.frequent, self.places, self.joiner = frequent, places, joiner
+        self.corrections, self.repeated, self.series = corrections, repeated, series
+
+
+def company(n: int, clean: int, ordinary: float, misread: float) -> float:
+    """The log likelihood ratio that a word is a misreading: of its ``n`` occurrences ``clean``
+    stand in texts without a trace of a scan, as ``ordinary`` of the occurrences of ordinary
+    words do, and ``misread`` of those of misreadings."""
+    p, q = (min(0.98, max(0.02, x)) for x in (misread, ordinary))
+    return clean * math.log(p / q) + (n - clean) * math.log((1 - p) / (1 - q)) if p < q else 0.0
 
 
 def fit(chunks: DataFrame, paper: Column, chunk: Column, text: Column) -> ScanModel:
-    """Counts over all chunks, the trained editor's corrections and the repeated lines."""
+    """Counts over all chunks, the trained models, corrections and repeated lines."""
     rows = chunks.select(
         F.lower(F.trim(paper.cast("string"))).alias("paper"), chunk.cast("string").alias("chunk"), text.cast("string").alias("text")
     ).where("text IS NOT NULL")
+    sample = distinct_sample(rows.where(F.length("text") <= SAMPLE_LENGTH), F.col("text"), SAMPLE_CHUNKS)
+    places, joiner = train_places(sample), train_joiner(sample)
     counted = cut(rows.mapInArrow(_count, _COUNTED))
-    words = cut(counted.where("kind = 'word'").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "word"))
-    total = words.agg(F.sum("n")).first()[0] or 0
-    least = max(FREQUENT_LEAST, int(total * FREQUENT_SHARE) + 1)
+    words = cut(
+        counted.where("kind = 'word'").groupBy("a").agg(F.sum("n").alias("n"), F.sum("clean").alias("clean")).withColumnRenamed("a", "word")
+    )
+    total = words.agg(F.sum("n"), F.sum("clean")).first()
+    odd = counted.where("kind = 'odd'").agg(F.sum("n"), F.sum("clean")).first()
+    ordinary = (total[1] or 0) / max(1, total[0] or 0)
+    misread = (odd[1] or 0) / max(1, odd[0] or 0)
+    least = max(FREQUENT_LEAST, int((total[0] or 0) * FREQUENT_SHARE) + 1)
     # At most 1 / FREQUENT_SHARE words reach that share: a bound whatever the corpus.
     frequent = {r["word"]: r["n"] for r in words.where(F.col("n") >= least).toLocalIterator()}
     editor = train_editor(frequent)
@@ -480,8 +613,8 @@ def fit(chunks: DataFrame, paper: Column, chunk: Column, text: Column) -> ScanMo
         model, known = sent.value
         for b in batches:
             pairs = []
-            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if v := misread_as(w, n, model, known):
+            for w, n, clean in zip(*(b.column(k).to_pylist() for k in range(3))):
+                if v := misread_as(w, n, model, known, company(n, clean, ordinary, misread)):
                     pairs.append((w, v))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string())], names=["word", "correct"]
@@ -497,14 +630,16 @@ def fit(chunks: DataFrame, paper: Column, chunk: Column, text: Column) -> ScanMo
         counted.where("kind = 'series'").select("a", "b").distinct().groupBy("a").agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") >= SERIES_PAPERS).select(F.col("a").alias("form"))
     )
-    return ScanModel(frequent, corrections, cut(repeated), cut(series))
+    return ScanModel(frequent, places, joiner, corrections, cut(repeated), cut(series))
 
 
-def misread_as(word: str, n: int, model: Perceptron, frequent: dict[str, int]) -> str | None:
+def misread_as(word: str, n: int, model: Perceptron, frequent: dict[str, int], company: float = 0.0) -> str | None:
     """The frequent word that a rare word is a misreading of, if any. Capitalised words are
-    names as a rule; they count as misread only with a sign that no name has."""
-    odd = bool(re.search(r"[!@$|ſ]|\d(?=[^\W\d_])|(?<=[^\W\d_])\d", word))
-    if len(word) < 4 or (word[0].isupper() and not odd):
+    names as a rule; they count as misread only with a sign that no name has. A word without
+    such a sign stays where its company speaks against a misreading: valid rare words stand in
+    clean texts as often as others do."""
+    odd = bool(_ODD.search(word))
+    if len(word) < 4 or (word[0].isupper() and not odd) or (not odd and company + PRIOR <= 0):
         return None
     v = corrections_of(word, model, frequent, places=2 if odd else 1)
     if v is None or not v.isalpha() or _frequency(v, frequent) < (FAR_MORE_ODD if odd else FAR_MORE) * n:
@@ -564,7 +699,7 @@ def chunk_noise(chunks: DataFrame, paper: Column, chunk: Column, text: Column, m
     ).where("text IS NOT NULL")
     out = None
     for block in _passes(model):
-        sent = rows.sparkSession.sparkContext.broadcast((model.frequent, block))
+        sent = rows.sparkSession.sparkContext.broadcast((model.frequent, model.places, model.joiner, block))
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             reader = PageReader(*sent.value)
@@ -603,12 +738,14 @@ def repaired_chunks(chunks: DataFrame, paper: Column, chunk: Column, text: Colum
     kind = chunks.select(chunk.alias("c")).schema["c"].dataType.simpleString()
     known = model.repeated.groupBy("paper").agg(F.collect_set("line").alias("known")).withColumnRenamed("paper", "key")
     rows = chunks.select(paper.cast("string").alias("paper"), chunk.alias("chunk"), text.cast("string").alias("text"))
-    rows = rows.withColumn("key", F.lower(F.trim("paper"))).join(known, "key", "left").select("paper", "chunk", "text", "known")
+    # Few repeated lines go to the texts; many are joined by shuffle.
+    few = model.repeated.count() <= BROADCAST_LINES
+    rows = rows.withColumn("key", F.lower(F.trim("paper"))).join(F.broadcast(known) if few else known, "key", "left").select("paper", "chunk", "text", "known")
     schema = f"paper string, chunk {kind}, text string, known array<string>"
     for forms in _series_passes(model):
         rows = rows.mapInArrow(_without_series(forms), schema)
     for block in _passes(model):
-        sent = rows.sparkSession.sparkContext.broadcast((model.frequent, block))
+        sent = rows.sparkSession.sparkContext.broadcast((model.frequent, model.places, model.joiner, block))
 
         def repair(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             reader = PageReader(*sent.value)

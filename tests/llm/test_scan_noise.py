@@ -38,9 +38,51 @@ def test_editor_undoes_confusions():
 
 
 def test_joiner():
-    j = S.train_joiner()
-    join = lambda a, b: (lambda s: s["join"] > s["keep"])(j.scores("line", S.line_features(a, b, 40)))
-    assert join("the sensor keeps a shared record of the", "error and reports it.") and not join("- item one: 3 ms", "- item two: 4 ms")
+    for sample in ([], [PROSE * 5 + "\n\n- item one\n- item two\n\n" + PROSE * 4]):
+        j = S.train_joiner(sample)
+        join = lambda a, b: (lambda s: s["join"] > s["keep"])(j.scores("line", S.line_features(a, b, 40)))
+        assert join("the sensor keeps a shared record of the", "error and reports it.") and not join("- item one: 3 ms", "- item two: 4 ms")
+
+
+def test_places_are_learned():
+    """A number under a table is in doubt by its neighbours; its place on other pages tells."""
+    page = "the sensor keeps a record\nPage {} of 90\nof every error."
+    table = "Values\n12.5\n13.5\n14.5\nend."
+    places = S.train_places([page.format(k) for k in range(40)] + [table.replace("5", str(k)) for k in range(40)])
+    assert S.is_page_number("the sensor keeps a record\n12\nof every error.".split("\n"), 1, places)
+    assert not S.is_page_number("Values\n12\n13\n14\nend.".split("\n"), 2, places)
+    assert S.train_places(["One line."]) is None and S.train_places([]) is None
+
+
+def test_all_edits_are_tried():
+    word = "unconstitutionalisations"
+    frequent = {w: 500 for w in [*PROSE.split(), word]}
+    model = S.train_editor(frequent)
+    for i in range(len(word)):
+        for k, forms in S.CONFUSIONS.items():
+            if word.startswith(k, i):
+                for form in forms:
+                    learned = k in model.labels[form[0]] and all(S.DELETE in model.labels[c] for c in form[1:])
+                    assert not learned or S.corrections_of(word[:i] + form + word[i + len(k) :], model, frequent, 2) == word
+
+
+def test_halves_and_headers_of_any_length():
+    half = "x" * 90
+    assert S.joined_lines(f"{half}-\nyz", lambda a, b: a + b) == f"{half}yz"
+    assert S.header_kind(["A" * 70 + " " + "B" * 70], 0)[0] == "sure"
+
+
+def test_valid_rare_words_stay(spark):
+    """modem and tail are ordinary words beside the far more frequent modern and fail; deperid
+    and carnera stand in scanned texts alone."""
+    clean = [(f"c{k}", k, f"The modern camera and the modern sensor depend on it; they fail often {'with a modem and a tail' if k % 9 == 0 else ''} here.") for k in range(900)]
+    scan = [(f"s{k}", k, f"The modern carnera\nPage 4 of 9\nhas an err0r and they deperid on it; they fail, the error is {k}." if k < 6 else f"The modern camera has an error\nPage 4 of 9\nhere.") for k in range(60)]
+    df = spark.createDataFrame(clean + scan, "p string, c int, t string")
+    args = (F.col("p"), F.col("c"), F.col("t"))
+    model = S.fit(df, *args)
+    fixes = {r.word: r.correct for r in model.corrections.collect()}
+    assert fixes == {"carnera": "camera", "deperid": "depend", "err0r": "error"}
+    assert S.company(100, 60, 0.6, 0.1) + S.PRIOR < 0 < S.company(1, 1, 0.6, 0.15) + S.PRIOR
 
 
 def fixture(spark):
