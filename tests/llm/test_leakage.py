@@ -37,3 +37,38 @@ def test_passes(spark, monkeypatch):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "d int, t string")
     got = sorted((r.id, r.item) for r in leaked_items(docs, F.col("d"), F.col("t"), items, F.col("i"), F.col("t")).collect())
     assert got == [(k, k) for k in range(5)]
+
+
+def test_shorter_runs(spark):
+    """Items below twelve words count where the run is shorter."""
+    docs = spark.createDataFrame([(1, "so a b c d e f g h i it is"), (2, "a b c d e f g x h i")], "d int, t string")
+    items = spark.createDataFrame([(5, "a b c d e f g h i")], "i int, t string")
+    found = leaked_items(docs, F.col("d"), F.col("t"), items, F.col("i"), F.col("t"), run=8)
+    assert [tuple(r) for r in found.collect()] == [(1, 5)]
+
+
+def test_an_item_longer_than_a_pass(spark, monkeypatch):
+    from lodestone.llm import leakage
+
+    monkeypatch.setattr(leakage, "WORDS_PER_PASS", 7)
+    long = [f"w{k}" for k in range(40)]
+    docs = spark.createDataFrame([(k, " ".join(long[k : k + 12])) for k in range(29)], "d int, t string")
+    items = spark.createDataFrame([(1, " ".join(long))], "i int, t string")
+    got = sorted(r.id for r in leaked_items(docs, F.col("d"), F.col("t"), items, F.col("i"), F.col("t")).collect())
+    assert got == list(range(29))
+
+
+def test_tables_of_a_full_pass_are_small():
+    """Two million words of items, a fifth of them distinct, within 500 MB of a process."""
+    import subprocess
+    import sys
+
+    code = (
+        "import resource, random; from lodestone.llm.leakage import *\n"
+        "before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+        "r = random.Random(1); make = lambda k: (k, [f'w{r.randrange(400_000)}' for _ in range(200)])\n"
+        "s = WordSearch(map(make, range(WORDS_PER_PASS // 200)))\n"
+        "print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before, len(s.flat))"
+    )
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=200).stdout.split()
+    assert int(out[0]) < 500_000 and int(out[1]) == 2_000_000
