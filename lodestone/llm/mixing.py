@@ -9,10 +9,11 @@ then taken by their seeded place within their pattern, in Spark.
 
 from __future__ import annotations
 
-import heapq
+import os
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,9 +22,11 @@ from pyspark.sql.window import Window
 
 from lodestone.session import cut
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
-#: Membership patterns are gathered on the driver; more than this many are refused.
-MOST_PATTERNS = 20_000
+#: The tokenizer's vocabulary file where none is given.
+TOKENIZER = os.environ.get("LODESTONE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
+#: Membership patterns are gathered on the driver (about 1 KB each); more than this many are
+#: refused with an error.
+MOST_PATTERNS = 200_000
 #: Documents of a pattern whose places are found within one task.
 PLACED_AT_ONCE = 20_000
 
@@ -55,79 +58,84 @@ def token_counts(records: DataFrame, *columns: Column, text: Column, tokenizer:
 
 
 class Flow:
-    """Min-cost flow by successive shortest paths with potentials."""
+    """Min-cost flow from patterns to sources, kept as arrays of patterns by sources.
 
-    def __init__(self, nodes: int):
-        self.arcs: list[list[int]] = [[] for _ in range(nodes)]
-        self.to: list[int] = []
-        self.room: list[int] = []
-        self.cost: list[int] = []
+    The only costs are those of the layers: the r-th use of a pattern's tokens costs r - 1.
+    Every augmenting path begins with one layer and undoes none, so its cost is that of its
+    layer, and the cheapest flow is a greatest flow made layer by layer. Paths are sought
+    between sources alone (tokens of a pattern may pass from one of its sources to another),
+    so a step costs array operations over the patterns and there are few steps.
+    """
 
-    def arc(self, a: int, b: int, room: int, cost: int = 0) -> int:
-        k = len(self.to)
-        for x, y, r, c in ((a, b, room, cost), (b, a, 0, -cost)):
-            self.arcs[x].append(len(self.to))
-            self.to.append(y)
-            self.room.append(r)
-            self.cost.append(c)
-        return k
+    def __init__(self, member: np.ndarray, tokens: np.ndarray, quotas: np.ndarray, repeats: np.ndarray):
+        self.tokens, self.need = tokens, quotas.copy()
+        self.room = np.where(member, tokens[:, None] * repeats[None, :], 0)
+        self.flow = np.zeros_like(self.room)
+        self.free = np.zeros_like(tokens)
+        uses = np.where(member, repeats[None, :], 0).max(axis=1, initial=0)
+        for layer in range(int(uses.max(initial=0))):
+            self.free += np.where(uses > layer, tokens, 0)
+            while self._push():
+                pass
 
-    def run(self, s: int, t: int) -> int:
-        n, total = len(self.arcs), 0
-        height = [0] * n  # all costs are non-negative at first
-        while True:
-            far = [None] * n
-            via = [-1] * n
-            far[s] = 0
-            heap = [(0, s)]
-            while heap:
-                d, x = heapq.heappop(heap)
-                if d > far[x]:
-                    continue
-                for k in self.arcs[x]:
-                    if self.room[k]:
-                        y = self.to[k]
-                        e = d + self.cost[k] + height[x] - height[y]
-                        if far[y] is None or e < far[y]:
-                            far[y], via[y] = e, k
-                            heapq.heappush(heap, (e, y))
-            if far[t] is None:
-                return total
-            most = max(d for d in far if d is not None)
-            for x in range(n):
-                height[x] += most if far[x] is None else far[x]
-            push, x = None, t
-            while x != s:
-                push = self.room[via[x]] if push is None else min(push, self.room[via[x]])
-                x = self.to[via[x] ^ 1]
-            x = t
-            while x != s:
-                self.room[via[x]] -= push
-                self.room[via[x] ^ 1] += push
-                x = self.to[via[x] ^ 1]
-            total += push
+    def _push(self) -> bool:
+        """One augmentation, along a path with the fewest sources; False where there is none."""
+        if not (self.need > 0).any():
+            return False
+        count = len(self.need)
+        came: dict[int, int | None] = {}
+        queue = []
+        for s in range(count):
+            if np.minimum(self.free, self.room[:, s]).any():
+                came[s] = None
+                queue.append(s)
+        at = 0
+        while at < len(queue):
+            s = queue[at]
+            at += 1
+            if self.need[s] > 0:
+                break
+            for t in range(count):
+                if t not in came and np.minimum(self.flow[:, s], self.room[:, t]).any():
+                    came[t] = s
+                    queue.append(t)
+        else:
+            return False
+        path = [s]
+        while came[path[-1]] is not None:
+            path.append(came[path[-1]])
+        path.reverse()
+        moves = [np.minimum(self.free, self.room[:, path[0]])]
+        moves += [np.minimum(self.flow[:, x], self.room[:, y]) for x, y in zip(path, path[1:])]
+        amount = min(int(self.need[s]), *(int(m.sum()) for m in moves))
+        for k, m in enumerate(moves):
+            part = np.minimum(m, np.maximum(0, amount - (np.cumsum(m) - m)))
+            if k:
+                self.flow[:, path[k - 1]] -= part
+                self.room[:, path[k - 1]] += part
+            else:
+                self.free -= part
+            self.flow[:, path[k]] += part
+            self.room[:, path[k]] -= part
+        self.need[s] -= amount
+        return True
 
 
 def route(patterns: dict[tuple[str, ...], int], quotas: dict[str, int], repeats: dict[str, int]) -> dict[tuple, dict[str, int]]:
-    """Tokens that each pattern gives to each of its sources. The r-th use of a pattern's
-    tokens costs r - 1, so sources are filled with as little repetition as can be."""
+    """Tokens that each pattern gives to each of its sources, with as little repetition as can be."""
     names = sorted(quotas)
+    place = {s: i for i, s in enumerate(names)}
     keys = sorted(patterns)
-    at = {s: 2 + len(keys) + i for i, s in enumerate(names)}
-    net = Flow(2 + len(keys) + len(names))
-    used = {}
+    member = np.zeros((len(keys), len(names)), bool)
     for i, key in enumerate(keys):
-        for r in range(max(repeats[s] for s in key)):
-            net.arc(0, 2 + i, patterns[key], r)
         for s in key:
-            used[key, s] = net.arc(2 + i, at[s], patterns[key] * repeats[s])
-    for s in names:
-        net.arc(at[s], 1, quotas[s])
-    net.run(0, 1)
+            if s in place:
+                member[i, place[s]] = True
+    number = lambda values: np.array(values, np.int64)
+    flow = Flow(member, number([patterns[k] for k in keys]), number([quotas[s] for s in names]), number([repeats[s] for s in names])).flow
     out: dict[tuple, dict[str, int]] = defaultdict(dict)
-    for (key, s), k in used.items():
-        if net.room[k ^ 1]:
-            out[key][s] = net.room[k ^ 1]
+    for i, j in zip(*np.nonzero(flow)):
+        out[keys[i]][names[j]] = int(flow[i, j])
     return out
 
 
@@ -150,8 +158,7 @@ def plan(patterns: dict[tuple, int], weights: dict[str, float], repeats: dict[st
         return r if sum(sum(x.values()) for x in r.values()) >= sum(q.values()) else None
 
     if total is not None:
-        # Shares of the whole, also of sources without documents, which stay short.
-        q = {s: n for s, n in _quotas(total, {s: w for s, w in weights.items() if w > 0}).items() if s in held}
+        q = _quotas(total, held)
         return q, route(patterns, q, repeats)
     high = sum(patterns.values())
     best = fits(high)
@@ -185,8 +192,10 @@ def mix_sources(
 
     selection: id, source, repeats, tokens - the documents taken for each source, how often,
     and the tokens of one use. shares: source, weight, target_share, quota_tokens, tokens,
-    actual_share, documents - a row per listed source; target shares are of all listed
-    weights, actual shares of the tokens selected.
+    actual_share, documents, within - a row per listed source. A source without documents can
+    have no share, so target shares, quotas and actual shares are all of the sources that have
+    documents and a weight; the others show 0. ``within`` bounds how far the tokens may lie
+    from the quota: half the largest document of each pattern that serves the source.
 
     ``targets`` has source, weight, max_repeats. Weights that are null, NaN or not positive
     and caps below one count as zero and take nothing; a source listed twice counts with the
@@ -222,7 +231,7 @@ def mix_sources(
         .agg(F.min("id").alias("id"), F.max("tokens").alias("tokens"), F.array_sort(F.collect_set("source")).alias("pattern"))
     )
     items = cut(items.withColumn("place", F.xxhash64(F.lit(seed), "h")))
-    sums = items.groupBy("pattern").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
+    sums = items.groupBy("pattern").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"), F.max("tokens").alias("most"))
     rows = sums.limit(MOST_PATTERNS + 1).collect()
     if len(rows) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} combinations of sources")
@@ -267,16 +276,19 @@ def mix_sources(
     got = selection.groupBy("source").agg(
         F.sum(F.col("repeats") * F.col("tokens")).alias("tokens"), F.count(F.lit(1)).alias("documents")
     )
-    whole = sum(weights.values()) or 1.0
+    whole = sum(weights[s] for s in quotas) or 1.0
+    most = {tuple(r["pattern"]): r["most"] for r in rows}
+    within = {s: sum(most[k] for k, by in routes.items() if s in by) / 2 for s in quotas}
+    short = {s: quotas[s] - sum(by.get(s, 0) for by in routes.values()) for s in quotas}
     listing = spark.createDataFrame(
-        [(s, w, weights[s] / whole, quotas.get(s, 0)) for s, w, _ in sorted(listed)],
-        "source string, weight double, target_share double, quota_tokens long",
+        [(s, w, weights[s] / whole if s in quotas else 0.0, quotas.get(s, 0), float(within.get(s, 0) + short.get(s, 0))) for s, w, _ in sorted(listed)],
+        "source string, weight double, target_share double, quota_tokens long, within double",
     )
     every = F.sum(F.coalesce("tokens", F.lit(0))).over(Window.partitionBy())  # a row per listed source
     shares = listing.join(F.broadcast(got), "source", "left").select(
         "source", "weight", "target_share", "quota_tokens",
         F.coalesce("tokens", F.lit(0)).alias("tokens"),
         F.when(every > 0, F.coalesce("tokens", F.lit(0)) / every).otherwise(0.0).alias("actual_share"),
-        F.coalesce("documents", F.lit(0)).alias("documents"),
+        F.coalesce("documents", F.lit(0)).alias("documents"), "within",
     )
     return selection, shares

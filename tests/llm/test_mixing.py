@@ -39,6 +39,40 @@ def test_plan_keeps_shares():
     assert plan({}, {"a": 1.0}, {"a": 1}, None) == ({}, {})
 
 
+def test_flow_passes_tokens_between_sources():
+    """a can only be filled when b gives the shared pattern back and takes c's."""
+    patterns = {("a", "b"): 10, ("b", "c"): 10, ("c",): 10}
+    got = route(patterns, {"a": 10, "b": 10, "c": 10}, dict.fromkeys("abc", 1))
+    assert {s: sum(x.get(s, 0) for x in got.values()) for s in "abc"} == {"a": 10, "b": 10, "c": 10}
+
+
+def test_flow_over_many_patterns():
+    names = [f"s{i:02}" for i in range(17)]
+    patterns = {tuple(n for k, n in enumerate(names) if m >> k & 1): 1 + m % 97 for m in range(1, 1 << 16)}
+    total = sum(patterns.values())
+    quotas = {n: total // 20 for n in names[:16]}
+    got = route(patterns, quotas, dict.fromkeys(names, 2))
+    assert {s: sum(x.get(s, 0) for x in got.values()) for s in quotas} == quotas
+    assert all(sum(x.values()) <= patterns[k] for k, x in got.items())
+
+
+@needs_vocabulary
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no tables")
+def test_shares_of_the_tables(spark):
+    """Every source lies within half a document per pattern of its quota, and caps hold."""
+    from lodestone.llm import queries as Q
+
+    folder = "/root/testdata/sf0.01"
+    shares = Q.p8_shares(spark, folder).collect()
+    filled = [r for r in shares if r.quota_tokens]
+    assert len(filled) > 5 and all(abs(r.tokens - r.quota_tokens) <= r.within for r in filled)
+    assert abs(sum(r.target_share for r in shares) - 1) < 1e-9 and abs(sum(r.actual_share for r in shares) - 1) < 1e-9
+    total = sum(r.quota_tokens for r in shares)
+    assert all(abs(r.quota_tokens / total - r.target_share) < 1e-4 for r in shares)
+    cap = {r.source: r.max_repeats for r in spark.read.parquet(f"{folder}/mix_targets.parquet").collect()}
+    assert all(1 <= r.repeats <= cap[r.source] for r in Q.p8_mixture(spark, folder).collect())
+
+
 @needs_vocabulary
 def test_documents(spark):
     rows = [(i, f"text {i} has some words here " * (1 + i % 3), "ab"[i % 4 == 0], "") for i in range(400)]
