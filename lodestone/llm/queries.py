@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.capping import cap_per_contributor
 from lodestone.llm.defects import pair_defects
 from lodestone.llm.leakage import leaked_items, words_sql
-from lodestone.llm.lookalikes import BLANK, form_sql, look_classes, look_pairs, unified_forms
+from lodestone.llm.lookalikes import BLANK, form_sql, look_classes, look_groups, look_pairs, unified_forms
 from lodestone.llm.mixing import mix_sources
 from lodestone.llm.neardup import expanded_pairs, near_duplicates
 from lodestone.llm.scan_noise import chunk_noise, repaired_chunks
@@ -80,6 +80,19 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("nugget_id_a"), F.col("id_b").alias("nugget_id_b"))
 
 
+def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every nugget with its class of equal texts (its least id) and the number of other
+    classes that are nearly the same: the whole result without copies expanded into pairs."""
+    nuggets = read_table(spark, folder, "nuggets")
+    members, links = near_duplicates(nuggets, F.col("nugget_id"), F.col("question"), F.col("answer"), threshold=0.75)
+    members, links = cut(members), cut(links)
+    names = members.groupBy("cls").agg(F.min("id").alias("class_id"))
+    ends = links.select(F.col("cls_a").alias("cls")).unionByName(links.select(F.col("cls_b").alias("cls")))
+    counts = names.join(ends.groupBy("cls").agg(F.count(F.lit(1)).alias("links")), "cls", "left")
+    out = members.join(counts, "cls")
+    return out.select(F.col("id").alias("nugget_id"), "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Nuggets with a defective answer."""
     nuggets = read_table(spark, folder, "nuggets")
@@ -124,6 +137,14 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
 
 
+def p9_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document of a look that several different texts share, with the look's numbers of
+    texts and documents: the whole result without pairs."""
+    docs = read_table(spark, folder, "documents")
+    groups = look_groups(cut(look_classes(docs, F.col("doc_id"), F.col("text"))))
+    return groups.select(F.col("id").alias("doc_id"), "look", "raw", "variants", "members")
+
+
 def p9_forms(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's text in its consistent form."""
     docs = read_table(spark, folder, "documents")
@@ -143,7 +164,7 @@ SELECT DISTINCT {key}, unnest(list_transform(range(1, len(w) - 10), lambda i: ar
 FROM (SELECT {key}, string_split({words}, ' ') AS w FROM {table} WHERE text IS NOT NULL) WHERE len(w) >= 12
 """
 
-QUERIES = {"p8_mixture": p8_mixture, "p8_shares": p8_shares, "p4_found": p4_found, "p4_repaired": p4_repaired, "p3_found": p3_found, "p2_found": p2_found, "p7_found": p7_found, "p9_found": p9_found, "p9_forms": p9_forms, "p6_found": p6_found, "p6_pieces": p6_pieces, "p1_found": p1_found, "p1_capped": p1_capped}
+QUERIES = {"p8_mixture": p8_mixture, "p8_shares": p8_shares, "p4_found": p4_found, "p4_repaired": p4_repaired, "p3_found": p3_found, "p2_found": p2_found, "p2_classes": p2_classes, "p7_found": p7_found, "p9_found": p9_found, "p9_forms": p9_forms, "p9_groups": p9_groups, "p6_found": p6_found, "p6_pieces": p6_pieces, "p1_found": p1_found, "p1_capped": p1_capped}
 SQL = {
     "p2_found": """
 WITH n AS (
@@ -161,6 +182,33 @@ cand AS (
 ), shared AS (SELECT x, y, len(list_intersect(a.w, b.w)) AS k, len(a.w) + len(b.w) AS s
   FROM cand JOIN n a ON a.nugget_id = x JOIN n b ON b.nugget_id = y)
 SELECT x AS nugget_id_a, y AS nugget_id_b FROM shared WHERE k * 4 >= (s - k) * 3
+""",
+    "p2_classes": """
+WITH n AS (
+  SELECT DISTINCT nugget_id, lower(coalesce(question, '') || ' ' || coalesce(answer, '')) AS text
+  FROM nuggets WHERE nugget_id IS NOT NULL
+), m AS (SELECT nugget_id, min(nugget_id) OVER (PARTITION BY text) AS class_id, text FROM n WHERE regexp_matches(text, '[a-z0-9]')),
+c AS (SELECT DISTINCT class_id, list_sort(list_distinct(regexp_extract_all(text, '[a-z0-9]+'))) AS w FROM m),
+t AS (SELECT class_id, len(w) AS size, unnest(w) AS token FROM c),
+freq AS (SELECT token, count(*) AS df FROM t GROUP BY token),
+ranked AS (
+  SELECT class_id, size, token, row_number() OVER (PARTITION BY class_id ORDER BY df, token) AS place
+  FROM t JOIN freq USING (token)
+), prefix AS (SELECT * FROM ranked WHERE place <= size - ceil(size * 0.75) + 1),
+cand AS (
+  SELECT DISTINCT a.class_id AS x, b.class_id AS y FROM prefix a JOIN prefix b USING (token)
+  WHERE a.class_id < b.class_id AND a.size * 4 >= b.size * 3 AND b.size * 4 >= a.size * 3
+), shared AS (SELECT x, y, len(list_intersect(a.w, b.w)) AS k, len(a.w) + len(b.w) AS s
+  FROM cand JOIN c a ON a.class_id = x JOIN c b ON b.class_id = y),
+linked AS (SELECT x, y FROM shared WHERE k * 4 >= (s - k) * 3),
+ends AS (SELECT id, count(*) AS links FROM (SELECT x AS id FROM linked UNION ALL SELECT y FROM linked) GROUP BY id)
+SELECT nugget_id, class_id, coalesce(links, 0) AS links FROM m LEFT JOIN ends ON ends.id = class_id
+""",
+    "p9_groups": f"""
+WITH f AS (SELECT doc_id, text, {form_sql("text")} AS form FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, md5(form) AS look, md5(text) AS raw FROM f WHERE NOT regexp_matches(form, '{BLANK}')),
+g AS (SELECT look, count(DISTINCT raw) AS variants, count(*) AS members FROM l GROUP BY look HAVING count(DISTINCT raw) > 1)
+SELECT doc_id, look, raw, variants, members FROM l JOIN g USING (look)
 """,
     "p7_found": f"""
 SELECT DISTINCT doc_id, item_id
