@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"\s*\S+")
-_ENDS = (re.compile(r"[.!?]\s"), re.compile(r"\n\s*\n"), re.compile(r"\n"))
 _PROTECTED = re.compile(
     r"\\begin\{(?P<env>equation|align|table|figure|tabular|algorithm)\*?\}.*?\\end\{(?P=env)\*?\}|\$\$.*?\$\$|(?:^[ \t]*\|.*\|[ \t]*(?:\n|$)){2,}",
     re.S | re.M,
@@ -38,53 +40,85 @@ def protected_spans(text: str) -> list[tuple[int, int]]:
     return out
 
 
+#: Kinds of natural ends, the one that is preferred last: no end, line, paragraph, sentence.
+NO_END, LINE, PARAGRAPH, SENTENCE = range(4)
+
+
+class Boundaries:
+    """The tokens of a text with the kind of end behind each, and the span that must not be
+    cut around it."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.spans = [m.span() for m in _TOKEN.finditer(text)]
+        begins = [b - len(text[a:b].lstrip()) for a, b in self.spans]
+        self.kinds = np.zeros(len(self.spans) + 1, np.int8)
+        for i, (_, b) in enumerate(self.spans[:-1]):
+            gap = text[b : begins[i + 1]]
+            self.kinds[i + 1] = SENTENCE if text[b - 1] in ".!?" else PARAGRAPH if gap.count("\n") > 1 else LINE if "\n" in gap else NO_END
+        self.guards: dict[int, tuple[int, int]] = {}
+        ends = [b for _, b in self.spans]
+        for a, b in protected_spans(text):
+            first, behind = bisect.bisect_right(ends, a), bisect.bisect_right(ends, b)
+            self.guards.update(dict.fromkeys(range(first + 1, behind + 1), (first, behind)))
+
+    def cut(self, start: int, size: int, overlap: int, flex: float) -> int:
+        """Where a chunk from ``start`` on ends: at the last of the best natural ends in the
+        flexible zone, else after ``size`` tokens; not within a protected span if that can be."""
+        whole = start + size
+        if whole >= len(self.spans):
+            return len(self.spans)
+        zone = self.kinds[start + int(size * (1 - flex)) + 1 : whole + 1]
+        best = int(zone.max(initial=NO_END))
+        end = whole if best == NO_END else whole - int(np.argmax(zone[::-1] == best))
+        first, behind = self.guards.get(end, (end, end))
+        if behind <= start + 2 * size:
+            return behind
+        return first if first > start + overlap else end
+
+
 def flexible_chunks(text: str, size: int = 800, overlap: int = 100, flex: float = 0.15) -> list[tuple[int, int, str]]:
-    """(first token, end token, text) of each chunk.
-
-    Within the last ``flex`` of a window the cut moves back to the last sentence end, else
-    paragraph end, else line end that lies behind the start of that zone. A protected span
-    around the cut is kept whole where the chunk stays within twice the size, else the cut
-    moves before it where that leaves more than the overlap.
-    """
-    tokens = [m.span() for m in _TOKEN.finditer(text)]
-    total = len(tokens)
+    """(first token, end token, text) of each chunk: windows of ``size`` tokens that end at
+    natural ends within their last ``flex`` where there are any (sentences before paragraphs
+    before lines), keep tables, environments and display formulas whole, and overlap."""
+    b = Boundaries(text)
+    total = len(b.spans)
     if total <= size:
         return [(0, total, text)] if total else []
-    ends = [b for _, b in tokens]
-
-    def token_at(char: int) -> int:
-        """How many tokens end at or before a character."""
-        lo, hi = 0, total
-        while lo < hi:
-            mid = (lo + hi) // 2
-            lo, hi = (mid + 1, hi) if ends[mid] <= char else (lo, mid)
-        return lo
-
-    spans = [(token_at(a), token_at(b)) for a, b in protected_spans(text)]
-    out, start = [], 0
-    while True:
-        end = min(start + size, total)
-        if end < total:
-            zone = int(size * flex)
-            left = tokens[max(start, end - zone)][0]
-            part = text[left : ends[end - 1] + 1]
-            for pattern in _ENDS:
-                hits = [m.start() + 1 for m in pattern.finditer(part)]
-                at = token_at(left + hits[-1]) if hits else 0
-                if at > start + int(size * (1 - flex)):
-                    end = min(at, end)
-                    break
-            for a, b in spans:
-                if a < end <= b:
-                    if b <= start + 2 * size:
-                        end = min(b, total)
-                    elif a > start + overlap:
-                        end = a
-                    break
-        out.append((start, end, text[tokens[start][0] : ends[end - 1]].strip()))
-        if end >= total:
-            return out
+    out, start, end = [], 0, 0
+    while end < total:
+        end = b.cut(start, size, overlap, flex)
+        out.append((start, end, text[b.spans[start][0] : b.spans[end - 1][1]].strip()))
         start = max(end - overlap, start + 1)
+    return out
+
+
+def section_windows(pages: DataFrame, paper: str, page: str, section: str, text: str, size: int, overlap: int, flex: float = 0.15) -> DataFrame:
+    """paper, chunk, section, pages, token_start, token_end, text: chunks of the papers' pages
+    that never cross a section. Runs of pages of one section (null: preamble) are joined by
+    line ends and chunked by themselves; chunks are numbered through each paper. Pages of a
+    paper meet in one task; null texts count as empty."""
+    kind = pages.schema[paper].dataType.simpleString()
+    ordered = pages.groupBy(F.col(paper).alias("paper")).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(page).cast("int").alias("page"), F.coalesce(section, F.lit("preamble")).alias("section"), F.coalesce(text, F.lit("")).alias("text")))).alias("pages")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for name, held in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                number = 0
+                for heading, group in itertools.groupby(held, key=lambda p: p["section"]):
+                    group = list(group)
+                    for a, z, t in flexible_chunks("\n".join(p["text"] for p in group), size, overlap, flex):
+                        rows.append((name, number, heading, [p["page"] for p in group], a, z, t))
+                        number += 1
+            types = [b.schema.field(0).type, pa.int32(), pa.string(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.string()]
+            names = ["paper", "chunk", "section", "pages", "token_start", "token_end", "text"]
+            cols = list(zip(*rows)) if rows else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+
+    return ordered.mapInArrow(run, f"paper {kind}, chunk int, section string, pages array<int>, token_start int, token_end int, text string")
 
 
 def flexible_windows(rows: DataFrame, row_id: str, text: str, size: int, overlap: int, flex: float) -> DataFrame:
