@@ -51,3 +51,51 @@ def ledger(sightings: DataFrame, key: str, at: str, score: str) -> DataFrame:
     return sightings.groupBy(key).agg(
         F.min(at).alias("first_seen"), F.max(at).alias("last_seen"), F.count(F.lit(1)).alias("times_seen"), F.max(score).alias("best_score")
     )
+
+
+def fill_empty(rows: DataFrame, other: DataFrame, key: str, columns: Sequence[str], least: int = 1) -> DataFrame:
+    """Rows whose given columns take the value of ``other`` where their own is null, blank or,
+    as a string, shorter than ``least`` characters. ``other`` has a row per key."""
+    o = other.select(key, *[F.col(c).alias(f"other_{c}") for c in columns])
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def filled(c: str) -> Column:
+        own = F.when(F.length(F.trim(c)) >= max(1, least), F.col(c)) if kind[c] == "string" else F.col(c)
+        return F.coalesce(own, F.col(f"other_{c}"), F.col(c)).alias(c)
+
+    return rows.join(o, key, "left").select(*[filled(c) if c in columns else F.col(c) for c in rows.columns])
+
+
+def preferred(unified: DataFrame, raw: DataFrame, owner: str, record: str, improved: DataFrame | None = None, added: DataFrame | None = None) -> DataFrame:
+    """The unified records of every owner that has any; for the other owners the raw ones, with
+    the columns of ``improved`` (record and any of the raw columns) in place of theirs, and the
+    records of ``added``. All but ``improved`` have the same columns."""
+    rest = raw.join(unified.select(owner).distinct(), owner, "left_anti")
+    if improved is not None:
+        rest = override(rest, improved, record, [c for c in improved.columns if c not in (owner, record)])
+    if added is not None:
+        rest = rest.unionByName(added.join(raw.select(owner).distinct(), owner, "left_semi").join(unified.select(owner).distinct(), owner, "left_anti"))
+    return unified.unionByName(rest.select(*unified.columns))
+
+
+def enriched(papers: DataFrame, records: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Papers with empty columns filled from outside records, and ``how`` they were matched: by
+    arXiv id, else DOI, else title (1, 2, 3; null for no match). ``papers`` has paper_key,
+    arxiv, doi, title (normalised, null for none) and the columns; ``records`` the same but for
+    paper_key. Of several records of one identifier the least by its columns is taken."""
+    out = papers
+    best = None
+    for rank, name in enumerate(("arxiv", "doi", "title"), 1):
+        r = records.where(F.col(name).isNotNull()).groupBy(name).agg(F.min(F.struct(*columns)).alias(f"r{rank}"))
+        out = out.join(r, name, "left")
+        here = F.when(F.col(f"r{rank}").isNotNull(), F.lit(rank))
+        best = here if best is None else F.coalesce(best, here)
+    found = F.coalesce("r1", "r2", "r3")
+    return out.select("paper_key", best.alias("how"), *[F.coalesce(F.col(c), found[c]).alias(c) for c in columns])
+
+
+def ledger_order(entries: DataFrame, by: str, key: str = "paper_key") -> DataFrame:
+    """Ledger entries with their rank by score, citations, recent (last sighting) or seen
+    (number of sightings), greatest first, nulls last, ties by key."""
+    column = {"score": "best_score", "citations": "citations", "recent": "last_seen", "seen": "times_seen"}[by]
+    return entries.orderBy(F.col(column).desc_nulls_last(), key)

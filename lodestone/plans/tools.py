@@ -133,23 +133,32 @@ def reference_status(spark: SparkSession, folder: str) -> DataFrame:
     return j.groupBy(side.alias("used_by"), F.when(F.col("known"), "found").otherwise("missing").alias("status")).agg(F.count(F.lit(1)).alias("keys"))
 
 
-# Words that do not belong into a kind of chapter.
+# Words that do not belong into a kind of chapter, by the rule they break.
 CHAPTER_WORDS = {
-    "introduction": ("encoder", "decoder", "layer", "backbone", "module", "convolution", "attention head", "feature pyramid", "architecture",
-                     "dataset", "training set", "test set", "epoch", "batch size", "learning rate", "hyperparameter", "ablation"),
-    "background": ("better", "superior", "outperform", "advantage", "disadvantage", "best", "worst", "prefer", "recommend", "promising", "impressive"),
-    "model": ("training", "test set", "validation set", "epoch", "batch size", "learning rate", "loss function", "optimizer"),
+    ("introduction", "no_architecture_in_intro"): (
+        "encoder", "decoder", "layer", "backbone", "module", "convolution", "attention head", "feature pyramid", "architecture"),
+    ("introduction", "no_experiments_in_intro"): (
+        "dataset", "training set", "test set", "epoch", "batch size", "learning rate", "hyperparameter", "ablation"),
+    ("background", "no_opinions_in_background"): (
+        "better", "superior", "outperform", "advantage", "disadvantage", "best", "worst", "prefer", "recommend", "promising", "impressive"),
+    ("model", "no_experiments_in_model"): (
+        "training", "test set", "validation set", "epoch", "batch size", "learning rate", "loss function", "optimizer"),
 }
 
 
 def chapter_boundaries(spark: SparkSession, folder: str) -> DataFrame:
-    """The first line of each document with each word that an introduction should not have."""
+    """The first line of each document with each word that an introduction, a background or a
+    model chapter should not have, and the rule it breaks."""
     d = read_table(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     words = F.regexp_extract_all(F.lower("line"), F.lit(r"[\p{L}\p{N}_]+"), 0)
     flat = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-    found = F.array_distinct(F.regexp_extract_all(flat, F.lit(f"(?<= )({'|'.join(CHAPTER_WORDS['introduction'])})(?= )"), 1))
+    every = sorted({w for ws in CHAPTER_WORDS.values() for w in ws}, key=lambda w: (-len(w), w))
+    # One pass finds all words; those that others hold ("test set") are looked for behind them too.
+    found = F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(flat, F.lit(f"(?<= )({'|'.join(g)})(?= )"), 1) for g in ([w for w in every if " " in w], [w for w in every if " " not in w])])))
     hits = d.where(~F.trim("line").startswith("%")).select("doc_id", "i", F.explode(found).alias("word"))
-    return hits.groupBy("doc_id", "word").agg((F.min("i") + 1).cast("long").alias("line_no"))
+    first = hits.groupBy("doc_id", "word").agg((F.min("i") + 1).cast("long").alias("line_no"))
+    rules = F.create_map(*[x for w in every for x in (F.lit(w), F.array(*[F.struct(F.lit(c).alias("chapter"), F.lit(r).alias("rule")) for (c, r), ws in CHAPTER_WORDS.items() if w in ws]))])
+    return first.select("doc_id", F.explode(rules[F.col("word")]).alias("r"), "word", "line_no").select("doc_id", "r.chapter", "r.rule", "word", "line_no")
 
 
 # Vague openings, words of performance, hedges, signs of a comparison.
@@ -159,22 +168,32 @@ _HEDGE = ("may", "might", "could", "potentially", "suggests", "appears", "seems"
 _COMPARED = r"(?i)(compared to|versus|vs\.|relative to|increase|decrease|improvement)"
 
 
+#: Keys and short forms of the glossary that rule 13 is checked against.
+GLOSSARY = {"gigabyte": "GB", "figure": "Fig", "frames": "fps", "decibel": "dB"}
+
+
 def style_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of the documents that break writing rules, by rule: 1 first person, 2 claim
-    without citation or hedge, 9 vague opening, 10 percentage without comparison."""
-    d = read_table(spark, folder, "documents").where("text IS NOT NULL").select(F.explode(F.split("text", "\n")).alias("l")).select(F.trim("l").alias("l"))
+    without citation or hedge, 9 vague opening, 10 percentage without comparison, 12 display
+    formula in brackets, 13 a glossary's term without its command (a line per term and document)."""
+    d = read_table(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", F.explode(F.split("text", "\n")).alias("l")).select("doc_id", F.trim("l").alias("l"))
     d = d.where("l <> '' AND NOT startswith(l, '%')")
     words = F.regexp_extract_all(F.lower("l"), F.lit(r"[\p{L}\p{N}_]+"), 0)
     any_of = lambda names: F.exists(words, lambda w: w.isin(*names))
     cited = F.col("l").contains("\\cite")
     rules = {
         1: any_of(("i", "we", "our", "us", "my")),
-        2: any_of(_PERFORMANCE) & ~cited & ~any_of(_HEDGE),
+        2: (any_of(_PERFORMANCE) | F.lower("l").contains("state-of-the-art")) & ~cited & ~any_of(_HEDGE),
         9: F.col("l").rlike(_VAGUE),
         10: F.col("l").rlike(r"\d+\.?\d*\s*%") & ~cited & ~F.col("l").rlike(_COMPARED),
+        12: F.col("l").contains("\\[") & ~F.col("l").contains("\\begin{"),
     }
     r = d.select(F.explode(F.filter(F.array(*[F.when(c, k) for k, c in rules.items()]), lambda x: x.isNotNull())).alias("rule"))
-    return r.groupBy("rule").agg(F.count(F.lit(1)).alias("lines"))
+    spelled = F.regexp_extract_all("l", F.lit(r"[\p{L}\p{N}_]+"), 0)
+    bare = lambda key, short: F.array_contains(spelled, short) & ~F.col("l").contains(f"\\gls{{{key}}}") & ~F.col("l").contains(f"\\acrshort{{{key}}}")
+    terms = F.filter(F.array(*[F.when(bare(k, s), F.lit(k)) for k, s in GLOSSARY.items()]), lambda x: x.isNotNull())
+    raw = d.select("doc_id", F.explode(terms).alias("term")).distinct().select(F.lit(13).alias("rule"))
+    return r.unionByName(raw).groupBy("rule").agg(F.count(F.lit(1)).alias("lines"))
 
 
 def bibtex_keys(spark: SparkSession, folder: str) -> DataFrame:
@@ -260,14 +279,18 @@ r AS (SELECT DISTINCT lower(trim(paper_id)) AS k FROM nugget_feedback WHERE trim
 j AS (SELECT coalesce(l.k, r.k) AS k, CASE WHEN l.k IS NOT NULL AND r.k IS NOT NULL THEN 'both' WHEN l.k IS NOT NULL THEN 'links' ELSE 'ratings' END AS used_by FROM l FULL JOIN r ON l.k = r.k)
 SELECT used_by, CASE WHEN p.paper_key IS NULL THEN 'missing' ELSE 'found' END AS status, count(*) AS keys FROM j LEFT JOIN p ON p.paper_key = j.k GROUP BY 1, 2""",
     "chapter_boundaries": f"""WITH {_LINE}, t AS (SELECT doc_id, i, ' ' || array_to_string({_TOK.format(c='line')}, ' ') || ' ' AS flat FROM l WHERE NOT starts_with(trim(line), '%'))
-SELECT doc_id, word, min(i) AS line_no FROM t, (SELECT unnest([{', '.join(f"'{w}'" for w in CHAPTER_WORDS['introduction'])}]) AS word)
-WHERE contains(flat, ' ' || word || ' ') GROUP BY 1, 2""",
-    "style_rules": f"""WITH {_LINE}, t AS (SELECT trim(line, ' ') AS l, {_TOK.format(c='line')} AS w FROM l WHERE trim(line, ' ') <> '' AND NOT starts_with(trim(line, ' '), '%'))
+SELECT doc_id, chapter, rule, word, min(i) AS line_no
+FROM t, (VALUES {', '.join(f"('{c}', '{r}', '{w}')" for (c, r), ws in CHAPTER_WORDS.items() for w in ws)}) AS v(chapter, rule, word)
+WHERE contains(flat, ' ' || word || ' ') GROUP BY ALL""",
+    "style_rules": f"""WITH {_LINE}, t AS (SELECT doc_id, trim(line, ' ') AS l, {_TOK.format(c='line')} AS w FROM l WHERE trim(line, ' ') <> '' AND NOT starts_with(trim(line, ' '), '%'))
 SELECT rule, count(*) AS lines FROM (
   SELECT 1 AS rule FROM t WHERE list_has_any(w, ['i', 'we', 'our', 'us', 'my'])
-  UNION ALL SELECT 2 FROM t WHERE list_has_any(w, [{', '.join(f"'{x}'" for x in _PERFORMANCE)}]) AND NOT list_has_any(w, [{', '.join(f"'{x}'" for x in _HEDGE)}]) AND NOT contains(l, '\\cite')
+  UNION ALL SELECT 2 FROM t WHERE (list_has_any(w, [{', '.join(f"'{x}'" for x in _PERFORMANCE)}]) OR contains(lower(l), 'state-of-the-art')) AND NOT list_has_any(w, [{', '.join(f"'{x}'" for x in _HEDGE)}]) AND NOT contains(l, '\\cite')
   UNION ALL SELECT 9 FROM t WHERE regexp_matches(l, '{_VAGUE}')
   UNION ALL SELECT 10 FROM t WHERE regexp_matches(l, '\\d+\\.?\\d*\\s*%') AND NOT contains(l, '\\cite') AND NOT regexp_matches(l, '{_COMPARED}')
+  UNION ALL SELECT 12 FROM t WHERE contains(l, '\\[') AND NOT contains(l, '\\begin{{')
+  UNION ALL SELECT 13 FROM (SELECT DISTINCT doc_id, key FROM t, (VALUES {', '.join(f"('{k}', '{s}')" for k, s in GLOSSARY.items())}) AS g(key, short)
+    WHERE list_contains(regexp_extract_all(l, '[\\p{{L}}\\p{{N}}_]+'), short) AND NOT contains(l, '\\gls{{' || key || '}}') AND NOT contains(l, '\\acrshort{{' || key || '}}'))
 ) GROUP BY 1""",
     "bibtex_keys": f"""WITH {P}, b AS (SELECT paper_key,
   coalesce(nullif(regexp_extract(trim(coalesce(CASE WHEN starts_with(authors, '[') THEN CASE WHEN json_valid(authors) THEN json_extract_string(authors, '$[0]') END

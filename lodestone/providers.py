@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter, OrderedDict
 from typing import Protocol
 
 import numpy as np
@@ -39,6 +40,39 @@ class HashingEmbedder:
         return out / np.where(norm > 0, norm, 1.0)
 
 
+class CachedEmbedder:
+    """An embedder that remembers its last texts, as many as ``size``."""
+
+    def __init__(self, inner: Embedder, size: int = 256):
+        self.inner, self.size = inner, size
+        self._held: OrderedDict[str, np.ndarray] = OrderedDict()
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        missing = [t for t in dict.fromkeys(texts) if t not in self._held]
+        fresh = dict(zip(missing, self.inner.embed(missing))) if missing else {}
+        out = []
+        for t in texts:
+            if t in fresh:
+                out.append(fresh[t])
+            else:
+                self._held.move_to_end(t)
+                out.append(self._held[t])
+        for t, v in fresh.items():
+            self._held[t] = v
+            if len(self._held) > self.size:
+                self._held.popitem(last=False)
+        return np.array(out)
+
+
+def passage_prompt(kinds: list[str], prompts: dict[str, str], generic: str) -> str:
+    """The prompt of the kind that most query hits are of; a tie, or a kind without a prompt,
+    takes the generic one."""
+    counts = Counter(kinds).most_common(2)
+    if not counts or len(counts) > 1 and counts[0][1] == counts[1][1]:
+        return generic
+    return prompts.get(counts[0][0], generic)
+
+
 class OverlapReranker:
     """The share of the query's words that a text holds."""
 
