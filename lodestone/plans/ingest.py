@@ -104,10 +104,13 @@ def code_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def resume_filter(spark: SparkSession, folder: str) -> DataFrame:
-    """Papers with chunks that have no nugget yet, the oldest 50 first."""
-    done = nuggets(spark, folder, "paper_id").select(key_of("paper_id").alias("paper_key")).where("paper_key IS NOT NULL").distinct()
+    """Papers with chunks that have no nugget from a first load of methods yet (a resumed run
+    over that kind), the oldest 50 first; papers of an id list alone (here: written with dots
+    or underscores after four digits) are taken."""
+    done = nuggets(spark, folder, "paper_id", "type").where("lower(type) = 'method' AND ingested_at < TIMESTAMP_NTZ '2024-01-10'").select(key_of("paper_id").alias("paper_key")).where("paper_key IS NOT NULL").distinct()
     chunked = read_table(spark, folder, "chunks").select(key_of("paper_id").alias("paper_key")).distinct()
-    p = papers(spark, folder).join(chunked, "paper_key", "left_semi").join(done, "paper_key", "left_anti")
+    listed = papers(spark, folder).where(F.col("paper_key").rlike(r"^\d{4}[._]")).select("paper_key")
+    p = papers(spark, folder).join(listed, "paper_key", "left_semi").join(chunked, "paper_key", "left_semi").join(done, "paper_key", "left_anti")
     return p.orderBy("added_at", "paper_key").limit(50).select("paper_key", F.date_format("added_at", "yyyy-MM-dd").alias("added"))
 
 
@@ -135,7 +138,8 @@ SELECT x.nugget_id, lower(x.type) AS type, {half_up_sql('score')} AS score, coal
 FROM bm JOIN x ON x.nugget_id = bm.id LEFT JOIN l ON l.paper_key = lower(trim(x.paper_id))""",
     "resume_filter": f"""WITH {N}, {P} SELECT paper_key, strftime(added_at, '%Y-%m-%d') AS added FROM p
 WHERE paper_key IN (SELECT lower(trim(paper_id)) FROM chunks WHERE paper_id IS NOT NULL)
-  AND paper_key NOT IN (SELECT lower(trim(paper_id)) FROM n WHERE trim(paper_id) <> '') ORDER BY added_at, paper_key LIMIT 50""",
+  AND regexp_matches(paper_key, '^\\d{{4}}[._]')
+  AND paper_key NOT IN (SELECT lower(trim(paper_id)) FROM n WHERE trim(paper_id) <> '' AND lower(type) = 'method' AND ingested_at < TIMESTAMP '2024-01-10') ORDER BY added_at, paper_key LIMIT 50""",
     "resolve_cite_keys": "WITH bk AS (" + TOOL_SQL["bibtex_keys"] + f"), {P}" + f""", w AS (
   SELECT paper_key, year, list_filter(list_distinct(regexp_extract_all(lower(coalesce(title, '')), '[a-z0-9]+')), lambda x: NOT list_contains({_STOP}, x)) AS tw,
     list_distinct(regexp_extract_all(lower(coalesce(authors, '')), '\\p{{L}}+')) AS names FROM p

@@ -92,12 +92,18 @@ def unigram_terms(spark: SparkSession, folder: str) -> DataFrame:
     return g.orderBy(F.col("n").desc(), "term").limit(20)
 
 
+#: Mentions from which a name counts. The tables' texts hold few names by form.
+ENTITY_LEAST = 3
+#: Names of one thing, with those that the tables' texts use.
+NAMES_OF_ONE = (*T.SYNONYMS, ("frame rate", "fps"), ("energy per inference", "mJ"), ("hot pixels", "saturated pixels"))
+
+
 def entity_terms(spark: SparkSession, folder: str) -> DataFrame:
-    """Names by form (camel case, acronyms, hyphenated capitals) with at least 10 mentions."""
+    """Names by form (camel case, acronyms, hyphenated capitals) with at least ENTITY_LEAST mentions."""
     n = nuggets(spark, folder, "question", "answer").select(F.concat_ws("\n", "question", "answer").alias("t"))
     found = F.flatten(F.array(*[F.regexp_extract_all("t", F.lit(p), 0) for p in T.ENTITY_FORMS]))
     e = n.select(F.explode(found).alias("term")).where(~F.upper("term").isin(*T.ENTITY_STOPWORDS))
-    return e.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n >= 10")
+    return e.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= ENTITY_LEAST)
 
 
 def acronyms(spark: SparkSession, folder: str) -> DataFrame:
@@ -110,7 +116,7 @@ def acronyms(spark: SparkSession, folder: str) -> DataFrame:
 def terminology(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that use several names of one thing."""
     groups = []
-    for i, names in enumerate(T.SYNONYMS):
+    for i, names in enumerate(NAMES_OF_ONE):
         for name in names:
             groups.append(F.struct(F.lit(i).alias("synonyms"), F.lit(name).alias("term"), (F.regexp_count(F.lower("text"), F.lit(name.lower()))).cast("long").alias("n")))
     d = _docs(spark, folder).select("doc_id", F.explode(F.filter(F.array(*groups), lambda g: g["n"] > 0)).alias("g")).select("doc_id", "g.*")
@@ -202,9 +208,14 @@ def consecutive_citations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def paper_refs(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents that name papers by arXiv number or cite key."""
-    d = _docs(spark, folder).select(F.explode(T.paper_references(F.col("text"))).alias("ref"))
-    return d.groupBy("ref").agg(F.count(F.lit(1)).alias("documents"))
+    """What messages refer to, by arXiv number or cite key. The messages are written from the
+    ratings: the query, a cite command for the nugget, and the paper's number."""
+    f = read_table(spark, folder, "nugget_feedback")
+    text = F.concat(
+        F.coalesce("query", F.lit("")), F.lit(" \\cite{"), F.coalesce(F.trim("nugget_id"), F.lit("")), F.lit("} of "), F.coalesce("paper_id", F.lit(""))
+    )
+    r = f.select("feedback_id", F.posexplode(T.paper_references(text)).alias("k", "ref"))
+    return r.groupBy("ref").agg(F.count(F.lit(1)).alias("messages"), F.max("k").cast("long").alias("last_place"))
 
 
 _D = "d AS (SELECT doc_id, text, coalesce(source, '(none)') AS source FROM documents WHERE text IS NOT NULL)"
@@ -248,7 +259,7 @@ SELECT term, count(*) AS n FROM b GROUP BY 1 HAVING count(*) >= 15 ORDER BY 2 DE
 SELECT term, count(*) AS n FROM w GROUP BY 1 HAVING count(*) >= 30 ORDER BY 2 DESC, 1 LIMIT 20""",
     "entity_terms": f"""WITH {N}, t AS (SELECT concat_ws(chr(10), question, answer) AS t FROM n), e AS (
 {" UNION ALL ".join(f"SELECT unnest(regexp_extract_all(t, '{p}')) AS term FROM t" for p in T.ENTITY_FORMS)})
-SELECT term, count(*) AS n FROM e WHERE upper(term) NOT IN ({", ".join(f"'{w}'" for w in T.ENTITY_STOPWORDS)}) GROUP BY 1 HAVING count(*) >= 10""",
+SELECT term, count(*) AS n FROM e WHERE upper(term) NOT IN ({", ".join(f"'{w}'" for w in T.ENTITY_STOPWORDS)}) GROUP BY 1 HAVING count(*) >= {ENTITY_LEAST}""",
     "chapter_overview": f"""WITH {_D}, p AS (SELECT doc_id, string_split_regex(text, '(?m)^#+[^\\n]*$') AS b FROM d WHERE regexp_matches(text, '(?m)^#+'))
 SELECT doc_id, CAST(i - 1 AS INTEGER) AS part, {_WORDS.format(t='b[i]')} AS words, len(regexp_extract_all(b[i], '\\[\\d+\\]')) AS cites FROM p, unnest(range(1, len(b) + 1)) AS r(i)""",
     "consecutive_citations": f"""WITH {_C}, m AS (SELECT DISTINCT paper_id, chunk_id, list_transform(regexp_extract_all(text, '\\[\\d+(?:,\\s*\\d+)*\\]'), lambda x: NOT contains(x, ',')) AS s FROM c),
@@ -256,12 +267,22 @@ r AS (SELECT paper_id, chunk_id, len(list_filter(range(1, len(s)), lambda i: s[i
 SELECT DISTINCT * FROM r WHERE runs > 2""",
     "acronyms": f"""WITH {_D}, a AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\\b[A-Z]{{2,}}\\b'))) AS acronym FROM d)
 SELECT acronym, count(*) AS documents FROM a WHERE acronym NOT IN ({", ".join(f"'{w}'" for w in T.KNOWN_ACRONYMS)}) GROUP BY 1""",
+    "paper_refs": r"""WITH m AS (
+  SELECT feedback_id, trim(coalesce(nugget_id, ''), ' ') AS cited, coalesce(query, '') || ' \cite{' || trim(coalesce(nugget_id, ''), ' ') || '} of ' || coalesce(paper_id, '') AS t FROM nugget_feedback
+), c AS (SELECT feedback_id, list_filter(list_transform(string_split(cited, ','), lambda x: trim(x)), lambda x: x <> '') AS keys, t FROM m),
+a AS (SELECT feedback_id, keys, list_transform(regexp_extract_all(' ' || t || ' ',
+  '(?:^|[^\d.])((?:1\d|2[0-4])(?:0[1-9]|1[0-2])[._]\d{4,5})(?:[^\d]|$)', 1), lambda x: replace(x, '_', '.')) AS nums FROM c),
+r AS (SELECT feedback_id, list_distinct(list_concat(keys, nums)) AS refs, list_concat(keys, nums) AS raw FROM a),
+d AS (SELECT feedback_id, list_filter(raw, lambda x, i: list_position(raw, x) = i) AS refs FROM r),
+u AS (SELECT feedback_id, unnest(range(0, len(refs))) AS k, refs FROM d)
+SELECT refs[k + 1] AS ref, count(*) AS messages, max(k) AS last_place FROM u GROUP BY 1
+""",
     "terminology": f"""WITH {_D}, t AS ({" UNION ALL ".join(
         f"SELECT doc_id, {i} AS synonyms, len(regexp_extract_all(lower(text), '{name.lower()}')) AS n FROM d"
-        for i, names in enumerate(T.SYNONYMS) for name in names)})
+        for i, names in enumerate(NAMES_OF_ONE) for name in names)})
 SELECT doc_id, synonyms, count(*) AS terms, CAST(sum(n) AS BIGINT) AS uses FROM t WHERE n > 0 GROUP BY 1, 2 HAVING count(*) > 1""",
     "section_detect": f"""WITH {_D}, l AS (
-  SELECT doc_id, i, substring(lower(trim(x[i])), 1, 80) AS l FROM (
+  SELECT doc_id, i, lower(trim(x[i])) AS l FROM (
     SELECT doc_id, list_filter(string_split(regexp_replace(text, '(?m)^#+\\s*', '', 'g'), chr(10)), lambda s: trim(s, ' ') <> '')[1:8] AS x FROM d
   ), unnest(range(1, 9)) AS r(i) WHERE i <= len(x)
 ), h AS (SELECT doc_id, i, {_HEAD} AS s FROM l),

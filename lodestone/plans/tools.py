@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import text as T
-from lodestone.operators.vectors import nearest
+from lodestone.operators.vectors import nearest, nearest_within
 from lodestone.plans.base import N, P, half_up_sql, nuggets, papers
 from lodestone.session import half_up, key_of, read_table
 from lodestone.sources.bibliography import bib_entries
@@ -115,12 +115,10 @@ def claim_support(spark: SparkSession, folder: str) -> DataFrame:
     e = read_table(spark, folder, "embeddings").select("vec_id", "embedding")
     n = read_table(spark, folder, "nuggets").select(F.col("row_id").alias("vec_id"), key_of("paper_id").alias("paper_key")).where("paper_key IS NOT NULL")
     v = e.join(n, "vec_id")
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("claim"), F.col("embedding").alias("q"), "paper_key")
-    from lodestone.operators.vectors import cosine_similarity
-
-    d = v.join(q, "paper_key").where("vec_id <> claim").select("claim", (1 - cosine_similarity(F.col("q"), F.col("embedding"))).alias("d"))
-    g = d.groupBy("claim").agg(F.min("d").alias("d"), F.count(F.lit(1)).alias("compared"))
-    return g.select("claim", "compared", half_up(F.col("d")).alias("best_distance"), (F.col("d") < 0.8).alias("supported"))
+    q = v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "claim")
+    g = nearest_within(q, v, query_id="claim", vector_id="vec_id", group="paper_key")
+    d = F.col("distance")
+    return g.select(F.col("query_id").alias("claim"), "compared", half_up(d).alias("best_distance"), (d < 0.8).alias("supported"))
 
 
 def reference_status(spark: SparkSession, folder: str) -> DataFrame:

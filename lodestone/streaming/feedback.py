@@ -26,14 +26,25 @@ def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return reader.parquet(path) if os.path.isdir(path) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def event_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Events per type and day: tumbling windows under a watermark of an hour. In update mode
-    each micro-batch puts out the windows it changed; the greatest count of a window, which
-    only grows, is its last."""
-    e = table_stream(spark, folder, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    g = e.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("events"))
-    flat = g.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "events")
-    target = _folder(spark)
+#: Parts that a kept table is divided into by key.
+PARTS = 16
+
+
+def counts_by_day(events: DataFrame) -> DataFrame:
+    """day, event_type, events: tumbling windows of a day over a stream with ts, event_type.
+    There is no watermark: an event counts however late it comes. The state is one number per
+    day and type, which stays small."""
+    g = events.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count(F.lit(1)).alias("events"))
+    return g.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "events")
+
+
+def event_counts(spark: SparkSession, folder: str, target: str | None = None, stream: DataFrame | None = None) -> DataFrame:
+    """Events per type and day. In update mode each micro-batch puts out the windows it
+    changed; the greatest count of a window, which only grows, is its last. With a ``target``
+    folder a later call goes on where the earlier one ended."""
+    stream = table_stream(spark, folder, "events") if stream is None else stream
+    flat = counts_by_day(stream.select(F.col("ts").cast("timestamp").alias("ts"), "event_type"))
+    target = target or _folder(spark)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/out/batch={number}")
@@ -43,29 +54,60 @@ def event_counts(spark: SparkSession, folder: str) -> DataFrame:
     return out.groupBy("day", "event_type").agg(F.max("events").alias("events"))
 
 
-def feedback_latest(spark: SparkSession, folder: str) -> DataFrame:
-    """The last rating of each nugget and query, kept up by micro-batches: each batch merges
-    its own last ratings into the table of the batch before it."""
-    target = _folder(spark)
-    stream = table_stream(spark, folder, "nugget_feedback")
-    at = F.coalesce(iso_utc("created_at"), F.lit("0001-01-01 00:00:00").cast("timestamp"))
-    rows = stream.where("trim(query) <> '' AND rating BETWEEN -1 AND 1").select(
-        key_of("nugget_id").alias("nugget_key"), "query", at.alias("at"), "feedback_id", "rating"
-    ).where("nugget_key IS NOT NULL")
+def _versions(spark: SparkSession, target: str, before: int | None = None) -> dict[int, str]:
+    """The path of the last whole version of each part, of versions below ``before`` if given.
+    What is on disk is all there is to know, so a restart goes on from it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    root = hadoop(f"{target}/data")
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    number = lambda path: int(path.getName().split("=")[1])
+    whole = {number(f.getPath().getParent()) for f in files.globStatus(hadoop(f"{target}/data/v=*/_SUCCESS")) or []}
+    out: dict[int, tuple[int, str]] = {}
+    for status in files.globStatus(hadoop(f"{target}/data/v=*/part=*")) or []:
+        part, version = number(status.getPath()), number(status.getPath().getParent())
+        if version in whole and (before is None or version < before) and version >= out.get(part, (-1, ""))[0]:
+            out[part] = version, status.getPath().toString()
+    return {part: path for part, (_, path) in out.items()}
+
+
+def keep_last(spark: SparkSession, rows: DataFrame, target: str) -> None:
+    """Keeps the last rating of each nugget and query of a stream (nugget_key, query, at,
+    feedback_id, rating) below ``target``. The table lies in PARTS parts by key; a micro-batch
+    writes a new version of the parts that it touches, in one job, and a batch that is repeated
+    after a failure overwrites its own attempt."""
     last = F.max(F.struct("at", "feedback_id", "rating")).alias("r")
-    version = {"path": None}
 
     def merge(batch: DataFrame, number: int) -> None:
-        old = version["path"]
-        both = batch if old is None else batch.unionByName(batch.sparkSession.read.parquet(old))
-        path = f"{target}/v{number}"
-        both.groupBy("nugget_key", "query").agg(last).select("nugget_key", "query", "r.*").write.mode("overwrite").parquet(path)
-        version["path"] = path
+        s = batch.sparkSession
+        mine = batch.withColumn("part", F.pmod(F.xxhash64("nugget_key", "query"), F.lit(PARTS)).cast("int")).persist()
+        try:
+            touched = {r["part"] for r in mine.select("part").distinct().collect()}
+            old = [path for part, path in _versions(s, target, number).items() if part in touched]
+            both = mine
+            if old:
+                both = mine.unionByName(s.read.option("basePath", f"{target}/data").schema(f"{batch._jdf.schema().toDDL()}, part int, v long").parquet(*old).drop("v"))
+            merged = both.groupBy("part", "nugget_key", "query").agg(last).select("part", "nugget_key", "query", "r.*")
+            merged.write.mode("overwrite").partitionBy("part").parquet(f"{target}/data/v={number}")
+        finally:
+            mine.unpersist()
 
     rows.writeStream.foreachBatch(merge).option("checkpointLocation", f"{target}/state").trigger(availableNow=True).start().awaitTermination()
-    if version["path"] is None:
+
+
+def feedback_latest(spark: SparkSession, folder: str, target: str | None = None, stream: DataFrame | None = None) -> DataFrame:
+    """The last rating of each nugget and query, kept up by micro-batches. With a ``target``
+    folder a later call goes on where the earlier one ended."""
+    target = target or _folder(spark)
+    stream = table_stream(spark, folder, "nugget_feedback") if stream is None else stream
+    at = F.coalesce(iso_utc("created_at"), F.lit("0001-01-01 00:00:00").cast("timestamp"))
+    rows = stream.where("trim(query) <> '' AND rating BETWEEN -1 AND 1").select(
+        key_of("nugget_id").alias("nugget_key"), "query", at.alias("at"), "feedback_id", "rating"
+    ).where("nugget_key IS NOT NULL")
+    keep_last(spark, rows, target)
+    paths = list(_versions(spark, target).values())
+    if not paths:
         return spark.createDataFrame([], "nugget_key string, query string, rating int")
-    return spark.read.parquet(version["path"]).select("nugget_key", "query", "rating")
+    return spark.read.parquet(*paths).select("nugget_key", "query", "rating")
 
 
 SQL = {
