@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import for_workers
+
 _TOKEN = re.compile(r"\s*\S+")
 _PROTECTED = re.compile(
     r"\\begin\{(?P<env>equation|align|table|figure|tabular|algorithm)\*?\}.*?\\end\{(?P=env)\*?\}|\$\$.*?\$\$|(?:^[ \t]*\|.*\|[ \t]*(?:\n|$)){2,}",
@@ -93,6 +95,7 @@ def flexible_chunks(text: str, size: int = 800, overlap: int = 100, flex: float
     return out
 
 
+@for_workers
 def section_windows(pages: DataFrame, paper: str, page: str, section: str, text: str, size: int, overlap: int, flex: float = 0.15) -> DataFrame:
     """paper, chunk, section, pages, token_start, token_end, text: chunks of the papers' pages
     that never cross a section. Runs of pages of one section (null: preamble) are joined by
@@ -121,6 +124,7 @@ def section_windows(pages: DataFrame, paper: str, page: str, section: str, text:
     return ordered.mapInArrow(run, f"paper {kind}, chunk int, section string, pages array<int>, token_start int, token_end int, text string")
 
 
+@for_workers
 def flexible_windows(rows: DataFrame, row_id: str, text: str, size: int, overlap: int, flex: float) -> DataFrame:
     """id, chunk, token_start, token_end, text for every row, in Arrow batches."""
     kind = rows.schema[row_id].dataType.simpleString()

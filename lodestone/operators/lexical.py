@@ -15,6 +15,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
+from lodestone.session import cut, for_workers
+
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Distinct search units that are counted in one pass over the texts.
 UNITS_PER_PASS = 100_000
@@ -55,52 +57,63 @@ def _counter(units: Iterable[str]) -> Callable[[list[str]], dict[str, int]]:
     return count
 
 
-def _holders(rows: DataFrame, units: list[str]) -> dict[str, int]:
-    """In how many of the texts (column t) each unit stands, where in any."""
-    sent = rows.sparkSession.sparkContext.broadcast(units)
+def _read(texts: DataFrame, units: list[str]) -> DataFrame:
+    """id, dl, u, tf: of every text its number of words, and which of the units (by their
+    number) stand there how often. The one pass over the texts; what follows reads this."""
+    sent = texts.sparkSession.sparkContext.broadcast(units)
+    id_type = texts.schema["id"].dataType
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, held = _counter(sent.value), Counter()
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, number = _counter(sent.value), {u: i for i, u in enumerate(sent.value)}
         for b in batches:
-            for t in b.column(0).to_pylist():
-                held.update(found(_WORD.findall(t)).keys())
-        yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["unit", "n"])
+            lengths, us, tfs = [], [], []
+            for t in b.column(1).to_pylist():
+                words = _WORD.findall(t) if t is not None else None
+                lengths.append(None if words is None else len(words))
+                held = found(words) if words else {}
+                us.append([number[u] for u in held])
+                tfs.append(list(held.values()))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(lengths, pa.int32()), pa.array(us, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32()))], names=["id", "dl", "u", "tf"]
+            )
 
-    n = rows.select("t").mapInArrow(count, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    return {r["unit"]: r["n"] for r in n.collect()}
+    return cut(texts.mapInArrow(read, f"id {id_type.simpleString()}, dl int, u array<int>, tf array<int>"))
 
 
-def _scored(rows: DataFrame, asked: list[tuple[object, list[str]]], n_all: int, avgdl: float, k: int, every: bool, schema: StructType) -> DataFrame:
+def _scored(texts: DataFrame, asked: list[tuple[object, list[str]]], k: int, every: bool, schema: StructType) -> DataFrame:
     """query_id, id, score: the k best texts of each batch for each query of a block. The scores
     of a batch are one table of queries by texts, so what a frequent word adds is no row of a join."""
-    holders = _holders(rows, sorted({u for _, units in asked for u in units}))
+    units = sorted({u for _, of in asked for u in of})
+    read = _read(texts, units)
+    n_all, avgdl = read.agg(F.count(F.lit(1)), F.avg("dl")).first()
+    holders = {r["u"]: r["n"] for r in read.where("id IS NOT NULL").select(F.explode("u").alias("u")).groupBy("u").agg(F.count(F.lit(1)).alias("n")).collect()}
     idf = {u: max(math.log((n_all - n + 0.5) / (n + 0.5)), LEAST_IDF) for u, n in holders.items()}
-    sent = rows.sparkSession.sparkContext.broadcast((asked, idf))
+    sent = texts.sparkSession.sparkContext.broadcast((asked, units, idf))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, idf = sent.value
-        found = _counter(idf)
-        wanted = np.array([len(units) for _, units in asked])
-        places: dict[str, Counter] = {}
-        for i, (_, units) in enumerate(asked):
-            for u in units:
-                places.setdefault(u, Counter())[i] += 1
+        asked, units, idf = sent.value
+        number = {u: i for i, u in enumerate(units)}
+        wanted = np.array([len(of) for _, of in asked])
+        places: dict[int, Counter] = {}
+        for i, (_, of) in enumerate(asked):
+            for u in of:
+                places.setdefault(number[u], Counter())[i] += 1
         by_unit = {u: (np.fromiter(c.keys(), np.int64), np.fromiter(c.values(), np.float64)) for u, c in places.items() if u in idf}
         step = max(1, CELLS // len(asked))
         for whole in batches:
             for start in range(0, whole.num_rows, step):
                 b = whole.slice(start, step)
-                base = K1 * (1 - B + B * np.asarray(b.column(2).to_pylist(), np.float64) / avgdl)
-                spots: dict[str, tuple[list[int], list[int]]] = {}
-                for j, t in enumerate(b.column(1).to_pylist()):
-                    for u, tf in found(_WORD.findall(t)).items():
-                        at, tfs = spots.setdefault(u, ([], []))
-                        at.append(j)
-                        tfs.append(tf)
+                base = K1 * (1 - B + B * b.column(1).to_numpy(zero_copy_only=False).astype(np.float64) / avgdl)
+                lists = b.column(2)
+                row = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+                unit, tfs = lists.flatten().to_numpy(), b.column(3).flatten().to_numpy().astype(np.float64)
+                order = np.argsort(unit, kind="stable")
+                row, unit, tfs = row[order], unit[order], tfs[order]
                 table = np.zeros((len(asked), b.num_rows))
                 met = np.zeros((len(asked), b.num_rows), np.int32) if every else None
-                for u in sorted(spots):
-                    at, tf = np.array(spots[u][0]), np.array(spots[u][1], np.float64)
+                starts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]]) if len(unit) else []
+                for s, e in zip(starts, [*starts[1:], len(unit)]):
+                    at, tf, u = row[s:e], tfs[s:e], int(unit[s])
                     part = idf[u] * tf * (K1 + 1) / (tf + base[at])
                     queries, times = by_unit[u]
                     table[np.ix_(queries, at)] += times[:, None] * part
@@ -123,9 +136,10 @@ def _scored(rows: DataFrame, asked: list[tuple[object, list[str]]], n_all: int,
                 )
 
     query_type = to_arrow_type(schema["query_id"].dataType)
-    return rows.mapInArrow(score, schema)
+    return read.where("id IS NOT NULL AND size(u) > 0").mapInArrow(score, schema)
 
 
+@for_workers
 def bm25(
     queries: DataFrame, texts: DataFrame, k: int, *, query_id: str, query: str, text_id: str, text: Column, mode: str = "and"
 ) -> DataFrame:
@@ -136,12 +150,11 @@ def bm25(
     idf = max(ln((N - n + 0.5) / (n + 0.5)), 1e-6); lengths are in words, statistics are over
     all texts. Ties go to the smaller id. Queries without a word find nothing.
 
-    Queries are sent to the workers in blocks of bounded size; texts are read twice per block.
+    Queries are sent to the workers in blocks of bounded size; texts are read once per block,
+    for the numbers of the block's words, from which statistics and scores are made.
     """
     units = queries.select(F.col(query_id).alias("query_id"), F.explode(query_units(F.col(query))).alias("unit"))
-    length = F.size(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), 0)).cast("double")
-    n_all, avgdl = texts.agg(F.count(F.lit(1)), F.avg(length)).first()
-    rows = texts.select(F.col(text_id).alias("id"), F.lower(text).alias("t"), length.alias("dl")).where("id IS NOT NULL AND t IS NOT NULL")
+    rows = texts.select(F.col(text_id).alias("id"), F.lower(text).alias("t"))
     schema = StructType([StructField("query_id", units.schema["query_id"].dataType), StructField("id", rows.schema["id"].dataType), StructField("score", DoubleType())])
     found = rows.sparkSession.createDataFrame([], schema)
     block: list[tuple[object, list[str]]] = []
@@ -150,9 +163,9 @@ def bm25(
         block.append((r["query_id"], r["units"]))
         size += len(r["units"])
         if size >= UNITS_PER_PASS:
-            found = found.unionByName(_scored(rows, block, n_all, avgdl, k, mode == "and", schema))
+            found = found.unionByName(_scored(rows, block, k, mode == "and", schema))
             block, size = [], 0
     if block:
-        found = found.unionByName(_scored(rows, block, n_all, avgdl, k, mode == "and", schema))
+        found = found.unionByName(_scored(rows, block, k, mode == "and", schema))
     order = Window.partitionBy("query_id").orderBy(F.floor(F.col("score") * 1e9).desc(), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))

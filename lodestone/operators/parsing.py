@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import for_workers
+
 # ---------------------------------------------------------------- model answers
 
 _DECODER = json.JSONDecoder()
@@ -66,6 +68,7 @@ PAIR_SCHEMA = "item int, question string, answer string, type string, relevance
 _RATINGS = ("relevance", "specificity", "self_contained", "thesis_relevance")
 
 
+@for_workers
 def extracted_pairs(answers: DataFrame, answer_id: str, raw: str, least: int = 10) -> DataFrame:
     """id and the question-answer pairs in raw model answers, at least ``least`` characters
     each; ratings clamped to 1..5 (3 where there is none), overall the least of the first three."""
@@ -147,7 +150,7 @@ def reference_list(text: str) -> list[str]:
 
 def _entry_parts(entry: str) -> list[tuple[str, bool]]:
     """The parts of an entry and whether each is quoted: quotations stand for themselves, the
-    rest is parted at full stops that end a word and no initial, before a capital."""
+    rest is parted at full stops that end a word and no initial, before a capital or a year."""
     parts: list[tuple[str, bool]] = []
     begin = at = 0
     while at < len(entry):
@@ -157,8 +160,8 @@ def _entry_parts(entry: str) -> list[tuple[str, bool]]:
             parts += [(entry[begin:at], False), (entry[at + 1 : end], True)]
             at = begin = end + 1
             continue
-        ahead = entry[at + 1 :].lstrip()[:1]
-        if c == "." and entry[at + 1 : at + 2].isspace() and ahead.isupper():
+        ahead = entry[at + 1 : at + 8].lstrip()[:4]
+        if c == "." and entry[at + 1 : at + 2].isspace() and (ahead[:1].isupper() or _year_of(ahead)):
             word = entry[:at].rsplit(None, 1)[-1] if entry[:at].strip() else ""
             if len(word) > 1 and word[-2:].isalnum() and not word[-1].isupper():
                 parts.append((entry[begin:at], False))
@@ -204,6 +207,7 @@ def reference_fields(entry: str) -> dict[str, str]:
     return {"authors": authors, "title": parts[at][0], "year": _year_of(entry), "venue": venue}
 
 
+@for_workers
 def reference_rows(texts: DataFrame, text_id: str, text: str) -> DataFrame:
     """id, entry, authors, title, year, venue: the references in texts that are such lists."""
     kind = texts.schema[text_id].dataType.simpleString()
@@ -296,6 +300,7 @@ def _outline(source: str) -> list[dict]:
     return out
 
 
+@for_workers
 def code_outline(files: DataFrame) -> DataFrame:
     """file, kind, name, signature, doc, members, fields, components: the classes and functions
     of Python files (file, source). Files that do not parse have no rows."""
@@ -321,6 +326,7 @@ def flattened(value: object, prefix: str = "") -> dict[str, str]:
     return {prefix: value if isinstance(value, str) else json.dumps(value)}
 
 
+@for_workers
 def run_settings(files: DataFrame) -> DataFrame:
     """file, key, value: the settings of JSON (or, where a parser is there, YAML) files."""
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+from lodestone.session import for_workers
+
 #: Query vectors that are compared in one pass over the vectors.
 QUERIES_PER_PASS = 4096
 
@@ -48,6 +50,7 @@ def _kept(q: np.ndarray, d: np.ndarray, v: np.ndarray, keep: int, count: int) ->
     return q, d, v, bound
 
 
+@for_workers
 def nearest(
     queries: DataFrame,
     vectors: DataFrame,
@@ -119,6 +122,7 @@ def cosine_similarity(a, b):
     return dot / (norm(a) * norm(b))
 
 
+@for_workers
 def nearest_within(queries: DataFrame, vectors: DataFrame, *, query_id: str, vector_id: str, group: str, vector: str = "embedding") -> DataFrame:
     """query_id, compared, distance: how many vectors of its own group each query was compared
     with, and the least distance. A query's own vector (the same id) does not count; queries

@@ -305,11 +305,11 @@ SELECT split_part(k, ':', 1) AS kind, count(*) AS candidates, CAST(sum(n - 1) AS
         + ''') / 8::DOUBLE, 1.0) + 0.4::DOUBLE * least(least(log2(1 + coalesce(citation_count, 0)) / 15, 1.0)
   + CASE WHEN year >= 2024 THEN 0.15::DOUBLE WHEN year >= 2022 THEN 0.08 ELSE 0 END, 1.0)''')} AS score FROM papers WHERE trim(paper_id) <> '')
 SELECT paper_key, max(score) AS score FROM s GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100""",
-    "self_retrieval_metrics": f"""WITH {_bm25_sql("SELECT row_id AS query_id, array_to_string(regexp_extract_all(lower(question), '[a-z]{7,}')[1:4], ' ') AS query FROM nuggets WHERE row_id % 50 = 0", "nuggets", "row_id", 50, "or")},
+    "self_retrieval_metrics": f"""WITH {_bm25_sql("SELECT row_id AS query_id, question AS query FROM nuggets WHERE row_id % 50 = 0", "nuggets", "row_id", 50, "or")},
 r AS (SELECT coalesce(lower(type), '(none)') AS type, rank FROM nuggets x LEFT JOIN bm ON bm.query_id = x.row_id AND bm.id = x.row_id WHERE x.row_id % 50 = 0)
 SELECT coalesce(type, '(all)') AS type, count(*) AS queries, {", ".join(half_up_sql(f"avg(CASE WHEN rank <= {k} THEN 1.0 ELSE 0.0 END)") + f" AS recall_{k}" for k in (1, 5, 10, 20, 50))},
   {half_up_sql("avg(coalesce(1.0::DOUBLE / rank, 0))")} AS mrr FROM r GROUP BY ROLLUP (type) HAVING count(*) >= 3 OR grouping(type) = 1""",
-    "canary_recall": f"""WITH {_bm25_sql("SELECT item_id AS query_id, array_to_string(regexp_extract_all(lower(text), '[a-z]{8,}')[1:3], ' ') AS query FROM canary_items", "documents", "doc_id", 20, "and").replace("(coalesce(question, '') || ' ' || coalesce(answer, ''))", "coalesce(text, '')")},
+    "canary_recall": f"""WITH {_bm25_sql("SELECT item_id AS query_id, array_to_string(regexp_extract_all(text, '[\\p{L}\\p{N}_]{3,}'), ' ') AS query FROM canary_items", "documents", "doc_id", 20, "and").replace("(coalesce(question, '') || ' ' || coalesce(answer, ''))", "coalesce(text, '')")},
 h AS (SELECT DISTINCT query_id FROM bm)
 SELECT mode, count(*) AS items, count(h.query_id) AS with_hits FROM canary_items LEFT JOIN h ON h.query_id = item_id GROUP BY 1""",
     "stratified_sample": f"""WITH {N}, t AS (SELECT nugget_id, coalesce(lower(type), '(none)') AS type, md5('42:' || nugget_id) AS r FROM n),

@@ -293,9 +293,9 @@ bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY floor(score *
 _FUSED = f"""
 vec AS (
   SELECT q.vec_id AS query_id, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_E}, e.vec_id) AS rank
-  FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id % 50 = 0 AND q.vec_id > 0 QUALIFY rank <= 30
-),{_bm25_sql('''SELECT row_id AS query_id, array_to_string(regexp_extract_all(lower(question), '[a-z]{7,}')[1:3], ' ') AS query
-  FROM nuggets WHERE row_id % 50 = 0 AND row_id IN (SELECT vec_id FROM embeddings)''', "nuggets", "row_id", 30, "or")},
+  FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id % 50 = 0 AND q.vec_id > 0 QUALIFY rank <= {N_RETRIEVE}
+),{_bm25_sql('''SELECT row_id AS query_id, question AS query
+  FROM nuggets WHERE row_id % 50 = 0 AND row_id > 0 AND row_id IN (SELECT vec_id FROM embeddings)''', "nuggets", "row_id", N_RETRIEVE, "or")},
 fused AS (
   SELECT query_id, id, sum(1.0::DOUBLE / (rank - 1 + 30)) AS rrf, count(*) AS overlap
   FROM (SELECT query_id, id, rank FROM vec UNION ALL SELECT query_id, id, rank FROM bm) GROUP BY 1, 2
@@ -385,10 +385,10 @@ w AS (SELECT row_id, list_distinct(regexp_extract_all(lower({_QA}), '[a-z0-9]+')
 c AS (
   SELECT f.query_id, f.id, f.rrf, len(list_intersect(a.w, b.q)) / greatest(len(b.q), 1)::DOUBLE AS ce
   FROM fused f JOIN w a ON a.row_id = f.id JOIN w b ON b.row_id = f.query_id
-), h AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, id) <= 20)
-SELECT query_id, id AS row_id, {half_up_sql('''0.4::DOUBLE * rrf + 0.6::DOUBLE * ((ce - min(ce) OVER w) /
-  CASE WHEN max(ce) OVER w > min(ce) OVER w THEN max(ce) OVER w - min(ce) OVER w ELSE 1 END) * max(rrf) OVER w''', 6)} AS blended
-FROM h WINDOW w AS (PARTITION BY query_id)""",
+), h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, id) <= {R.RERANK_TOP} AS head FROM c)
+SELECT query_id, id AS row_id, {half_up_sql('''CASE WHEN NOT head THEN rrf ELSE 0.4::DOUBLE * rrf + 0.6::DOUBLE * ((ce - min(ce) OVER w) /
+  CASE WHEN max(ce) OVER w > min(ce) OVER w THEN max(ce) OVER w - min(ce) OVER w ELSE 1 END) * max(rrf) OVER w END''', 6)} AS blended
+FROM h WINDOW w AS (PARTITION BY query_id, head)""",
     "pinned_select": f"""
 WITH {N}, {P}, x AS (
   SELECT nugget_id, lower(trim(paper_id)) AS paper_key, lower(coalesce(type, '')) AS type,

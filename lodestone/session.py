@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,21 @@ def show_workers_the_package(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join(x for x in (path, root) if x)
 
 
+def for_workers(f: Callable) -> Callable:
+    """An operator whose Python parts run in workers: they get to know the package before the
+    operator's plan takes the workers' environment down."""
+
+    @wraps(f)
+    def called(*args, **kwargs):
+        for a in (*args, *kwargs.values()):
+            if isinstance(a, DataFrame):
+                show_workers_the_package(a.sparkSession)
+                break
+        return f(*args, **kwargs)
+
+    return called
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point checkpoints at the cluster's shared folder.
 
