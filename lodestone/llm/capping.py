@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.session import cut, written
+from lodestone.session import cut, for_workers, written
 
 #: Score given to records whose score is null, NaN or out of range.
 WORST = float("-inf")
@@ -141,6 +141,7 @@ def _tie_cutoffs(ties: DataFrame) -> DataFrame:
         )
 
 
+@for_workers
 def cap_per_contributor(
     records: DataFrame,
     owner: Column,

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import languages
 from lodestone.llm.sampling import distinct_sample
 from lodestone.llm.sentences import SentenceModel, is_beginning, train
-from lodestone.session import cut
+from lodestone.session import cut, for_workers
 
 # Stand-ins for an answer, without case, spaces, brackets and final stops.
 STAND_INS = {
@@ -313,6 +313,7 @@ def fitted_sentences(rows: DataFrame, answer: str, sample: int = SAMPLE_ANSWERS)
     return train(distinct_sample(chosen, F.col(answer), sample))
 
 
+@for_workers
 def pair_defects(pairs: DataFrame, record_id: Column, question: Column, answer: Column) -> DataFrame:
     """id, defect: the records with a defective answer, one defect each, each once.
 

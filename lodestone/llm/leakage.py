@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.llm.lookalikes import _quoted, duckdb_map, form_sql
-from lodestone.session import cut
+from lodestone.session import cut, for_workers
 
 RUN = 12
 BLOCK = 3
@@ -150,6 +150,7 @@ def _passes(items: DataFrame, item_id: Column, text: Column, run: int) -> Iterat
         yield held
 
 
+@for_workers
 def leaked_items(
     documents: DataFrame, doc_id: Column, text: Column, items: DataFrame, item_id: Column, item_text: Column, run: int = RUN
 ) -> DataFrame:

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import for_workers
+
 # Characters and what they are mapped to.
 SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 NO_WIDTH = (
@@ -83,6 +85,7 @@ def duckdb_map(select: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
+@for_workers
 def unified_forms(records: DataFrame, record_id: Column, text: Column) -> DataFrame:
     """id, form: the consistent form of every text (null for null, '' for '').
 
@@ -93,6 +96,7 @@ def unified_forms(records: DataFrame, record_id: Column, text: Column) -> DataFr
     return rows.mapInArrow(duckdb_map(f"SELECT id, {form_sql('text')} AS form FROM batch"), f"id {kind}, form string")
 
 
+@for_workers
 def look_classes(records: DataFrame, record_id: Column, text: Column) -> DataFrame:
     """id, look, raw: hashes of the consistent form and of the text itself, for texts that
     are not blank (null, empty, or only spaces and characters without width).

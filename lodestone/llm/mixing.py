@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lodestone.session import cut
+from lodestone.session import cut, for_workers
 
 #: The tokenizer's vocabulary file where none is given.
 TOKENIZER = os.environ.get("LODESTONE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
@@ -31,6 +31,7 @@ MOST_PATTERNS = 200_000
 PLACED_AT_ONCE = 20_000
 
 
+@for_workers
 def token_counts(records: DataFrame, *columns: Column, text: Column, tokenizer: str = TOKENIZER) -> DataFrame:
     """The given columns and ``tokens``, the number of tokens of the text under a public
     tokenizer's vocabulary file (null and empty texts have 0)."""
@@ -177,6 +178,7 @@ def plan(patterns: dict[tuple, int], weights: dict[str, float], repeats: dict[st
     return _quotas(low, held), best
 
 
+@for_workers
 def mix_sources(
     documents: DataFrame,
     doc_id: Column,

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.sampling import distinct_sample
-from lodestone.session import cut
+from lodestone.session import cut, for_workers
 
 # What recognition makes of which characters.
 CONFUSIONS = {
@@ -587,6 +587,7 @@ def company(n: int, clean: int, ordinary: float, misread: float) -> float:
     return clean * math.log(p / q) + (n - clean) * math.log((1 - p) / (1 - q)) if p < q else 0.0
 
 
+@for_workers
 def fit(chunks: DataFrame, paper: Column, chunk: Column, text: Column) -> ScanModel:
     """Counts over all chunks, the trained models, corrections and repeated lines."""
     rows = chunks.select(
@@ -684,6 +685,7 @@ def _without_series(forms: set[str]) -> Callable[[Iterator[pa.RecordBatch]], Ite
     return run
 
 
+@for_workers
 def chunk_noise(chunks: DataFrame, paper: Column, chunk: Column, text: Column, model: ScanModel | None = None) -> DataFrame:
     """paper, chunk, noise: the traces of the printed page in each chunk, one row per kind.
 
@@ -728,6 +730,7 @@ def chunk_noise(chunks: DataFrame, paper: Column, chunk: Column, text: Column, m
     return sure.unionByName(again.select(*cols)).unionByName(serial.select(*cols)).distinct()
 
 
+@for_workers
 def repaired_chunks(chunks: DataFrame, paper: Column, chunk: Column, text: Column, model: ScanModel | None = None) -> DataFrame:
     """paper, chunk, text: every chunk as continuous readable paragraphs, a row per input row.
 
