@@ -212,6 +212,23 @@ def self_retrieval_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return g.withColumn("type", F.coalesce("type", F.lit("(all)"))).where("queries >= 3 OR type = '(all)'")
 
 
+#: Rank buckets of the self-retrieval report: name, first and last rank.
+RANK_BUCKETS = (("rank_1", 1, 1), ("rank_2_5", 2, 5), ("rank_6_10", 6, 10), ("rank_11_20", 11, 20), ("rank_21_50", 21, 50))
+
+
+def self_retrieval_ranks(spark: SparkSession, folder: str) -> DataFrame:
+    """Where every 50th question finds its own nugget, by section (those with three questions
+    or more): rank buckets, and mean and median rank of those found."""
+    sections = read_table(spark, folder, "nuggets").select(F.col("row_id").alias("query_id"), F.coalesce("section", F.lit("(none)")).alias("section"))
+    r = _own_ranks(spark, folder).select("query_id", "rank").join(sections, "query_id")
+    buckets = [F.count(F.when(F.col("rank").between(a, b), True)).alias(name) for name, a, b in RANK_BUCKETS]
+    g = r.groupBy("section").agg(
+        F.count(F.lit(1)).alias("queries"), *buckets, F.count(F.when(F.col("rank").isNull(), True)).alias("not_found"),
+        half_up(F.avg("rank")).alias("mean_rank"), half_up(F.expr("percentile(rank, 0.5)")).alias("median_rank"),
+    )
+    return g.where("queries >= 3")
+
+
 def canary_recall(spark: SparkSession, folder: str) -> DataFrame:
     """Held-out items by mode: for how many all their words of 3 or more letters find a document."""
     items = read_table(spark, folder, "canary_items")
@@ -309,6 +326,11 @@ SELECT paper_key, max(score) AS score FROM s GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT
 r AS (SELECT coalesce(lower(type), '(none)') AS type, rank FROM nuggets x LEFT JOIN bm ON bm.query_id = x.row_id AND bm.id = x.row_id WHERE x.row_id % 50 = 0)
 SELECT coalesce(type, '(all)') AS type, count(*) AS queries, {", ".join(half_up_sql(f"avg(CASE WHEN rank <= {k} THEN 1.0 ELSE 0.0 END)") + f" AS recall_{k}" for k in (1, 5, 10, 20, 50))},
   {half_up_sql("avg(coalesce(1.0::DOUBLE / rank, 0))")} AS mrr FROM r GROUP BY ROLLUP (type) HAVING count(*) >= 3 OR grouping(type) = 1""",
+    "self_retrieval_ranks": f"""WITH {_bm25_sql("SELECT row_id AS query_id, question AS query FROM nuggets WHERE row_id % 50 = 0", "nuggets", "row_id", 50, "or")},
+r AS (SELECT coalesce(section, '(none)') AS section, rank FROM nuggets x LEFT JOIN bm ON bm.query_id = x.row_id AND bm.id = x.row_id WHERE x.row_id % 50 = 0)
+SELECT section, count(*) AS queries, {", ".join(f"count(*) FILTER (rank BETWEEN {a} AND {b}) AS {name}" for name, a, b in RANK_BUCKETS)},
+  count(*) FILTER (rank IS NULL) AS not_found, {half_up_sql("avg(rank)")} AS mean_rank, {half_up_sql("median(rank)")} AS median_rank
+FROM r GROUP BY 1 HAVING count(*) >= 3""",
     "canary_recall": f"""WITH {_bm25_sql("SELECT item_id AS query_id, array_to_string(regexp_extract_all(text, '[\\p{L}\\p{N}_]{3,}'), ' ') AS query FROM canary_items", "documents", "doc_id", 20, "and").replace("(coalesce(question, '') || ' ' || coalesce(answer, ''))", "coalesce(text, '')")},
 h AS (SELECT DISTINCT query_id FROM bm)
 SELECT mode, count(*) AS items, count(h.query_id) AS with_hits FROM canary_items LEFT JOIN h ON h.query_id = item_id GROUP BY 1""",
@@ -322,6 +344,6 @@ QUERIES = {
     for f in (
         fixed_chunks, flex_chunks, section_islands, jaccard_pairs, greedy_dedup, near_dup_vs_existing, fuzzy_titles,
         change_detection, fingerprints, incremental_upsert, reuse_embeddings, quality_flag, ledger_upsert, override_merge,
-        quality_apply, renumbered, candidate_keys, keyword_authority_score, self_retrieval_metrics, canary_recall, stratified_sample,
+        quality_apply, renumbered, candidate_keys, keyword_authority_score, self_retrieval_metrics, self_retrieval_ranks, canary_recall, stratified_sample,
     )
 }

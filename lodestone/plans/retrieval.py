@@ -112,6 +112,21 @@ def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
     return f.select("query_id", F.col("id").alias("row_id"), half_up(F.col("rrf"), 6).alias("rrf"), "overlap")
 
 
+#: Weight of the list that a hypothetical passage finds.
+PASSAGE_WEIGHT = 1.0
+
+
+def passage_fusion(spark: SparkSession, folder: str) -> DataFrame:
+    """Fused lists with one more: that of a hypothetical answer, found by vector alone and
+    without a type. The passage's vector is that of the following nugget, as no model answers."""
+    v = _vectors(spark, folder)
+    asked = v.where("vec_id % 50 = 0 AND vec_id > 0").select(F.col("vec_id").alias("query_id"), (F.col("vec_id") + 1).alias("next"))
+    q = v.join(asked, F.col("vec_id") == F.col("next")).select("query_id", "embedding")
+    passage = nearest(q, v, N_RETRIEVE).select("query_id", F.col("vec_id").alias("id"), F.lit("passage").alias("list"), "rank", F.lit(PASSAGE_WEIGHT).alias("weight"))
+    f = R.fuse(_lists(spark, folder).unionByName(passage))
+    return f.select("query_id", F.col("id").alias("row_id"), half_up(F.col("rrf"), 6).alias("rrf"), "overlap")
+
+
 def _boosted(spark: SparkSession, folder: str) -> DataFrame:
     mode = R.MODES["background"]
     f = R.fuse(_lists(spark, folder))
@@ -377,6 +392,13 @@ SELECT id AS nugget_id, {half_up_sql("score")} AS score, rank FROM bm""",
 WITH {N}, {_bm25_sql("SELECT feedback_id AS query_id, query FROM nugget_feedback WHERE feedback_id % 50 = 0 AND trim(query) <> ''", "n", "nugget_id", 10, "and")}
 SELECT query_id, id AS nugget_id, {half_up_sql("score")} AS score, rank FROM bm""",
     "rrf_fusion": f"WITH {_FUSED} SELECT query_id, id AS row_id, {half_up_sql('rrf', 6)} AS rrf, overlap FROM fused",
+    "passage_fusion": f"""WITH {_FUSED}, ps AS (
+  SELECT q.vec_id - 1 AS query_id, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_E}, e.vec_id) AS rank
+  FROM embeddings q CROSS JOIN embeddings e WHERE (q.vec_id - 1) % 50 = 0 AND q.vec_id > 1 AND q.vec_id - 1 IN (SELECT vec_id FROM embeddings) QUALIFY rank <= {N_RETRIEVE}
+), u AS (
+  SELECT query_id, id, 1.0::DOUBLE / (rank - 1 + 30) AS part FROM vec UNION ALL SELECT query_id, id, 1.0::DOUBLE / (rank - 1 + 30) FROM bm
+  UNION ALL SELECT query_id, id, {PASSAGE_WEIGHT}::DOUBLE / (rank - 1 + 30) FROM ps
+) SELECT query_id, id AS row_id, {half_up_sql('sum(part)', 6)} AS rrf, count(*) AS overlap FROM u GROUP BY 1, 2""",
     "hybrid_boosted": _BOOSTED + f"SELECT query_id, id AS row_id, {half_up_sql('score', 6)} AS score FROM boosted",
     "rerank_blend": f"""
 WITH {_FUSED},
@@ -421,6 +443,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         vector_topk_enriched, vector_year_filter, vector_multi_query, knn_self_join, bm25_search, bm25_batch, rrf_fusion,
-        hybrid_boosted, rerank_blend, diversity_select, pinned_select, query_classify, paper_shortcut, prompt_sources, anchor_similarity,
+        hybrid_boosted, passage_fusion, rerank_blend, diversity_select, pinned_select, query_classify, paper_shortcut, prompt_sources, anchor_similarity,
     )
 }

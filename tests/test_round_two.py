@@ -171,3 +171,19 @@ def test_kept_ratings_survive_a_restart(spark, tmp_path):
     assert latest() == {("a", "q"): -1, ("b", "q"): 1}
     add([(5, "a", "q", 0, None), (6, "c", "r", 1, "2024-02-01"), (7, "b", "q", 0, "2024-03-01")])
     assert latest() == {("a", "q"): -1, ("b", "q"): 0, ("c", "r"): 1}
+
+
+def test_index_records(spark):
+    from lodestone.sources import records
+
+    search = '{"data": [{"paperId": "a", "title": "One", "year": 2020, "authors": [{"name": "A. B"}], "externalIds": {"ArXiv": "2001.00001", "DOI": "10.1/X"}, "citationCount": 3}, {"paperId": "b", "title": " "}]}'
+    batch = '[{"paperId": "c", "title": "Three", "venue": "arXiv 2002.00002v3"}]'
+    cited = '{"data": [{"citedPaper": {"paperId": "d", "title": "Four"}}, {"citingPaper": {"paperId": "e", "title": "Five"}}]}'
+    df = spark.createDataFrame([(search,), (batch,), (cited,), ("{broken",), (None,)], "raw string")
+    got = {r.record_id: r for r in records.scholar_records(df, "raw").collect()}
+    assert set(got) == set("acde") and got["a"].authors == ["A. B"] and got["a"].doi == "10.1/x" and got["c"].arxiv == "2002.00002" and got["d"].citations == 0
+    works = '{"results": [{"id": "W1", "display_name": "Work", "publication_year": 2021, "doi": "https://doi.org/10.2/Y", "cited_by_count": 5, "abstract_inverted_index": {"of": [1], "Work": [0], "art": [2]}, "authorships": [{"author": {"display_name": "C"}}], "primary_location": {"landing_page_url": "https://arxiv.org/abs/2003.00003", "source": {"display_name": "arXiv"}}}]}'
+    r = records.open_records(spark.createDataFrame([(works,), ("[]",)], "raw string"), "raw").collect()
+    assert len(r) == 1 and (r[0].abstract, r[0].doi, r[0].arxiv, r[0].authors, r[0].citations) == ("Work of art", "10.2/y", "2003.00003", ["C"], 5)
+    ids = spark.createDataFrame([("1401_65034",), ("x",), ("1401.6503v2",)], "i string").select(records.arxiv_id(F.col("i"))).collect()
+    assert [x[0] for x in ids] == ["1401.65034", None, "1401.6503"]
