@@ -420,8 +420,9 @@ def train_joiner(texts: list[str]) -> Perceptron:
 class PageReader:
     """Applies editor, joiner and furniture rules to chunks."""
 
-    def __init__(self, frequent: dict[str, int], places: Perceptron | None, joiner: Perceptron, corrections: dict[str, str]):
-        self.frequent, self.places, self.joiner, self.fix = frequent, places, joiner, corrections
+    def __init__(self, frequent: dict[str, int], corrections: dict[str, str], places: Perceptron | None = None, joiner: Perceptron | None = None):
+        self.frequent, self.fix, self.places = frequent, corrections, places
+        self.joiner = joiner or train_joiner([])
 
     def own_hyphen(self, a: str, b: str) -> bool:
         """Whether the hyphen between two halves is the word's own, by what is frequent."""
@@ -701,7 +702,7 @@ def chunk_noise(chunks: DataFrame, paper: Column, chunk: Column, text: Column, m
     ).where("text IS NOT NULL")
     out = None
     for block in _passes(model):
-        sent = rows.sparkSession.sparkContext.broadcast((model.frequent, model.places, model.joiner, block))
+        sent = rows.sparkSession.sparkContext.broadcast((model.frequent, block, model.places, model.joiner))
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             reader = PageReader(*sent.value)
@@ -748,7 +749,7 @@ def repaired_chunks(chunks: DataFrame, paper: Column, chunk: Column, text: Colum
     for forms in _series_passes(model):
         rows = rows.mapInArrow(_without_series(forms), schema)
     for block in _passes(model):
-        sent = rows.sparkSession.sparkContext.broadcast((model.frequent, model.places, model.joiner, block))
+        sent = rows.sparkSession.sparkContext.broadcast((model.frequent, block, model.places, model.joiner))
 
         def repair(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             reader = PageReader(*sent.value)
