@@ -287,7 +287,22 @@ r(k, kept) AS (
   FROM r LEFT JOIN g ON g.b = r.k + 1 WHERE r.k < (SELECT count(*) FROM o)
 ), final AS (SELECT kept FROM r ORDER BY k DESC LIMIT 1)
 SELECT o.id AS nugget_id FROM o, final WHERE NOT list_contains(final.kept, o.k)""",
-    "near_dup_vs_existing": f"""WITH {N}, {_PAIRS} SELECT DISTINCT CASE WHEN la THEN id_a ELSE id_b END AS nugget_id FROM pairs WHERE la <> lb AND similarity > 0.75""",
+    "near_dup_vs_existing": f"""WITH RECURSIVE {N}, {_PAIRS},
+near AS (SELECT id_a, id_b, la, lb FROM pairs WHERE (la OR lb) AND similarity > 0.75),
+known AS (SELECT DISTINCT CASE WHEN la THEN id_a ELSE id_b END AS id FROM near WHERE la <> lb),
+fresh AS (SELECT id_a, id_b FROM near WHERE la AND lb AND id_a NOT IN (SELECT id FROM known) AND id_b NOT IN (SELECT id FROM known)),
+nodes AS (SELECT DISTINCT id FROM (SELECT id_a AS id FROM fresh UNION ALL SELECT id_b FROM fresh)),
+o AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM nodes),
+e AS (SELECT x.k AS a, y.k AS b FROM fresh JOIN o x ON x.id = id_a JOIN o y ON y.id = id_b),
+g AS (SELECT b, list(a) AS before FROM e GROUP BY 1),
+r(k, kept) AS (
+  SELECT 0::BIGINT, []::BIGINT[]
+  UNION ALL
+  SELECT r.k + 1, CASE WHEN list_has_any(coalesce(g.before, []::BIGINT[]), r.kept) THEN r.kept ELSE list_append(r.kept, r.k + 1) END
+  FROM r LEFT JOIN g ON g.b = r.k + 1 WHERE r.k < (SELECT count(*) FROM o)
+), final AS (SELECT kept FROM r ORDER BY k DESC LIMIT 1)
+SELECT id AS nugget_id FROM known
+UNION ALL SELECT o.id FROM o, final WHERE NOT list_contains(final.kept, o.k)""",
     "change_detection": f"""WITH {_LOADS}, o AS (SELECT paper_key, {_SUMS.replace('h,', _HASH + ',')} FROM old GROUP BY 1),
 w AS (SELECT paper_key, {_SUMS.replace('h,', _HASH + ',')} FROM new GROUP BY 1)
 SELECT coalesce(o.paper_key, w.paper_key) AS paper_key, CASE WHEN o.n IS NULL THEN 'new' WHEN w.n IS NULL THEN 'deleted'
