@@ -12,6 +12,7 @@ from lodestone.operators.lexical import bm25
 from lodestone.plans.base import N, P, half_up_sql, nuggets, papers
 from lodestone.plans.curation import SPLIT_AT
 from lodestone.plans.retrieval import _bm25_sql, qa
+from lodestone.plans.textual import _SENT
 from lodestone.session import half_up, key_of, read_table
 
 #: Acronyms that the manuscripts' glossary defines: the kinds of nuggets.
@@ -245,6 +246,11 @@ SELECT mode, count(*) AS queries, {half_up_sql("avg(found / expected)")} AS mean
   count(*) FILTER (found = 0) AS zero FROM er JOIN fq USING (query_id) GROUP BY 1""",
     "expected_missing": f"""WITH {_EXPECTED}
 SELECT query_id, item AS paper_key FROM (SELECT query_id, item FROM ex EXCEPT SELECT query_id, item FROM got)""",
+    "citations_for_text": f"""WITH dd AS (SELECT doc_id, {_SENT} AS s FROM documents WHERE text IS NOT NULL AND doc_id % 50 = 0),
+sen AS (SELECT doc_id || ':' || (i - 1) AS query_id, doc_id, CAST(i - 1 AS BIGINT) AS sentence_no, s[i] AS query FROM dd, unnest(range(1, len(s) + 1)) AS r(i)
+  WHERE len(regexp_extract_all(s[i], '\\S+')) >= 5),
+{_bm25_sql("SELECT query_id, query FROM sen", "nuggets", "row_id", 5, "or").strip()}
+SELECT doc_id, sentence_no, rank, nugget_id FROM bm JOIN sen USING (query_id) JOIN nuggets x ON x.row_id = bm.id""",
     "find_papers_any": f"""WITH {P} SELECT paper_key, year FROM p
 WHERE (coalesce(title ILIKE '%grid%', false) OR coalesce(authors ILIKE '%grid%', false) OR coalesce(paper_id ILIKE '%grid%', false)) AND year >= 2016""",
     "preferred_nuggets": f"""WITH {N}, k AS (
