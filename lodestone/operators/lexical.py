@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
-from lodestone.session import cut, for_workers
+from lodestone.session import for_workers, written
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Distinct search units that are counted in one pass over the texts.
@@ -77,11 +77,25 @@ def _read(texts: DataFrame, units: list[str]) -> DataFrame:
                 [b.column(0), pa.array(lengths, pa.int32()), pa.array(us, pa.list_(pa.int32())), pa.array(tfs, pa.list_(pa.int32()))], names=["id", "dl", "u", "tf"]
             )
 
-    return cut(texts.mapInArrow(read, f"id {id_type.simpleString()}, dl int, u array<int>, tf array<int>"))
+    return written(texts.mapInArrow(read, f"id {id_type.simpleString()}, dl int, u array<int>, tf array<int>"))
+
+
+def _best(q: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int, count: int) -> tuple[np.ndarray, ...]:
+    """The k best rows of each query, ties to the smaller id, and each query's least score
+    still of use (a little less, as scores are ranked in steps of 1e-9)."""
+    order = np.lexsort((ids, -np.floor(score * 1e9), q))
+    q, score, ids = q[order], score[order], ids[order]
+    at = np.flatnonzero(np.arange(len(q)) - np.searchsorted(q, np.arange(count))[q] < k)
+    q, score, ids = q[at], score[at], ids[at]
+    sizes = np.bincount(q, minlength=count)
+    bound = np.full(count, -np.inf)
+    full = np.flatnonzero(sizes == k)
+    bound[full] = score[np.cumsum(sizes)[full] - 1] - 2e-9
+    return q, score, ids, bound
 
 
 def _scored(texts: DataFrame, asked: list[tuple[object, list[str]]], k: int, every: bool, schema: StructType) -> DataFrame:
-    """query_id, id, score: the k best texts of each batch for each query of a block. The scores
+    """query_id, id, score: the k best texts of each task for each query of a block. The scores
     of a batch are one table of queries by texts, so what a frequent word adds is no row of a join."""
     units = sorted({u for _, of in asked for u in of})
     read = _read(texts, units)
@@ -100,7 +114,10 @@ def _scored(texts: DataFrame, asked: list[tuple[object, list[str]]], k: int, eve
                 places.setdefault(number[u], Counter())[i] += 1
         by_unit = {u: (np.fromiter(c.keys(), np.int64), np.fromiter(c.values(), np.float64)) for u, c in places.items() if u in idf}
         step = max(1, CELLS // len(asked))
+        held: tuple[np.ndarray, ...] = ()
+        id_kind = None
         for whole in batches:
+            id_kind = whole.schema.field(0).type
             for start in range(0, whole.num_rows, step):
                 b = whole.slice(start, step)
                 base = K1 * (1 - B + B * b.column(1).to_numpy(zero_copy_only=False).astype(np.float64) / avgdl)
@@ -119,21 +136,18 @@ def _scored(texts: DataFrame, asked: list[tuple[object, list[str]]], k: int, eve
                     table[np.ix_(queries, at)] += times[:, None] * part
                     if every:
                         met[np.ix_(queries, at)] += times.astype(np.int32)[:, None]
-                ids = b.column(0).to_pylist()
-                order = np.empty(len(ids), np.int64)
-                order[sorted(range(len(ids)), key=ids.__getitem__)] = np.arange(len(ids))
-                qs, js = [], []
-                for i in range(len(asked)):
-                    hit = np.flatnonzero(met[i] == wanted[i] if every else table[i])
-                    if len(hit) > k:
-                        hit = hit[np.lexsort((order[hit], -np.floor(table[i, hit] * 1e9)))[:k]]
-                    qs.append(np.full(len(hit), i))
-                    js.append(hit)
-                q, j = np.concatenate(qs), np.concatenate(js)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([asked[i][0] for i in q], query_type), b.column(0).take(pa.array(j)), pa.array(table[q, j])],
-                    names=["query_id", "id", "score"],
-                )
+                q, at = np.nonzero(met == wanted[:, None]) if every else np.nonzero(table)
+                ids = b.column(0).to_numpy(zero_copy_only=False)
+                found = (q, table[q, at], (ids.astype(str) if ids.dtype == object else ids)[at])
+                if held:  # of what is worse than the k best so far nothing need be kept
+                    use = np.flatnonzero(found[1] >= held[3][q])
+                    found = tuple(np.concatenate(x) for x in zip(held[:3], (f[use] for f in found)))
+                held = _best(*found, k, len(asked))
+        if held:
+            q, scores, ids = held[:3]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([asked[i][0] for i in q], query_type), pa.array(ids.tolist(), id_kind), pa.array(scores)], names=["query_id", "id", "score"]
+            )
 
     query_type = to_arrow_type(schema["query_id"].dataType)
     return read.where("id IS NOT NULL AND size(u) > 0").mapInArrow(score, schema)
