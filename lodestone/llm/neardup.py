@@ -3,10 +3,9 @@
 A record is the set of its tokens. Each of m registers holds the largest of exponentially
 spaced, truncated minima: k = max over tokens of floor(1 - log_b h), h exponential with rate a,
 clamped to 0..q+1. Two sets share a register value with a probability near their Jaccard
-similarity. Banding has two levels: bands of registers, the same few for every record at every
-size of the collection, bring records together by a shuffle; buckets that have grown long are
-banded again within their task by the bits of the registers' values. Candidates that agree in
-enough bits are estimated jointly, by the likelihood of the numbers of registers that are
+similarity. Bands of registers, the same few for every record at every size of the collection,
+bring records together by a shuffle; within a bucket, short or long, all are compared with all
+by bits of the registers' values. Candidates that agree in enough bits are estimated jointly, by the likelihood of the numbers of registers that are
 greater, equal and smaller given both set sizes, and an exact comparison of the token sets
 confirms what the estimate leaves.
 
@@ -37,13 +36,14 @@ MISS = 0.0016
 SIGNATURE_BITS = 120
 #: Standard deviations below the threshold at which a signature or an estimate gives a pair up.
 SLACK = 3.5
-#: Buckets up to this size are compared pair by pair; longer ones are banded again.
+#: Buckets up to this size are compared many at once; longer ones in tiles, ordered by size.
 BLOCK = 2_000
+#: Rows and columns of a tile.
+TILE = (32, 4_096)
+#: Size classes of likely pairs differ by no more than this.
+APART = 9
 #: Rows of a bucket that are held in one task; longer buckets are dealt into blocks of this size.
 HELD = 200_000
-#: Second level: bits of a band, and the chance that it misses a pair in one bucket. A pair at
-#: the threshold meets in WIDTH-register buckets several times, so this adds little to MISS.
-SECOND_BITS, SECOND_MISS = 16, 0.05
 #: Classes up to this number may be broadcast (8 bytes each); more are joined by shuffle.
 BROADCAST_CLASSES = 500_000
 #: Tokens whose registers a worker keeps (2 bytes per register each).
@@ -176,7 +176,7 @@ def _likely(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, threshold: f
     a, b = x["s2"][i], x["s2"][j]
     differ = first[keep].astype(np.int64) + np.bitwise_count((a ^ b) & _BITS)
     apart = np.abs((a & _BYTE).astype(np.int64) - (b & _BYTE).astype(np.int64))
-    keep = (differ <= most_different(threshold, SIGNATURE_BITS)) & (apart <= 9) & (x["cls"][i] != x["cls"][j])
+    keep = (differ <= most_different(threshold, SIGNATURE_BITS)) & (apart <= APART) & (x["cls"][i] != x["cls"][j])
     return i[keep], j[keep]
 
 
@@ -184,15 +184,6 @@ def _pairs_of_runs(x: dict[str, np.ndarray], starts: np.ndarray, lengths: np.nda
     """Likely pairs (class, class) within runs of rows that share a band."""
     for n in np.unique(lengths[lengths > 1]):
         n = int(n)
-        if n > BLOCK:
-            for s in starts[lengths == n]:
-                for row in range(n - 1):
-                    i = np.full(n - 1 - row, s + row)
-                    i, j = _likely(x, i, np.arange(s + row + 1, s + n), threshold)
-                    if len(i):
-                        a, b = x["cls"][i], x["cls"][j]
-                        yield np.minimum(a, b), np.maximum(a, b)
-            continue
         left, right = np.triu_indices(n, 1)
         these = starts[lengths == n]
         at_once = max(1, 2_000_000 // len(left))
@@ -204,37 +195,42 @@ def _pairs_of_runs(x: dict[str, np.ndarray], starts: np.ndarray, lengths: np.nda
                 yield np.minimum(a, b), np.maximum(a, b)
 
 
-def second_bands(threshold: float) -> list[tuple[np.uint64, np.uint64]]:
-    """Masks of SECOND_BITS signature bits each, drawn by a rule: a bit of a pair at the
-    threshold agrees with probability 1/2 + J/2, and one band misses it with SECOND_MISS."""
-    agree = (0.5 + threshold / 2) ** SECOND_BITS
-    masks = []
-    for k in range(math.ceil(math.log(SECOND_MISS) / math.log(1 - agree))):
-        order = np.argsort(_mix(np.arange(SIGNATURE_BITS, dtype=np.uint64) + np.uint64(1_000 * (k + 1))))
-        chosen = [int(c) for c in order[:SECOND_BITS]]
-        masks.append((np.uint64(sum(1 << c for c in chosen if c < 64)), np.uint64(sum(1 << (c - 56) for c in chosen if c >= 64))))
-    return masks
-
-
-def _sorted_runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.argsort(key, kind="stable")
-    k = key[order]
-    starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-    return order, starts, np.diff(np.r_[starts, len(k)])
-
-
 def _once(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """One row per class."""
     _, first = np.unique(x["cls"], return_index=True)
     return {c: v[first] for c, v in x.items()}
 
 
-def _banded_again(x: dict[str, np.ndarray], threshold: float):
-    """Likely pairs of a long bucket, by bands of signature bits within the task."""
-    for m1, m2 in second_bands(threshold):
-        order, starts, lengths = _sorted_runs(_mix((x["s1"] & m1) ^ _mix(x["s2"] & m2)))
-        if lengths.max(initial=0) > 1:
-            yield from _pairs_of_runs({c: v[order] for c, v in x.items()}, starts, lengths, threshold)
+def _by_size(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    order = np.argsort(x["s2"] & _BYTE, kind="stable")
+    return {c: v[order] for c, v in x.items()}
+
+
+def _tiled(x: dict[str, np.ndarray], y: dict[str, np.ndarray] | None, threshold: float):
+    """Likely pairs (class, class) of a row of x and one of y, or of two of x: the same that a
+    comparison pair by pair finds. Rows are ordered by size class, and those whose classes are
+    too far apart are not met."""
+    x = _by_size(x)
+    other = x if y is None else _by_size(y)
+    at, size = ((z["s2"] & _BYTE).astype(np.int64) for z in (x, other))
+    begins, ends = np.searchsorted(size, at - APART), np.searchsorted(size, at + APART, side="right")
+    both = x if y is None else {c: np.concatenate([x[c], y_c]) for c, y_c in other.items()}
+    offset, most = (0 if y is None else len(at)), most_different(threshold, 64)
+    rows, columns = TILE
+    for top in range(0, len(at), rows):
+        left = x["s1"][top : top + rows, None]
+        end = ends[min(top + rows, len(at)) - 1]
+        for first in range(top if y is None else begins[top], end, columns):
+            right = other["s1"][None, first : min(first + columns, end)]
+            met = np.flatnonzero(np.bitwise_count(left ^ right) <= most)
+            i, j = np.divmod(met, right.shape[1])
+            i, j = i + top, j + first
+            if y is None:
+                i, j = i[i < j], j[i < j]
+            i, j = _likely(both, i, j + offset, threshold)
+            if len(i):
+                a, b = both["cls"][i], both["cls"][j]
+                yield np.minimum(a, b), np.maximum(a, b)
 
 
 def _columns(b: pa.RecordBatch) -> dict[str, np.ndarray]:
@@ -271,9 +267,9 @@ def _unique_pairs(groups) -> Iterator[pa.RecordBatch]:
 
 
 def _compare_sorted(threshold: float):
-    """Streams rows sorted by band key. Buckets of up to BLOCK rows are compared pair by pair,
-    those of up to HELD rows are banded again; the rows of longer ones are passed on, with
-    their key, without being gathered."""
+    """Streams rows sorted by band key. Buckets of up to HELD rows are compared all with all,
+    those of more than BLOCK in tiles; the rows of longer ones are passed on, with their key,
+    without being gathered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: dict[str, np.ndarray] | None = None
@@ -285,7 +281,7 @@ def _compare_sorted(threshold: float):
         def long_run(x, s, n):
             once = _once({c: v[s : s + n] for c, v in x.items()})
             if len(once["k"]) > BLOCK:
-                yield from _unique_pairs(_banded_again(once, threshold))
+                yield from _unique_pairs(_tiled(once, None, threshold))
             else:
                 yield from flush(once, np.array([0]), np.array([len(once["k"])]))
 
@@ -329,19 +325,22 @@ def _compare_sorted(threshold: float):
 
 def _hot_candidates(hot: DataFrame, threshold: float) -> DataFrame:
     """Likely pairs of buckets with more than HELD rows: their rows are dealt into blocks of
-    about HELD, and every two blocks meet in a task of their own, where they are banded again."""
+    about HELD, and every two blocks meet in a task of their own, where all of one are compared
+    with all of the other."""
     rows = hot.select("k", F.col("a").alias("cls"), F.col("b").alias("s1"), F.col("s").alias("s2")).distinct()
     sizes = rows.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / HELD).cast("int").alias("blocks"))
     dealt = rows.join(sizes, "k").withColumn("h", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     met = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "k", "cls", "s1", "s2", F.least("h", "j").alias("i"), F.greatest("h", "j").alias("j")
+        "k", "cls", "s1", "s2", "h", F.least("h", "j").alias("i"), F.greatest("h", "j").alias("j")
     )
 
     def compare(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        x = {n: t.column(n).to_numpy() for n in ("k", "cls", "s1", "s2")}
+        x = {n: t.column(n).to_numpy() for n in ("cls", "s1", "s2", "h", "i", "j")}
         x = _once(x | {"s1": x["s1"].view(np.uint64), "s2": x["s2"].view(np.uint64)})
-        found = [b.select(["a", "b"]) for b in _unique_pairs(_banded_again(x, threshold))]
+        one, two = ({c: x[c][x["h"] == x[side]] for c in ("cls", "s1", "s2")} for side in "ij")
+        met = _tiled(one, None if (x["i"] == x["j"]).all() else two, threshold)
+        found = [b.select(["a", "b"]) for b in _unique_pairs(met)]
         return pa.Table.from_batches(found, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     return met.groupBy("k", "i", "j").applyInArrow(compare, "a long, b long")
@@ -438,9 +437,8 @@ def near_duplicates(records: DataFrame, record_id: Column, *texts: Column, thres
     are used whole. Empty tables give empty results. Other columns play no part.
 
     A pair just at the threshold shares a band with probability 1 - MISS, more similar pairs
-    more surely; bands and registers per record are the same whatever the number of records.
-    In buckets of more than BLOCK classes a pair is found with probability 1 - SECOND_MISS per
-    bucket that it shares.
+    more surely; bands and registers per record are the same whatever the number of records,
+    and so are the pairs that are found in a bucket, whatever its length.
     """
     named = (
         records.select(record_id.alias("id"), whole_text(*texts).alias("text"))

@@ -155,3 +155,24 @@ def test_registers_estimate_similarity():
     assert abs((r[0] == r[1]).mean() - 0.5) < 0.06 and (r[0] == r[2]).all()
     whole = s.registers([a + b])[0]
     assert (np.maximum(r[0], r[1]) == whole).all()  # registers of a union are the maxima
+
+
+def test_pairs_do_not_depend_on_the_length_of_a_bucket(spark, monkeypatch):
+    """The same rows as a short, a long and a hot bucket: the same pairs, likely or just so."""
+    sets = edited_sets(random.Random(8), 400, 0.12)
+    _, s1, s2 = banded_rows(sets, 0.75)
+    cls = np.arange(800)
+    x = {"k": np.full(800, 7), "cls": cls, "s1": s1, "s2": s2}
+    i, j = N._likely(x, *np.triu_indices(800, 1), 0.75)
+    want = {*zip(i.tolist(), j.tolist())}
+    monkeypatch.setattr(N, "TILE", (7, 100))
+
+    def found(block, held):
+        monkeypatch.setattr(N, "BLOCK", block)
+        monkeypatch.setattr(N, "HELD", held)
+        return {p for b in N._compare_sorted(0.75)(iter([batch_of(x["k"], cls, s1, s2)])) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+
+    assert found(2_000, 10_000) == want and found(50, 10_000) == want
+    monkeypatch.setattr(N, "HELD", 90)
+    rows = [(k, int(a), 5, int(b)) for k, a, b in zip(range(800), s1.view(np.int64), s2.view(np.int64))]
+    assert {(r.a, r.b) for r in N._hot_candidates(spark.createDataFrame(rows, "a long, b long, k long, s long"), 0.75).collect()} == want
