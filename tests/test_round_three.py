@@ -38,3 +38,26 @@ def test_titles_that_all_share_a_word(spark, monkeypatch):
     rows = out.collect()
     assert len(rows) == len(want) > 100 and {(r.id_a, r.id_b): r.ratio for r in rows} == want
     assert "explode(" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_discovery_joins_no_titles_by_word(spark, tmp_path, monkeypatch):
+    """Candidates whose titles all share a word: no join on words, whole result."""
+    import datetime
+
+    from lodestone.plans import ingest
+
+    plans, join = [], ingest.fuzzy_title_join
+
+    def seen(left, right):
+        out = join(left, right)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(ingest, "fuzzy_title_join", seen)
+    old = titles(random.Random(3), 60)
+    new = [f"{t}s" for t in old[:20]] + [f"{k} things for them" for k in ("violets", "ouzo")] + ["quarks for jazz bands", "quarks for jazz band"]
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(f"k{k}", None, t, None, None, at) for k, t in enumerate(old)] + [(f"c{k:02}", "discovered", t, None, None, at) for k, t in enumerate(new)]
+    spark.createDataFrame(rows, "paper_id string, source string, title string, arxiv_id string, doi string, added_at timestamp_ntz").write.parquet(f"{tmp_path}/papers.parquet")
+    assert {r["reason"]: r["candidates"] for r in ingest.discovery_dedup(spark, str(tmp_path)).collect()} == {"fuzzy_title": 20, "cross_source": 1, "kept": 3}
+    assert len(plans) == 2 and not any("explode(" in p for p in plans)
