@@ -61,3 +61,49 @@ def test_discovery_joins_no_titles_by_word(spark, tmp_path, monkeypatch):
     spark.createDataFrame(rows, "paper_id string, source string, title string, arxiv_id string, doi string, added_at timestamp_ntz").write.parquet(f"{tmp_path}/papers.parquet")
     assert {r["reason"]: r["candidates"] for r in ingest.discovery_dedup(spark, str(tmp_path)).collect()} == {"fuzzy_title": 20, "cross_source": 1, "kept": 3}
     assert len(plans) == 2 and not any("explode(" in p for p in plans)
+
+
+def searched(texts, queries, k):
+    """BM25 by hand, any word: query -> [(id, score in steps)]."""
+    import math
+
+    words = {i: t.split() for i, t in texts}
+    mean = sum(map(len, words.values())) / len(words)
+    out = {}
+    for q, query in queries:
+        total = dict.fromkeys(words, 0.0)
+        for u in dict.fromkeys(query.split()):
+            n = sum(u in w for w in words.values())
+            if n:
+                idf = max(math.log((len(words) - n + 0.5) / (n + 0.5)), 1e-6)
+                for i, w in words.items():
+                    tf = w.count(u)
+                    total[i] += idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
+        out[q] = [(i, round(s, 6)) for i, s in sorted(total.items(), key=lambda x: (-math.floor(x[1] * 1e9), x[0])) if s > 0][:k]
+    return out
+
+
+def test_search_leaves_out_only_what_cannot_be_among_the_best(spark, monkeypatch):
+    from lodestone.operators import lexical
+
+    rng = random.Random(2)
+    common = [f"c{i}" for i in range(8)]
+    rare = [f"r{i}" for i in range(150)]
+    texts = [(i, " ".join(rng.choices(common, k=rng.randrange(5, 30)) + rng.choices(rare, k=rng.randrange(6)))) for i in range(900)]
+    texts += [(i + 900, t) for i, t in texts[:60]]  # copies: ties go to the smaller id
+    queries = [(i, " ".join(dict.fromkeys(rng.sample(texts[i][1].split(), 5) + rng.choices(rare, k=i % 3)))) for i in range(0, 960, 12)]
+    queries += [(5, "c1 c2"), (7, "unknown"), (11, "r1 c1 c1")]
+    monkeypatch.setattr(lexical, "FEW", 20)
+    t = spark.createDataFrame(texts, "id long, t string")
+    q = spark.createDataFrame(queries, "q long, s string")
+    ask = lambda **more: lexical.bm25(q, t, 7, query_id="q", query="s", text_id="id", text=F.col("t"), mode="or", **more).collect()
+    got = {}
+    for r in sorted(ask(), key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append((r["id"], round(r["score"], 6)))
+    want = searched(texts, queries, 7)
+    assert got == {k: v for k, v in want.items() if v}
+    own = {r["query_id"]: r["rank"] for r in ask(own=True) if r["query_id"] == r["id"]}
+    assert own == {k: n for k, v in want.items() for n, (i, _) in enumerate(v, 1) if i == k} and len(own) > 20
+    assert all(r["query_id"] in want and (r["id"], round(r["score"], 6)) in want[r["query_id"]] for r in ask(own=True))
+    # Of the texts of a whole index only a few are scored.
+    assert len(ask(own=True)) < len(ask())
