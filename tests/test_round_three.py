@@ -107,3 +107,22 @@ def test_search_leaves_out_only_what_cannot_be_among_the_best(spark, monkeypatch
     assert all(r["query_id"] in want and (r["id"], round(r["score"], 6)) in want[r["query_id"]] for r in ask(own=True))
     # Of the texts of a whole index only a few are scored.
     assert len(ask(own=True)) < len(ask())
+
+
+def test_own_ranks_ask_for_nothing_worse(spark, tmp_path, monkeypatch):
+    from lodestone.plans import curation
+
+    hits, search = [], curation.bm25
+
+    def seen(*args, **kwargs):
+        out = search(*args, **kwargs)
+        hits.extend(out.collect())
+        return out
+
+    monkeypatch.setattr(curation, "bm25", seen)
+    rows = [(50, "green elk on ice", "", "claim", "a"), (49, "green elk on ice", "", "claim", "a"), (100, "owl", "", "claim", "a"), (150, None, "x", "claim", "a")]
+    rows += [(i, "green ice", "elk", "claim", "a") for i in range(1, 20)]
+    spark.createDataFrame(rows, "row_id long, question string, answer string, type string, section string").write.parquet(f"{tmp_path}/nuggets.parquet")
+    r = curation.self_retrieval_ranks(spark, str(tmp_path)).collect()
+    assert [(x["queries"], x["rank_1"], x["rank_2_5"], x["not_found"]) for x in r] == [(3, 1, 1, 1)]
+    assert sorted((x["query_id"], x["id"]) for x in hits) == [(50, 49), (50, 50), (100, 100)]
