@@ -126,3 +126,52 @@ def test_own_ranks_ask_for_nothing_worse(spark, tmp_path, monkeypatch):
     r = curation.self_retrieval_ranks(spark, str(tmp_path)).collect()
     assert [(x["queries"], x["rank_1"], x["rank_2_5"], x["not_found"]) for x in r] == [(3, 1, 1, 1)]
     assert sorted((x["query_id"], x["id"]) for x in hits) == [(50, 49), (50, 50), (100, 100)]
+
+
+def test_phrases_are_counted_by_one_look_at_each_word():
+    """Many phrases with one first word: a text is not held against each of them."""
+    from lodestone.operators import lexical
+
+    class Words(list):
+        looks = 0
+
+        def __getitem__(self, at):
+            Words.looks += 1
+            return super().__getitem__(at)
+
+    count = lexical._counter([f"3 {k}" for k in range(500)] + ["3 7 3", "a", "a 3 7 9"])
+    text = Words("3 7 3 7 a 3 499 3 7 3 a a 3".split())
+    assert count(text) == {"3 7": 3, "3 499": 1, "3 7 3": 2, "a": 3}
+    assert Words.looks <= 2 * len(text)
+
+
+def test_first_look_leaves_few_texts_of_middling_words():
+    """No rare word in a query and no bound yet: the best are found without scoring most texts whole."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestone.operators import lexical
+
+    rng = np.random.default_rng(4)
+    n, words, k = 5_000, 60, 5
+    held = [np.sort(rng.choice(words, rng.integers(8, 25), False)) for _ in range(n)]
+    lists = lambda x, kind: pa.array([y.tolist() for y in x], pa.list_(kind))
+    tfs = [rng.integers(1, 3, len(h)) for h in held]
+    b = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([len(h) + 9 for h in held], pa.int32()), lists(held, pa.int32()), lists(tfs, pa.int32())], names=["id", "dl", "u", "tf"])
+    idf = rng.random(words) * 3 + 0.1
+    index = lexical._Index([b], idf, 20.0)
+    units = [rng.choice(words, 12, False).astype(np.int32) for _ in range(150)]
+    begin = np.arange(0, 12 * 150 + 1, 12)
+    ask = lambda bounds: index.reach(begin, np.concatenate(units), np.ones(12 * 150, np.int32), bounds, k)
+    cold = list(ask(np.full(150, -np.inf)))
+    assert sum(len(at) for _, at, _ in cold) < 150 * n / 20
+    best = lambda found: lexical._best(*(np.concatenate(x) for x in zip(*((q, s, index.ids[at]) for q, at, s in found))), k, 150)
+    q, score, ids, bound = best(cold)
+    base = lexical.K1 * (1 - lexical.B + lexical.B * (np.array([len(h) for h in held]) + 9) / 20.0)
+    for i, us in enumerate(units):
+        whole = np.array([sum(idf[u] * f * 2.2 / (f + base[t]) for u, f in zip(held[t], tfs[t]) if u in us) for t in range(n)]) if i < 12 else None
+        if whole is not None:
+            want = np.lexsort((np.arange(n), -np.floor(whole * 1e9)))[:k]
+            assert ids[q == i].tolist() == want.tolist() and np.allclose(score[q == i], whole[want])
+    again = best(ask(bound))
+    assert all(np.array_equal(x, y) for x, y in zip(again, (q, score, ids, bound)))
