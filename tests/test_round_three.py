@@ -175,3 +175,28 @@ def test_first_look_leaves_few_texts_of_middling_words():
             assert ids[q == i].tolist() == want.tolist() and np.allclose(score[q == i], whole[want])
     again = best(ask(bound))
     assert all(np.array_equal(x, y) for x, y in zip(again, (q, score, ids, bound)))
+
+
+def test_own_texts_of_many_queries_are_scored_together(monkeypatch):
+    """With the own text's score as bound, only what is as good is found; no call of numpy's per query and text."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestone.operators import lexical
+
+    rng = np.random.default_rng(5)
+    n, words = 3_000, 80
+    held = [np.sort(rng.choice(words, rng.integers(10, 25), False)) for _ in range(n)]
+    lists = lambda x: pa.array([y.tolist() for y in x], pa.list_(pa.int32()))
+    b = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([len(h) for h in held], pa.int32()), lists(held), lists([np.ones_like(h) for h in held])], names=["id", "dl", "u", "tf"])
+    index = lexical._Index([b], rng.random(words) * 3 + 0.1, 17.0)
+    units = [rng.choice(held[i], 8, False).astype(np.int32) for i in range(0, n, 10)]
+    own = np.array([index.score(np.array([10 * i]), us, np.ones(8, np.int32))[0] for i, us in enumerate(units)])
+    whole = [index.score(np.arange(n), us, np.ones(8, np.int32)) for us in units]
+    monkeypatch.setattr(lexical._Index, "score", None)
+    found = list(index.reach(np.arange(0, 8 * len(units) + 1, 8), np.concatenate(units), np.ones(8 * len(units), np.int32), own - 2e-9, 50))
+    assert len(found) <= len(units) / 20
+    q, at, score = (np.concatenate(x) for x in zip(*found))
+    for i, w in enumerate(whole):
+        good = (q == i) & (score >= own[i] - 2e-9)
+        assert sorted(at[good]) == np.flatnonzero(w >= own[i] - 2e-9).tolist() and np.allclose(score[q == i], w[at[q == i]])
