@@ -274,3 +274,47 @@ def test_few_pairs_are_decided_in_one_job_and_as_in_rounds(spark, monkeypatch):
     assert sorted(r.id for r in similarity.greedy_keep(d).collect()) == sorted(gone)
     assert len(cuts) > 3
     assert similarity.greedy_keep(d.where("id_a < 0")).collect() == []
+
+
+def test_units_are_counted_in_many_texts_at_once(monkeypatch):
+    """Any characters, phrases that overlap, texts without words, words of one bucket: as text by text."""
+    import random
+
+    import numpy as np
+
+    from lodestone.operators import lexical
+
+    rng = random.Random(1)
+    letters = ["a", "b", "ab", "é", "ß", "_", "3", "½", "日", "\n", " ", "-", "aⒶ", "x́", "\U0001d518", "\U0001f600"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 5, 40]))) for _ in range(600)] + ["a a a a", "b" * 300, "a\nb"]
+    words = sorted({w for t in texts for w in lexical._WORD.findall(t)})
+    phrases = {" ".join(rng.choices(words[:40], k=rng.choice([2, 2, 3, 4]))) for _ in range(300)} | {" ".join(lexical._WORD.findall(t)[:n]) for t in texts[::5] for n in (1, 2, 3)}
+    units = sorted({*rng.sample(words, 100), *phrases, "a", "a a", "a a a", "aⒶ", "a aⒶ", "b" * 300} - {""})
+    one = lexical._counter(units)
+    for at_once in (lexical.CODES_AT_ONCE, 7):
+        monkeypatch.setattr(lexical, "CODES_AT_ONCE", at_once)
+        known = lexical._Units(units)
+        dl, held, u, tf = known.count(texts)
+        ends = np.cumsum(held)
+        assert not known.clash and dl.tolist() == [len(lexical._WORD.findall(t)) for t in texts]
+        for t, s, e in zip(texts, ends - held, ends):
+            assert {units[a]: n for a, n in zip(u[s:e], tf[s:e])} == one(lexical._WORD.findall(t))
+    assert sum(tf) > 1_000 and any(" " in units[a] for a in u)
+    # A word with the hash of another is not taken for it, and units of one hash are noticed.
+    known = lexical._Units(["owl", "elk"])
+    hashes = lexical._Units._hashes
+    monkeypatch.setattr(lexical._Units, "_hashes", staticmethod(lambda c, start, size: np.resize(known.hash[:1], len(start))))
+    assert known.count(["owl elm owl"])[2:][0].tolist() == [0] and known.count(["owl elm owl"])[3].tolist() == [2]
+    assert lexical._Units(["owl", "elk"]).clash
+    monkeypatch.setattr(lexical._Units, "_hashes", staticmethod(hashes))
+
+
+def test_own_scores_of_all_tasks_are_made_in_one_job(spark, monkeypatch):
+    from lodestone.operators import lexical
+
+    cuts, cut = [], lexical.cut
+    monkeypatch.setattr(lexical, "cut", lambda d: cuts.append(d.columns) or cut(d))
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(["owl on ice", "elk", "owl", "low-light elk on ice", None])], "id long, t string").repartition(4)
+    got = lexical.bm25(texts, texts, 9, query_id="id", query="t", text_id="id", text=lexical.F.col("t"), mode="or", own=True).collect()
+    assert cuts == [["q", "score"]]
+    assert {(r["query_id"], r["id"]) for r in got if r["query_id"] == r["id"]} == {(i, i) for i in range(4)}
